@@ -300,3 +300,292 @@ SQL["v_grun"] = f"""
       ELSE 'completed' END AS state
   FROM lineitem GROUP BY l_partkey, l_linenumber"""
 _NEEDS.update({"v_edge": ["v_node"], "v_cyc": ["v_edge"], "v_root": ["v_node"], "v_fin": ["v_node"]})
+
+
+def _list(*items: tuple[Column, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(cond, value) for cond, value in items]))
+
+
+def _strings(*values: str) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def _matrix(p: Column) -> Column:
+    number = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda n: n.cast("string"))
+    linux_mac = _strings("linux", "mac")
+    empty = F.map_from_arrays(_strings(), F.array().cast("array<array<string>>"))
+    return (
+        F.when(p % 47 == 0, F.create_map(F.lit("os"), _strings()))
+        .when(p % 53 == 0, F.create_map(F.lit("os"), _strings("a", "a")))
+        .when(p % 59 == 0, F.create_map(F.lit("os"), _strings("a=b", "c")))
+        .when(p % 61 == 0, F.create_map(F.lit("b"), number, F.lit("a"), number))
+        .when(p % 4 == 0, empty)
+        .when(p % 4 == 1, F.create_map(F.lit("os"), linux_mac))
+        .when(
+            p % 4 == 2,
+            F.create_map(F.lit("size"), _strings("s", "m", "l"), F.lit("os"), linux_mac),
+        )
+        .otherwise(F.create_map(F.lit("os"), _strings("linux", "win")))
+    )
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest tasks: one per part, so that every lint rule has both kinds."""
+    p, q = F.col("p"), F.col("q")
+    start = p - q
+    name = lambda n: F.concat(F.lit("task-"), n.cast("bigint"))
+    yes = F.lit(True)
+    return _part(spark, sf_dir).select(
+        "p",
+        "p_size",
+        "project_id",
+        F.when(p % 67 == 0, F.concat(F.lit("task-[x"), p))
+        .when(p % 71 == 0, F.concat(F.lit("ta=sk-"), p))
+        .otherwise(name(p))
+        .alias("base"),
+        F.when(p % 37 == 0, _strings())
+        .when(p % 41 == 0, _strings(""))
+        .otherwise(
+            F.array(F.lit("build"), F.concat(F.lit("pkg "), p), F.lit("--os=${os}"), F.lit("it's"))
+        )
+        .alias("command"),
+        _list(
+            (q >= 1, name(start + F.floor(q / 2))),
+            (q % 6 == 5, F.concat(name(start + F.floor(q / 3)), F.lit("[os=linux]"))),
+            (q % 31 == 7, F.concat(F.lit("nosuch-"), q)),
+            (q % 29 == 3, F.lit("bad[ref")),
+        ).alias("depends_on"),
+        F.when(p % 7 == 0, "../out").when(p % 7 == 1, "src/${os}").when(p % 7 == 2, "/abs")
+        .alias("cwd"),
+        F.create_map(
+            F.lit("LEVEL"), F.concat(F.lit("l"), p % 3), F.lit("OS"),
+            F.when(p % 10 == 3, "${size}-${oops").otherwise("${os}"),
+        ).alias("env"),
+        F.when(p % 5 == 0, "inherit").otherwise("null").alias("stdin"),
+        (p % 5 != 1).alias("cache"),
+        F.when(p % 11 == 0, _strings())
+        .when(p % 11 == 1, _strings("!a/**"))
+        .when(p % 11 == 2, _strings("/abs/x", "ok/*"))
+        .when(p % 11 == 3, _strings("a//b"))
+        .when(p % 11 == 4, _strings("a/../b"))
+        .otherwise(
+            F.array(F.concat(F.lit("src/"), "p_type", F.lit("/**")), F.lit("!src/tmp/**"),
+                    F.lit("conf/${os}.toml"))
+        )
+        .alias("inputs"),
+        F.when(p % 13 == 0, _strings("!only"))
+        .when(p % 13 == 1, _strings(""))
+        .when(p % 13 == 2, _strings("dist/${os}/app", "dist/**"))
+        .otherwise(_strings())
+        .alias("outputs"),
+        F.when(p % 17 == 0, _strings("A=B"))
+        .when(p % 17 == 1, _strings("*"))
+        .when(p % 17 == 2, _strings("HOME", "CI", "HOME", "LEVEL"))
+        .otherwise(_strings())
+        .alias("cache_env"),
+        _list((yes, F.when(p % 19 == 0, 0).otherwise(600)))[0].cast("bigint")
+        .alias("timeout_seconds"),
+        F.when(p % 23 == 0, 0).otherwise(16777216).cast("bigint").alias("max_output_bytes"),
+        F.when(p % 31 == 0, "").when(p % 31 == 1, "a:b").when(p % 31 == 2, "db")
+        .alias("resource_group"),
+        (p % 3).alias("retries"),
+        F.when(p % 29 == 0, 90000).otherwise(p % 10).cast("bigint").alias("retry_backoff_seconds"),
+        _matrix(p).alias("matrix"),
+    )
+
+
+def pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pipeline per 64 parts, with a few members each."""
+    lane = F.floor(F.col("p") / 64).cast("bigint")
+    q = F.col("p") % 64
+    member = lambda cond: F.when(cond, F.struct("p", "base"))
+    names = lambda column: F.transform(F.array_sort(column), lambda s: s["base"])
+    grouped = (
+        tasks(spark, sf_dir)
+        .groupBy("project_id", lane.alias("lane"))
+        .agg(
+            F.collect_list(member((q % 16 == 1) & (lane % 9 != 4))).alias("t"),
+            F.collect_list(member((q % 16 == 2) & (lane % 3 != 1))).alias("f"),
+        )
+    )
+    return grouped.select(
+        "project_id",
+        F.when(F.col("lane") % 8 == 0, "ci").when(F.col("lane") % 8 == 5, "")
+        .otherwise(F.concat(F.lit("lane-"), "lane")).alias("pipeline"),
+        names("t").alias("tasks"),
+        names("f").alias("finally"),
+    )
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One project per 512 parts."""
+    p = F.col("p")
+    return tasks(spark, sf_dir).where(p % PROJECT_TASKS == 0).select(
+        "project_id",
+        F.when(p % 3 == 1, 2).otherwise(1).cast("bigint").alias("schema"),
+        F.when(p % 5 == 4, "").otherwise(F.concat(F.lit("Project "), p)).alias("project_name"),
+        F.when(p % 7 == 2, "release").otherwise("ci").alias("default_pipeline"),
+        F.create_map(
+            F.lit("HOME"), F.concat(F.lit("/home/"), p), F.lit("PATH"), F.lit("/bin"),
+            F.lit("LEVEL"), F.lit("ambient"),
+        ).alias("environment"),
+    )
+
+
+def names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Known names per brand, and the same names with their second letter lost."""
+    part = table(spark, sf_dir, "part")
+    known = part.select(F.col("p_brand").alias("project_id"), F.col("p_name").alias("candidate"))
+    typed = part.select(
+        F.col("p_brand").alias("project_id"),
+        F.concat(
+            F.substr("p_name", F.lit(1), F.lit(1)), F.substr("p_name", F.lit(3))
+        ).alias("name"),
+    )
+    return typed, known
+
+
+def paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Page addresses as paths; some hosts and first folders hold a manifest."""
+    bare = F.regexp_replace(F.regexp_replace("url", r"\A[a-z]+://", ""), r"[?#].*\z", "")
+    pages = table(spark, sf_dir, "pages").select("page_id", bare.alias("path"))
+    parts = F.split("path", "/")
+    even = pages.where(F.col("page_id") % 2 == 0).select(parts[0].alias("root"))
+    fifth = pages.where(F.col("page_id") % 5 == 0).select(
+        F.concat_ws("/", parts[0], F.get(parts, F.lit(1))).alias("root")
+    )
+    return pages.select("path").distinct(), even.unionByName(fifth).distinct()
+
+
+_BIG = "(SELECT list(n::VARCHAR ORDER BY n) FROM range(1, 41) r(n))"
+SQL["v_task"] = f"""
+  SELECT p, p_size, project_id,
+    CASE WHEN p % 67 = 0 THEN 'task-[x' || p WHEN p % 71 = 0 THEN 'ta=sk-' || p ELSE 'task-' || p END
+      AS base,
+    CASE WHEN p % 37 = 0 THEN []::VARCHAR[] WHEN p % 41 = 0 THEN [''] ELSE
+      ['build', 'pkg ' || p, '--os=${{os}}', 'it''s'] END AS command,
+    list_filter([CASE WHEN q >= 1 THEN 'task-' || (p - q + q // 2) END,
+      CASE WHEN q % 6 = 5 THEN 'task-' || (p - q + q // 3) || '[os=linux]' END,
+      CASE WHEN q % 31 = 7 THEN 'nosuch-' || q END,
+      CASE WHEN q % 29 = 3 THEN 'bad[ref' END], lambda x: x IS NOT NULL) AS depends_on,
+    CASE p % 7 WHEN 0 THEN '../out' WHEN 1 THEN 'src/${{os}}' WHEN 2 THEN '/abs' END AS cwd,
+    'l' || (p % 3) AS env_level,
+    CASE WHEN p % 10 = 3 THEN '${{size}}-${{oops' ELSE '${{os}}' END AS env_os,
+    CASE WHEN p % 5 = 0 THEN 'inherit' ELSE 'null' END AS stdin, p % 5 <> 1 AS cache,
+    CASE p % 11 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['!a/**'] WHEN 2 THEN ['/abs/x', 'ok/*']
+      WHEN 3 THEN ['a//b'] WHEN 4 THEN ['a/../b']
+      ELSE ['src/' || p_type || '/**', '!src/tmp/**', 'conf/${{os}}.toml'] END AS inputs,
+    CASE p % 13 WHEN 0 THEN ['!only'] WHEN 1 THEN [''] WHEN 2 THEN ['dist/${{os}}/app', 'dist/**']
+      ELSE []::VARCHAR[] END AS outputs,
+    CASE p % 17 WHEN 0 THEN ['A=B'] WHEN 1 THEN ['*'] WHEN 2 THEN ['HOME', 'CI', 'HOME', 'LEVEL']
+      ELSE []::VARCHAR[] END AS cache_env,
+    CASE WHEN p % 19 = 0 THEN 0 ELSE 600 END AS timeout_seconds,
+    CASE WHEN p % 23 = 0 THEN 0 ELSE 16777216 END AS max_output_bytes,
+    CASE p % 31 WHEN 0 THEN '' WHEN 1 THEN 'a:b' WHEN 2 THEN 'db' END AS resource_group,
+    p % 3 AS retries, CASE WHEN p % 29 = 0 THEN 90000 ELSE p % 10 END AS retry_backoff_seconds,
+    CASE WHEN p % 47 = 0 THEN [{{'k': 'os', 'vs': []::VARCHAR[]}}]
+      WHEN p % 53 = 0 THEN [{{'k': 'os', 'vs': ['a', 'a']}}]
+      WHEN p % 59 = 0 THEN [{{'k': 'os', 'vs': ['a=b', 'c']}}]
+      WHEN p % 61 = 0 THEN [{{'k': 'a', 'vs': {_BIG}}}, {{'k': 'b', 'vs': {_BIG}}}]
+      WHEN p % 4 = 0 THEN []
+      WHEN p % 4 = 1 THEN [{{'k': 'os', 'vs': ['linux', 'mac']}}]
+      WHEN p % 4 = 2 THEN [{{'k': 'os', 'vs': ['linux', 'mac']}}, {{'k': 'size', 'vs': ['s', 'm', 'l']}}]
+      ELSE [{{'k': 'os', 'vs': ['linux', 'win']}}] END AS matrix
+  FROM (SELECT p_partkey AS p, {_Q} AS q, 'proj-' || ({_P}) AS project_id, p_size, p_type FROM part)"""
+SQL["v_dim"] = """
+  SELECT project_id, base, d.k AS dim, d.vs AS vals
+  FROM (SELECT project_id, base, unnest(matrix) AS d FROM v_task)"""
+SQL["v_inst"] = """
+  SELECT project_id, base, v1, v2, k1, k2, o1, o2,
+    base || CASE WHEN k1 IS NULL THEN '' ELSE '[' || k1 || '=' || v1
+      || coalesce(',' || k2 || '=' || v2, '') || ']' END AS task_id
+  FROM (SELECT project_id, base, NULL AS k1, NULL AS v1, 0 AS o1, NULL AS k2, NULL AS v2, 0 AS o2
+      FROM v_task WHERE len(matrix) = 0
+    UNION ALL SELECT project_id, base, matrix[1].k, unnest(matrix[1].vs),
+      unnest(range(len(matrix[1].vs))), NULL, NULL, 0 FROM v_task WHERE len(matrix) = 1
+    UNION ALL SELECT project_id, base, matrix[1].k, v1, o1, matrix[2].k, unnest(matrix[2].vs),
+      unnest(range(len(matrix[2].vs)))
+      FROM (SELECT *, unnest(matrix[1].vs) AS v1, unnest(range(len(matrix[1].vs))) AS o1
+        FROM v_task WHERE len(matrix) = 2 AND len(matrix[1].vs) * len(matrix[2].vs) <= 1024))"""
+SQL["v_lane"] = """
+  SELECT project_id, CASE WHEN lane % 8 = 0 THEN 'ci' WHEN lane % 8 = 5 THEN ''
+      ELSE 'lane-' || lane END AS pipeline,
+    coalesce(list(base ORDER BY p) FILTER (p % 64 % 16 = 1 AND lane % 9 <> 4), []) AS tasks,
+    coalesce(list(base ORDER BY p) FILTER (p % 64 % 16 = 2 AND lane % 3 <> 1), []) AS fins
+  FROM (SELECT *, p // 64 AS lane FROM v_task) GROUP BY project_id, lane"""
+SQL["v_proj"] = f"""
+  SELECT project_id, CASE WHEN p % 3 = 1 THEN 2 ELSE 1 END AS schema,
+    CASE WHEN p % 5 = 4 THEN '' ELSE 'Project ' || p END AS project_name,
+    CASE WHEN p % 7 = 2 THEN 'release' ELSE 'ci' END AS default_pipeline, p
+  FROM v_task WHERE p % {PROJECT_TASKS} = 0"""
+SQL["v_path"] = """
+  SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path
+  FROM pages"""
+SQL["v_rootdir"] = """
+  SELECT DISTINCT string_split(path, '/')[1] AS root FROM v_page WHERE page_id % 2 = 0
+  UNION SELECT DISTINCT concat_ws('/', string_split(path, '/')[1], string_split(path, '/')[2])
+  FROM v_page WHERE page_id % 5 = 0"""
+SQL["v_page"] = """
+  SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path
+  FROM pages"""
+_NEEDS.update({"v_dim": ["v_task"], "v_inst": ["v_task"], "v_lane": ["v_task"],
+               "v_proj": ["v_task"], "v_rootdir": ["v_page"]})
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project files: a source is a project, a document a file."""
+    doc = F.col("doc_id")
+    folder = F.when(doc % 40 == 3, ".git").otherwise(F.concat(F.lit("lang/"), "lang"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("project_id"),
+        F.concat(folder, F.lit("/"), doc, F.lit(".txt")).alias("path"),
+        F.octet_length("text").cast("bigint").alias("size"),
+        F.when(doc % 2 == 0, 420).otherwise(493).cast("bigint").alias("mode"),
+        F.sha2("text", 256).alias("sha256"),
+        (doc % 50 == 7).alias("is_symlink"),
+        doc.alias("doc_id"),
+    )
+
+
+def file_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One task per project and language, with ordered patterns."""
+    lang = F.col("lang")
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("project_id"), "lang"
+    ).distinct().select(
+        "project_id",
+        F.concat(F.lit("check-"), lang).alias("task_id"),
+        F.array_compact(F.array(
+            F.concat(F.lit("lang/"), lang, F.lit("/**")),
+            F.concat(F.lit("!lang/"), lang, F.lit("/*1.txt")),
+            F.lit("lang/*/10*.txt"),
+            F.when(lang == "de", F.lit("docs/**/x.md")),
+            F.when(lang == "es", F.lit("**/7?.txt")),
+        )).alias("inputs"),
+        F.array(F.lit("lang/**/*9.txt")).alias("outputs"),
+        F.array(F.lit("HOME")).alias("cache_env"),
+    )
+
+
+SQL["v_file"] = """
+  SELECT source AS project_id, CASE WHEN doc_id % 40 = 3 THEN '.git' ELSE 'lang/' || lang END
+      || '/' || doc_id || '.txt' AS path, strlen(text)::BIGINT AS size,
+    CASE WHEN doc_id % 2 = 0 THEN 420 ELSE 493 END AS mode, sha256(text) AS sha256,
+    doc_id % 50 = 7 AS is_symlink, doc_id, lang FROM documents"""
+SQL["v_ftask"] = "SELECT DISTINCT source AS project_id, lang, 'check-' || lang AS task_id FROM documents"
+SQL["v_fpat"] = """
+  SELECT project_id, task_id, 0 AS idx, false AS exclude, '^lang/' || lang || '/' AS regex,
+    'lang/' || lang || '/**' AS source FROM v_ftask
+  UNION ALL SELECT project_id, task_id, 1, true, '^lang/' || lang || '/[^/]*1\\.txt$', '' FROM v_ftask
+  UNION ALL SELECT project_id, task_id, 2, false, '^lang/[^/]*/10[^/]*\\.txt$', 'lang/*/10*.txt' FROM v_ftask
+  UNION ALL SELECT project_id, task_id, 3, false, '^docs/(.*/)?x\\.md$', 'docs/**/x.md' FROM v_ftask
+    WHERE lang = 'de'
+  UNION ALL SELECT project_id, task_id, 3, false, '(^|/)7\\?\\.txt$', '**/7?.txt' FROM v_ftask
+    WHERE lang = 'es'"""
+SQL["v_match"] = """
+  SELECT f.*, p.task_id, p.idx, p.exclude FROM v_file f JOIN v_fpat p USING (project_id)
+  WHERE NOT starts_with(path, '.git/') AND regexp_matches(path, regex)"""
+SQL["v_sel"] = """
+  SELECT project_id, task_id, path, size, mode, sha256, is_symlink, doc_id FROM v_match
+  GROUP BY ALL HAVING NOT arg_max(exclude, idx)"""
+_NEEDS.update({"v_fpat": ["v_ftask"], "v_match": ["v_file", "v_fpat"], "v_sel": ["v_match"]})
