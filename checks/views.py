@@ -589,3 +589,184 @@ SQL["v_sel"] = """
   SELECT project_id, task_id, path, size, mode, sha256, is_symlink, doc_id FROM v_match
   GROUP BY ALL HAVING NOT arg_max(exclude, idx)"""
 _NEEDS.update({"v_fpat": ["v_ftask"], "v_match": ["v_file", "v_fpat"], "v_sel": ["v_match"]})
+
+
+def release_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts as found: a release is 64 consecutive documents of a source."""
+    doc = F.col("doc_id")
+    altered = F.when(doc % 101 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return _release_docs(spark, sf_dir).where(doc % 89 != 0).select(
+        "release", "name", F.sha2(altered, 256).alias("sha256"),
+        F.octet_length(altered).cast("bigint").alias("size"),
+        F.when(doc % 61 == 5, "symlink").otherwise("file").alias("kind"),
+        "doc_id",
+    )
+
+
+def release_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts as recorded in manifests."""
+    doc = F.col("doc_id")
+    return _release_docs(spark, sf_dir).where(doc % 97 != 0).select(
+        "release", "name", F.sha2("text", 256).alias("sha256"),
+        F.octet_length("text").cast("bigint").alias("size"), "doc_id",
+    )
+
+
+def _release_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        F.concat("source", F.lit("-"), F.floor(doc / 640).cast("bigint")).alias("release"),
+        F.concat("lang", F.lit("/"), doc, F.lit(".txt")).alias("name"), "text", "doc_id",
+    )
+
+
+def checksum_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksum lists of 64 documents each, some lines malformed."""
+    doc = F.col("doc_id")
+    digest = F.sha2("text", 256)
+    name = F.concat("lang", F.lit("/"), doc, F.lit(".txt"))
+    line = (
+        F.when(doc % 31 == 0, F.concat(digest, F.lit(" "), name))
+        .when(doc % 37 == 0, F.concat(F.lit("abc  "), name))
+        .when(doc % 41 == 0, F.concat(digest, F.lit("  ../"), name))
+        .when(doc % 43 == 0, F.concat(digest, F.lit("  *"), name))
+        .when(doc % 47 == 0, F.concat(digest, F.lit("  same.txt\r\n"), digest, F.lit("  same.txt")))
+        .when(doc % 53 == 0, "   ")
+        .when(F.floor(doc / 64) % 5 == 4, "")
+        .when(doc % 29 == 0, F.concat(F.upper(digest), F.lit("  "), name))
+        .otherwise(F.concat(digest, F.lit("  "), name))
+    )
+    return (
+        table(spark, sf_dir, "documents")
+        .select(F.concat(F.lit("list-"), F.floor(doc / 64).cast("bigint")).alias("file"),
+                "doc_id", line.alias("line"))
+        .groupBy("file")
+        .agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY doc_id)").alias("text"))
+    )
+
+
+def expected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of 64 expected names each, some malformed."""
+    doc = F.col("doc_id")
+    name = F.concat("lang", F.lit("/"), doc, F.lit(".txt"))
+    line = (
+        F.when(doc % 31 == 0, F.concat(F.lit("/"), name))
+        .when(doc % 37 == 0, F.concat(F.lit("a/../"), name))
+        .when(doc % 41 == 0, F.concat(F.lit("  "), name, F.lit(" \t")))
+        .when(doc % 43 == 0, F.concat(name, F.lit("\n"), name))
+        .when(doc % 53 == 0, "   ")
+        .otherwise(name)
+    )
+    return (
+        table(spark, sf_dir, "documents")
+        .select(F.concat(F.lit("list-"), F.floor(doc / 64).cast("bigint")).alias("file"),
+                "doc_id", line.alias("line"))
+        .groupBy("file")
+        .agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY doc_id)").alias("text"))
+    )
+
+
+def changelog_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changelogs: 16 consecutive orders make a file, newest first."""
+    k = F.col("o_orderkey")
+    number = F.floor(k / 16).cast("bigint")
+    patch = k % 100 + F.when(k % 83 == 0, 50).otherwise(0)
+    version = F.concat_ws(
+        ".", F.floor(k / 10000).cast("bigint"), (F.floor(k / 100) % 100).cast("bigint"), patch
+    )
+    heading = (
+        F.when(k % 97 == 0, F.concat(F.lit("v"), version))
+        .when((k % 16 == 15) & (number % 7 == 0), "(unreleased)")
+        .when(k % 91 == 3, "(unreleased)")
+        .otherwise(version)
+    )
+    date = F.when(k % 89 == 0, "2026-9-11").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    line_end = F.when(number % 5 == 0, "\r\n").otherwise("\n")
+    body = F.when(k % 79 == 0, "").when(k % 73 == 0, F.concat(F.lit("\nReleased: "), date, F.lit("\n"))) \
+        .otherwise(F.concat(F.lit("\nReleased: "), date, F.lit("\n\n- "), "o_orderpriority", F.lit("\n\n")))
+    head = F.when(number % 31 == 0, "# Changes\n").otherwise("# Changelog\n\nAll notable changes.\n\n")
+    entry = F.concat(F.lit("## "), heading, line_end, body)
+    return (
+        table(spark, sf_dir, "orders")
+        .select(number.alias("number"), head.alias("head"), k.alias("k"), entry.alias("entry"))
+        .groupBy("number", "head")
+        .agg(F.expr("listagg(entry, '') WITHIN GROUP (ORDER BY k DESC)").alias("rest"))
+        .select(F.concat(F.lit("team-"), "number").alias("file"),
+                F.concat("head", "rest").alias("text"))
+    )
+
+
+def merge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge logs: 256 consecutive orders make a log."""
+    k = F.col("o_orderkey")
+    subject = F.when(k % 7 == 0, F.concat(F.lit(" Change "), "o_orderpriority")) \
+        .when(k % 11 == 0, F.concat(F.lit("Merge pull request #x"), k, F.lit(" from a/b"))) \
+        .otherwise(F.concat(F.lit("Merge pull request #"), k, F.lit(" from org/"), "o_orderpriority"))
+    body = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("\n  Fix "), k, F.lit(" \nmore"))) \
+        .when(F.col("o_orderstatus") == "O", " \n").otherwise("")
+    record = F.when(k % 13 == 0, F.lit("\n")).otherwise(
+        F.concat(subject, F.lit("\u001f"), body, F.lit("\u001e\n")))
+    record = F.when(k % 13 == 0, F.concat(record, F.lit("\u001e"))).otherwise(record)
+    return (
+        table(spark, sf_dir, "orders")
+        .select(F.floor(k / 256).cast("bigint").alias("number"), k.alias("k"), record.alias("record"))
+        .groupBy("number")
+        .agg(F.expr("listagg(record, '') WITHIN GROUP (ORDER BY k)").alias("text"))
+        .select(F.concat(F.lit("log-"), "number").alias("file"), "text")
+    )
+
+
+SQL["v_rdoc"] = """
+  SELECT source || '-' || (doc_id // 640) AS release, lang || '/' || doc_id || '.txt' AS name,
+    text, doc_id FROM documents"""
+SQL["v_rfile"] = """
+  SELECT release, name, sha256(t) AS sha256, strlen(t)::BIGINT AS size,
+    CASE WHEN doc_id % 61 = 5 THEN 'symlink' ELSE 'file' END AS kind, doc_id
+  FROM (SELECT *, CASE WHEN doc_id % 101 = 0 THEN text || '!' ELSE text END AS t FROM v_rdoc)
+  WHERE doc_id % 89 <> 0"""
+SQL["v_rexp"] = """
+  SELECT release, name, sha256(text) AS sha256, strlen(text)::BIGINT AS size, doc_id FROM v_rdoc
+  WHERE doc_id % 97 <> 0"""
+SQL["v_cl"] = """
+  SELECT k, number, 'team-' || number AS file, version,
+    CASE WHEN k % 97 = 0 THEN 'v' || version WHEN k % 16 = 15 AND number % 7 = 0 THEN '(unreleased)'
+      WHEN k % 91 = 3 THEN '(unreleased)' ELSE version END AS heading,
+    CASE WHEN k % 79 = 0 THEN '' WHEN k % 73 = 0 THEN chr(10) || 'Released: ' || date || chr(10)
+      ELSE chr(10) || 'Released: ' || date || chr(10) || chr(10) || '- ' || o_orderpriority
+        || chr(10) || chr(10) END AS body,
+    row_number() OVER (PARTITION BY number ORDER BY k DESC) - 1 AS entry_no,
+    CASE WHEN k % 79 = 0 THEN NULL ELSE date END AS date, o_orderpriority, major, minor, patch,
+    k % 97 <> 0 AND NOT (k % 16 = 15 AND number % 7 = 0) AND k % 91 <> 3 AS versioned
+  FROM (SELECT o_orderkey AS k, o_orderkey // 16 AS number, o_orderpriority,
+    o_orderkey // 10000 AS major, (o_orderkey // 100) % 100 AS minor,
+    o_orderkey % 100 + CASE WHEN o_orderkey % 83 = 0 THEN 50 ELSE 0 END AS patch,
+    (o_orderkey // 10000) || '.' || ((o_orderkey // 100) % 100) || '.'
+      || (o_orderkey % 100 + CASE WHEN o_orderkey % 83 = 0 THEN 50 ELSE 0 END) AS version,
+    CASE WHEN o_orderkey % 89 = 0 THEN '2026-9-11' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date
+    FROM orders)"""
+SQL["v_clv"] = """
+  SELECT file, -1 AS entry_no, 'title missing' AS rule, '' AS detail FROM v_cl
+    WHERE number % 31 = 0 GROUP BY file
+  UNION ALL SELECT file, entry_no, 'unknown heading', heading FROM v_cl
+    WHERE NOT versioned AND heading <> '(unreleased)'
+  UNION ALL SELECT file, entry_no, 'entry is empty', heading FROM v_cl WHERE versioned AND date IS NULL
+  UNION ALL SELECT file, entry_no, 'release line', 'Released: ' || date FROM v_cl
+    WHERE versioned AND date = '2026-9-11'
+  UNION ALL SELECT file, entry_no, 'not newest first', heading FROM (
+    SELECT *, lag({'a': major, 'b': minor, 'c': patch}) OVER (PARTITION BY file ORDER BY entry_no) AS prev
+    FROM v_cl WHERE versioned) WHERE {'a': major, 'b': minor, 'c': patch} >= prev
+  UNION ALL SELECT file, entry_no, CASE WHEN r > 1 THEN 'second unreleased'
+      ELSE 'unreleased below the top' END, heading FROM (
+    SELECT *, row_number() OVER (PARTITION BY file ORDER BY entry_no) AS r FROM v_cl
+    WHERE heading = '(unreleased)') WHERE r > 1 OR entry_no > 0"""
+SQL["v_merge"] = """
+  SELECT 'log-' || (k // 256) AS file, k, subject, body, n, CASE WHEN k % 7 <> 0 AND k % 11 <> 0 THEN k END
+      AS pr, o_orderpriority, o_orderstatus
+  FROM (SELECT o_orderkey AS k, o_orderpriority, o_orderstatus,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'Change ' || o_orderpriority
+      WHEN o_orderkey % 11 = 0 THEN 'Merge pull request #x' || o_orderkey || ' from a/b'
+      ELSE 'Merge pull request #' || o_orderkey || ' from org/' || o_orderpriority END AS subject,
+    CASE o_orderstatus WHEN 'F' THEN chr(10) || '  Fix ' || o_orderkey || ' ' || chr(10) || 'more'
+      ELSE '' END AS body, o_orderkey % 256 AS n FROM orders)
+  WHERE k % 13 <> 0"""
+_NEEDS.update({"v_rfile": ["v_rdoc"], "v_rexp": ["v_rdoc"], "v_clv": ["v_cl"]})

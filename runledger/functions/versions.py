@@ -32,6 +32,6 @@ def parse_version(text: Column) -> Column:
 
 
 def format_version(version: Column) -> Column:
-    return F.concat_ws(
-        ".", *[version[name].cast("string") for name in ("major", "minor", "patch")]
-    )
+    dot = F.lit(".")
+    major, minor, patch = [version[n].cast("string") for n in ("major", "minor", "patch")]
+    return F.concat(major, dot, minor, dot, patch)
