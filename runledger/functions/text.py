@@ -19,7 +19,13 @@ def trim(value: str | Column) -> Column:
 
 
 def is_blank(value: str | Column) -> Column:
-    return trim(value) == ""
+    return ~_col(value).rlike(r"(?U)\S")
+
+
+def first_text_line(value: str | Column) -> Column:
+    """The first line that is not blank, or null."""
+    line = F.regexp_extract(_col(value), r"(?U)\A(?:\s*\n)?([^\n]*)", 1)
+    return F.when(~is_blank(line), F.regexp_replace(line, r"\r\z", ""))
 
 
 def lines(value: str | Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from runledger.functions.rows import bind
+
 # The largest unsigned 64-bit number, and the strict version form.
 U64_MAX = "18446744073709551615"
 VERSION_FORM = r"\A(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\z"
@@ -16,19 +18,18 @@ def u64_max() -> Column:
     return F.lit(U64_MAX).cast("decimal(20,0)")
 
 
-def _part(text: Column, number: int) -> Column:
-    part = F.regexp_extract(text, VERSION_FORM, number).try_cast("decimal(20,0)")
-    return F.when(part <= u64_max(), part)
-
-
 def parse_version(text: Column) -> Column:
     """Version struct, or null when the text is not a strict version."""
-    parts = [_part(text, number) for number in (1, 2, 3)]
-    version = F.struct(*[p.alias(n) for p, n in zip(parts, ("major", "minor", "patch"))])
-    valid = text.rlike(VERSION_FORM)
-    for part in parts:
-        valid = valid & part.isNotNull()
-    return F.when(F.coalesce(valid, F.lit(False)), version)
+    numbers = F.transform(F.split(text, r"\."), lambda part: part.try_cast("decimal(20,0)"))
+
+    def version(parts: Column) -> Column:
+        fits = F.forall(parts, lambda part: F.coalesce(part <= u64_max(), F.lit(False)))
+        names = ("major", "minor", "patch")
+        return F.when(
+            fits, F.struct(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
+        )
+
+    return F.when(text.rlike(VERSION_FORM), bind(numbers, version))
 
 
 def format_version(version: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions import text, versions
+from runledger.functions.rows import explode_rows
 
 # The words of the changelog form.
 TITLE = "# Changelog"
@@ -57,13 +58,7 @@ def parse_changelogs(texts: DataFrame) -> DataFrame:
 
 def parse_entries(texts: DataFrame) -> DataFrame:
     """One row per entry: file, entry_no, heading, version, body."""
-    return parse_changelogs(texts).select("file", F.explode("entries").alias("e")).select(
-        "file", "e.*"
-    )
-
-
-def _first_text_line(body: Column) -> Column:
-    return F.get(F.filter(text.lines(body), lambda line: ~text.is_blank(line)), F.lit(0))
+    return explode_rows(parse_changelogs(texts), ["file"], "entries", "e").select("file", "e.*")
 
 
 def _is_release_line(line: Column) -> Column:
@@ -73,7 +68,8 @@ def _is_release_line(line: Column) -> Column:
 def _violations() -> Column:
     """All rule violations of a parsed changelog, as an array.
 
-    Reads ``_versioned``, the entries that have a version.
+    Reads ``_versioned``: number, heading, version and first text line of the
+    entries that have a version.
     """
 
     def issue(number: Column | None, rule: str, detail: Column) -> Column:
@@ -96,7 +92,7 @@ def _violations() -> Column:
     versioned = F.col("_versioned")
 
     def first_line_issue(e: Column) -> Column:
-        line = _first_text_line(e["body"])
+        line = e["line"]
         return F.when(line.isNull(), issue(e["entry_no"], "entry is empty", e["heading"])).when(
             ~_is_release_line(line), issue(e["entry_no"], "release line", line)
         )
@@ -127,15 +123,21 @@ def _violations() -> Column:
 
 def validate_changelogs(parsed: DataFrame) -> DataFrame:
     """Every violation: file, entry_no (-1 for the file itself), rule, detail."""
-    return (
-        _with_violations(parsed)
-        .select("file", F.explode("violations").alias("v"))
-        .select("file", "v.*")
+    return explode_rows(_with_violations(parsed), ["file"], "violations", "v").select(
+        "file", "v.*"
     )
 
 
 def _with_violations(parsed: DataFrame) -> DataFrame:
-    versioned = F.filter("entries", lambda e: e["version"].isNotNull())
+    versioned = F.transform(
+        F.filter("entries", lambda e: e["version"].isNotNull()),
+        lambda e: F.struct(
+            e["entry_no"].alias("entry_no"),
+            e["heading"].alias("heading"),
+            e["version"].alias("version"),
+            text.first_text_line(e["body"]).alias("line"),
+        ),
+    )
     return (
         parsed.withColumn("_versioned", versioned)
         .withColumn("violations", _violations())
@@ -400,7 +402,7 @@ def lint_refs(requests: DataFrame) -> DataFrame:
         ),
     )
     return (
-        requests.select("request_id", F.explode(checks).alias("c"))
+        explode_rows(requests, ["request_id"], checks, "c")
         .select("request_id", "c.*")
         .where(F.col("reason").isNotNull())
     )

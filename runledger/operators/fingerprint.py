@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.functions import globs, ordered, text
+from runledger.functions.rows import explode_rows
 from runledger.operators.graph import _spread, _up
 from runledger.session import scratch_path, settle
 
@@ -60,13 +61,12 @@ def unmatched_patterns(
 ) -> DataFrame:
     """Positive patterns that match no regular file, excluded later or not."""
     regular = files.where(~F.col("is_symlink")).select("project_id", "path")
-    matched = (
-        _candidates(regular, tasks, patterns, skip)
-        .select(
-            *_TASK, F.explode(globs.matched_positive(F.col("path"), F.col("compiled"))).alias("idx")
-        )
-        .distinct()
-    )
+    matched = explode_rows(
+        _candidates(regular, tasks, patterns, skip),
+        _TASK,
+        globs.matched_positive(F.col("path"), F.col("compiled")),
+        "idx",
+    ).distinct()
     declared = tasks.select(
         *_TASK, F.explode(globs.compile_patterns(F.col(patterns))).alias("p")
     ).where(~F.col("p.exclude"))

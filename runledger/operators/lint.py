@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.functions import text
+from runledger.functions.rows import explode_rows
 from runledger.operators import matrix as mx
 
 _TASK_NAME_CHARS = r"[\[\]=,]"
 
 
 def _violations(rows: DataFrame, subject: Column, rules: list[Column]) -> DataFrame:
-    return rows.select(
-        "project_id", subject.alias("subject"), F.explode(F.array_compact(F.array(*rules))).alias("v")
+    return explode_rows(
+        rows.withColumn("subject", subject), ["project_id", "subject"], F.array(*rules), "v"
     ).select("project_id", "subject", "v.rule", "v.detail")
 
 
@@ -250,22 +251,17 @@ def suggest_names(unknown: DataFrame, candidates: DataFrame) -> DataFrame:
     typed = unknown.select("project_id", "name").distinct()
     name_bytes = text.bytes_as_chars(F.col("name"))
     allowed = F.when(F.length(name_bytes) <= 4, 1).otherwise(2)
-    wanted = typed.select(
-        "project_id",
-        "name",
-        allowed.alias("allowed"),
-        F.explode(
-            F.when(allowed == 1, _deletions(name_bytes, 1)).otherwise(_deletions(name_bytes, 2))
-        ).alias("short"),
+    wanted = explode_rows(
+        typed.withColumn("allowed", allowed),
+        ["project_id", "name", "allowed"],
+        F.when(allowed == 1, _deletions(name_bytes, 1)).otherwise(_deletions(name_bytes, 2)),
+        "short",
     )
-    offered = (
-        candidates.select("project_id", "candidate")
-        .distinct()
-        .select(
-            "project_id",
-            "candidate",
-            F.explode(_deletions(text.bytes_as_chars(F.col("candidate")), 2)).alias("short"),
-        )
+    offered = explode_rows(
+        candidates.select("project_id", "candidate").distinct(),
+        ["project_id", "candidate"],
+        _deletions(text.bytes_as_chars(F.col("candidate")), 2),
+        "short",
     )
     distance = text.byte_distance(F.col("name"), F.col("candidate"))
     return (

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger import schemas
+from runledger.functions.rows import explode_rows
 
 _DIMS = "array<struct<key:string,value:string>>"
 _PLACEHOLDER = r"\$\{([^}]*)\}"
@@ -124,8 +125,8 @@ def expand_matrix(tasks: DataFrame) -> DataFrame:
 
     Tasks with more than 1,024 instances are left to the lint.
     """
-    return tasks.withColumn(
-        "dims", F.explode(matrix_instances(F.col("matrix"), no_dims()))
+    return explode_rows(
+        tasks, tasks.columns, matrix_instances(F.col("matrix"), no_dims()), "dims"
     ).withColumn("task_id", format_id(F.col("base"), F.col("dims")))
 
 
@@ -240,8 +241,12 @@ def resolve_edges(instances: DataFrame, tasks: DataFrame) -> tuple[DataFrame, Da
         F.posexplode("depends_on").alias("ref_pos", "ref"),
     )
     resolved = resolve_references(references, tasks)
-    edges = resolved.where(F.col("error").isNull()).select(
-        "project_id", "task_id", "ref_pos", F.posexplode("targets").alias("i", "dep_id")
+    edges = explode_rows(
+        resolved.where(F.col("error").isNull()),
+        ["project_id", "task_id", "ref_pos"],
+        "targets",
+        "dep_id",
+        "i",
     )
     dep_pos = (F.col("ref_pos") * schemas.MAX_MATRIX_INSTANCES + F.col("i")).cast("bigint")
     return (

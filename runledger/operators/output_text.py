@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.functions import ordered
+from runledger.functions.rows import explode_rows
 
 _TASK = ["run_id", "task"]
 _STREAM = [*_TASK, "stream"]
@@ -61,12 +62,12 @@ def frame_lines(
         F.size("pieces") - 1,
         "first_line",
     )
-    pieces = numbered.select(
-        *group,
-        "sequence",
-        "first_line",
-        F.size("pieces").alias("n"),
-        F.posexplode("pieces").alias("i", "piece"),
+    pieces = explode_rows(
+        numbered.withColumn("n", F.size("pieces")),
+        [*group, "sequence", "first_line", "n"],
+        "pieces",
+        "piece",
+        "i",
     ).withColumn("ended", F.col("i") < F.col("n") - 1)
     line_no = (F.col("first_line") + F.col("i")).cast("bigint")
     # A piece between two newlines of one chunk is a line by itself; only the

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.functions import text
+from runledger.functions.rows import explode_rows
 
 _ITEM = ["release", "name"]
 _METADATA = [schemas.RELEASE_METADATA_FILE, schemas.RELEASE_CHECKSUM_FILE]
@@ -90,10 +91,8 @@ def verify_inventory(
             F.when(F.col("m_sha") != F.col("c_sha"), "checksum differs"),
         )
     )
-    items = (
-        recorded.join(present, _ITEM, "full")
-        .join(listed, _ITEM, "full")
-        .select(*_ITEM, F.explode(rules).alias("reason"))
+    items = explode_rows(
+        recorded.join(present, _ITEM, "full").join(listed, _ITEM, "full"), _ITEM, rules, "reason"
     )
     versions = releases.where(
         F.col("manifest_version") != schemas.RELEASE_MANIFEST_VERSION
@@ -208,4 +207,4 @@ def lint_artifact_names(files: DataFrame) -> DataFrame:
             F.when(~normal, "not a normal relative path"),
         )
     )
-    return files.withColumn("name", name).select(*_ITEM, F.explode(rules).alias("reason"))
+    return explode_rows(files.withColumn("name", name), _ITEM, rules, "reason")

@@ -56,10 +56,14 @@ def read_merge_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def write_changelogs(rendered: DataFrame, path: str) -> None:
-    """One text per file, in folders by ``file``."""
-    rendered.select("file", F.regexp_replace("text", "\n\\z", "").alias("value")).write.mode(
-        "overwrite"
-    ).partitionBy("file").text(path)
+    """One text per file, in folders by ``file``.
+
+    Creating the files is the work here, so they are spread over all tasks.
+    """
+    tasks = int(rendered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rendered.select(
+        "file", F.regexp_replace("text", "\n\\z", "").alias("value")
+    ).repartition(tasks, "file").write.mode("overwrite").partitionBy("file").text(path)
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
