@@ -23,14 +23,18 @@ def _named(texts: DataFrame) -> DataFrame:
     return texts.withColumn("file", F.regexp_extract("file", r"file=([^/]+)/", 1))
 
 
+# Entries per file where only reading and writing whole files is checked.
+LONG = 256
+
+
 def s7_changelog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _written(spark, views.changelog_texts(spark, sf_dir), "changelogs")
+    path = _written(spark, views.changelog_texts(spark, sf_dir, LONG), "changelogs")
     return src.changelog_lines(_named(src.read_changelogs(spark, path)))
 
 
 def s8_merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "merge-logs")
-    views.merge_texts(spark, sf_dir).write.partitionBy("file").text(path)
+    views.write_texts(views.merge_texts(spark, sf_dir), path)
     records, _ = src.read_merge_log(spark, path)
     return _named(records)
 
@@ -177,7 +181,7 @@ _REQ = """, req AS (
   FROM orders)"""
 
 ORACLE = {
-    "s7_changelog_lines": with_views(["v_cl"], _TEXT.format(end=_ENDS) + """,
+    "s7_changelog_lines": f"WITH v_cl AS ({views.changelog_sql(LONG)})" + (_TEXT.format(end=_ENDS) + """,
 split AS (SELECT file, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS p FROM whole)
 SELECT file, i::BIGINT AS line_no, line || chr(10) AS line FROM (
   SELECT file, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS line FROM split)"""),

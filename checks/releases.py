@@ -33,7 +33,7 @@ def s4_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _write_texts(spark: SparkSession, texts: DataFrame, label: str) -> str:
     path = scratch_path(spark, label)
-    texts.select("file", F.col("text").alias("value")).write.partitionBy("file").text(path)
+    views.write_texts(texts, path)
     return path
 
 

@@ -591,6 +591,14 @@ SQL["v_sel"] = """
 _NEEDS.update({"v_fpat": ["v_ftask"], "v_match": ["v_file", "v_fpat"], "v_sel": ["v_match"]})
 
 
+def write_texts(texts: DataFrame, path: str) -> None:
+    """One text per file, in folders by ``file``, written by all tasks."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts.select("file", F.col("text").alias("value")).repartition(tasks, "file").write.partitionBy(
+        "file"
+    ).text(path)
+
+
 def release_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artifacts as found: a release is 64 consecutive documents of a source."""
     doc = F.col("doc_id")
@@ -666,17 +674,22 @@ def expected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def changelog_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changelogs: 16 consecutive orders make a file, newest first."""
+CHANGELOG_ENTRIES = 16
+
+
+def changelog_texts(
+    spark: SparkSession, sf_dir: str, entries: int = CHANGELOG_ENTRIES
+) -> DataFrame:
+    """Changelogs: so many consecutive orders make a file, newest first."""
     k = F.col("o_orderkey")
-    number = F.floor(k / 16).cast("bigint")
+    number = F.floor(k / entries).cast("bigint")
     patch = k % 100 + F.when(k % 83 == 0, 50).otherwise(0)
     version = F.concat_ws(
         ".", F.floor(k / 10000).cast("bigint"), (F.floor(k / 100) % 100).cast("bigint"), patch
     )
     heading = (
         F.when(k % 97 == 0, F.concat(F.lit("v"), version))
-        .when((k % 16 == 15) & (number % 7 == 0), "(unreleased)")
+        .when((k % entries == entries - 1) & (number % 7 == 0), "(unreleased)")
         .when(k % 91 == 3, "(unreleased)")
         .otherwise(version)
     )
@@ -727,23 +740,26 @@ SQL["v_rfile"] = """
 SQL["v_rexp"] = """
   SELECT release, name, sha256(text) AS sha256, strlen(text)::BIGINT AS size, doc_id FROM v_rdoc
   WHERE doc_id % 97 <> 0"""
-SQL["v_cl"] = """
+def changelog_sql(entries: int) -> str:
+    """Changelog entries, one row each, for files of so many orders."""
+    return f"""
   SELECT k, number, 'team-' || number AS file, version,
-    CASE WHEN k % 97 = 0 THEN 'v' || version WHEN k % 16 = 15 AND number % 7 = 0 THEN '(unreleased)'
+    CASE WHEN k % 97 = 0 THEN 'v' || version WHEN k % {entries} = {entries - 1} AND number % 7 = 0 THEN '(unreleased)'
       WHEN k % 91 = 3 THEN '(unreleased)' ELSE version END AS heading,
     CASE WHEN k % 79 = 0 THEN '' WHEN k % 73 = 0 THEN chr(10) || 'Released: ' || date || chr(10)
       ELSE chr(10) || 'Released: ' || date || chr(10) || chr(10) || '- ' || o_orderpriority
         || chr(10) || chr(10) END AS body,
     row_number() OVER (PARTITION BY number ORDER BY k DESC) - 1 AS entry_no,
     CASE WHEN k % 79 = 0 THEN NULL ELSE date END AS date, o_orderpriority, major, minor, patch,
-    k % 97 <> 0 AND NOT (k % 16 = 15 AND number % 7 = 0) AND k % 91 <> 3 AS versioned
-  FROM (SELECT o_orderkey AS k, o_orderkey // 16 AS number, o_orderpriority,
+    k % 97 <> 0 AND NOT (k % {entries} = {entries - 1} AND number % 7 = 0) AND k % 91 <> 3 AS versioned
+  FROM (SELECT o_orderkey AS k, o_orderkey // {entries} AS number, o_orderpriority,
     o_orderkey // 10000 AS major, (o_orderkey // 100) % 100 AS minor,
     o_orderkey % 100 + CASE WHEN o_orderkey % 83 = 0 THEN 50 ELSE 0 END AS patch,
     (o_orderkey // 10000) || '.' || ((o_orderkey // 100) % 100) || '.'
       || (o_orderkey % 100 + CASE WHEN o_orderkey % 83 = 0 THEN 50 ELSE 0 END) AS version,
     CASE WHEN o_orderkey % 89 = 0 THEN '2026-9-11' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date
     FROM orders)"""
+SQL["v_cl"] = changelog_sql(CHANGELOG_ENTRIES)
 SQL["v_clv"] = """
   SELECT file, -1 AS entry_no, 'title missing' AS rule, '' AS detail FROM v_cl
     WHERE number % 31 = 0 GROUP BY file

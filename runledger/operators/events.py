@@ -42,12 +42,9 @@ def decode_output(events: DataFrame) -> DataFrame:
 
 def encode_output(chunks: DataFrame) -> DataFrame:
     """The inverse of :func:`decode_output`: binary chunks as integer arrays."""
-    digits = F.hex("data")
-    pairs = F.when(F.length("data") == 0, F.array().cast("array<smallint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.length("data") - 1),
-            lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("smallint"),
-        )
+    pairs = F.transform(
+        F.regexp_extract_all(F.hex("data"), F.lit(".."), F.lit(0)),
+        lambda pair: F.conv(pair, 16, 10).cast("smallint"),
     )
     return chunks.withColumn("bytes", pairs).drop("data")
 

@@ -174,6 +174,12 @@ def write_release_outputs(heads: DataFrame, artifacts: DataFrame, path: str) ->
     by name, are the document, and a huge release is written by many tasks.
     """
     order = ["document", "release", "part", "name"]
-    release_lines(heads, artifacts).repartitionByRange(*order).sortWithinPartitions(*order).select(
-        "document", "release", F.col("line").alias("value")
-    ).write.partitionBy("document", "release").text(path)
+    tasks = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (
+        release_lines(heads, artifacts)
+        .repartitionByRange(tasks, *order)
+        .sortWithinPartitions(*order)
+        .select("document", "release", F.col("line").alias("value"))
+        .write.partitionBy("document", "release")
+        .text(path)
+    )
