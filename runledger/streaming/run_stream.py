@@ -298,7 +298,8 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     """Read everything available into a table below ``path`` and return it.
 
     ``update`` rows are appended batch by batch; a batch written again after a
-    failure replaces itself.
+    failure replaces itself. Jobs with ``idle_ms`` keep a clock and never run
+    out of work: start those with a processing-time trigger instead.
     """
     spark = stream.sparkSession
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
