@@ -56,7 +56,7 @@ def f8_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         "project_id", "task_id", F.sha2(F.concat(F.lit("own-"), "p"), 256).alias("own")
     )
     edges = views.edges(spark, sf_dir)
-    levels = graph.plan_levels(edges, own)
+    levels = graph.task_levels(edges, own)
     return fp.task_keys(own, edges, levels)
 
 

@@ -104,7 +104,7 @@ def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     digit = F.col("p_size") % 10
     roots = instances.withColumn("pipeline", F.lit("ci")).dropDuplicates(["project_id", "task_id"])
     members = graph.mark_finalizers(edges, roots.where(digit == 1), roots.where(digit == 2))
-    levels = graph.plan_levels(edges, instances)
+    levels = graph.task_levels(edges, instances)
     filled = mx.interpolate(instances.dropDuplicates(["project_id", "task_id"]))
     plan = planning.build_plan(filled, edges, levels, members)
     return plan.select("project_id", "task_id", "pipeline", "finalizer", "dep_count", "level", "line")

@@ -342,31 +342,34 @@ def render_changelogs(parsed: DataFrame) -> DataFrame:
 
 def merge_bullets(records: DataFrame, url_template: str | None = None) -> DataFrame:
     """Adds ``bullet``: a list item for each merge record (subject, body)."""
-    subject = text.trim("subject")
     rest = F.when(
-        subject.startswith(MERGE_SUBJECT), F.substr(subject, F.lit(len(MERGE_SUBJECT) + 1))
+        F.col("_subject").startswith(MERGE_SUBJECT),
+        F.substr("_subject", F.lit(len(MERGE_SUBJECT) + 1)),
     )
-    at = F.instr(rest, MERGE_FROM)
-    digits = F.when(at > 0, F.substr(rest, F.lit(1), at - 1))
+    at = F.instr("_rest", MERGE_FROM)
+    digits = F.when(at > 0, F.substr("_rest", F.lit(1), at - 1))
     value = F.when(digits.rlike(r"\A\+?[0-9]+\z"), digits.try_cast("decimal(20,0)"))
-    number = F.when(value <= versions.u64_max(), value.cast("string"))
-    branch = F.substr(rest, at + len(MERGE_FROM))
-    lines = F.transform(text.lines(F.col("body")), text.trim)
-    first_line = F.get(F.filter(lines, lambda line: line != ""), F.lit(0))
-    summary = F.coalesce(
-        first_line,
-        F.when(F.col("_number").isNotNull(), F.substring_index(branch, "/", -1)),
-        subject,
-    )
+    last_part = F.substring_index(F.substr("_rest", at + len(MERGE_FROM)), "/", -1)
+    first_line = text.trim(text.first_text_line("body"))
+    is_merge = F.col("_number").isNotNull()
+    number = F.col("_number").cast("string")
+    summary = F.coalesce(first_line, F.when(is_merge, last_part), F.col("_subject"))
     if url_template is None:
-        reference = F.concat(F.lit("#"), "_number")
+        reference = F.concat(F.lit("#"), number)
     else:
-        link = F.replace(F.lit(url_template), F.lit(NUMBER_PLACEHOLDER), F.col("_number"))
-        reference = F.concat(F.lit("[#"), "_number", F.lit("]("), link, F.lit(")"))
+        link = F.replace(F.lit(url_template), F.lit(NUMBER_PLACEHOLDER), number)
+        reference = F.concat(F.lit("[#"), number, F.lit("]("), link, F.lit(")"))
     bullet = F.when(
-        F.col("_number").isNotNull(), F.concat(F.lit("- "), reference, F.lit("\n\n  "), summary)
+        is_merge, F.concat(F.lit("- "), reference, F.lit("\n\n  "), summary)
     ).otherwise(F.concat(F.lit("- "), summary))
-    return records.withColumn("_number", number).withColumn("bullet", bullet).drop("_number")
+    return (
+        records.withColumn("_subject", text.trim("subject"))
+        .withColumn("_rest", rest)
+        .withColumn("_value", value)
+        .withColumn("_number", F.when(F.col("_value") <= versions.u64_max(), F.col("_value")))
+        .withColumn("bullet", bullet)
+        .drop("_subject", "_rest", "_value", "_number")
+    )
 
 
 def truncate_text(rows: DataFrame, limit: int, column: str = "data") -> DataFrame:

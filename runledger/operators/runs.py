@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.functions import ordered
+from runledger.session import settle
 
 COUNTS = ["completed", "cached", "failed", "cancelled", "blocked"]
 
@@ -20,25 +21,18 @@ def _is(event: str) -> Column:
 
 
 def _task_states(events: DataFrame) -> DataFrame:
-    """One row per task of a run: what was seen of it and how it ended."""
-    finish = F.when(
-        _is("task_finished"),
-        F.struct("sequence", "status", F.col("elapsed_ms").alias("elapsed_ms")),
-    )
-    return (
-        events.where(_is("task_started") | _is("task_attempt_started") | _is("task_output")
-                     | _is("task_finished"))
-        .groupBy("run_id", "task")
-        .agg(
-            F.coalesce(F.bool_or(_is("task_started")), F.lit(False)).alias("started"),
-            F.coalesce(
-                F.max(F.when(_is("task_attempt_started"), F.col("attempt"))), F.lit(0)
-            ).alias("attempts"),
-            F.max(F.when(_is("task_attempt_started"), F.col("max_attempts"))).alias(
-                "max_attempts"
-            ),
-            F.max(finish).alias("finish"),
-        )
+    """One row per task of a run: what was seen of it and how it ended.
+
+    The events of the run itself form one more row, with a null task.
+    """
+    finish = F.when(_is("task_finished"), F.struct("sequence", "status", "elapsed_ms"))
+    attempt = lambda column: F.max(F.when(_is("task_attempt_started"), F.col(column)))
+    return events.groupBy("run_id", "task").agg(
+        F.coalesce(F.bool_or(_is("task_started")), F.lit(False)).alias("started"),
+        F.coalesce(attempt("attempt"), F.lit(0)).alias("attempts"),
+        attempt("max_attempts").alias("max_attempts"),
+        F.max(finish).alias("finish"),
+        F.coalesce(F.bool_or(_is("run_finished")), F.lit(False)).alias("run_finished"),
     )
 
 
@@ -47,8 +41,9 @@ def task_results(events: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> Dat
 
     Finish events are logged in plan order, so the plan position is the rank
     of the finish event in its run. Tasks without a finish have no position.
+    The log is read once: the rank works on the task rows, which are stored.
     """
-    states = _task_states(events).select(
+    states = settle(_task_states(events).where(F.col("task").isNotNull()).select(
         "run_id",
         "task",
         "started",
@@ -57,7 +52,7 @@ def task_results(events: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> Dat
         F.col("finish.sequence").alias("finish_sequence"),
         F.col("finish.status").alias("status"),
         F.col("finish.elapsed_ms").alias("elapsed_ms"),
-    )
+    ), "task-states")
     finished = ordered.position(
         states.where(F.col("finish_sequence").isNotNull()),
         ["run_id"],
@@ -163,7 +158,15 @@ def reconcile_summaries(results: DataFrame, finished_events: DataFrame) -> DataF
 def audit_sequence(events: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """Gaps, duplicates and wrong first or last events, as violation rows."""
     numbered = events.where(F.col("run_id").isNotNull() & F.col("sequence").isNotNull())
-    occurrences = numbered.groupBy("run_id", "sequence").count()
+    # The log is read once; all rules work on these narrow rows.
+    occurrences = settle(
+        numbered.groupBy("run_id", "sequence").agg(
+            F.count("*").alias("count"),
+            F.min("event").alias("first_event"),
+            F.max("event").alias("last_event"),
+        ),
+        "sequence",
+    )
     duplicates = occurrences.where(F.col("count") > 1).select(
         "run_id",
         "sequence",
@@ -171,7 +174,7 @@ def audit_sequence(events: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> D
         F.concat(F.col("count"), F.lit(" events")).alias("detail"),
     )
     stepped = ordered.previous_value(
-        occurrences.drop("count"),
+        occurrences.select("run_id", "sequence"),
         ["run_id"],
         "sequence",
         ordered.block_of("sequence", block_rows),
@@ -184,9 +187,9 @@ def audit_sequence(events: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> D
         F.lit("gap").alias("rule"),
         F.concat(F.lit("expected "), expected).alias("detail"),
     )
-    ends = numbered.groupBy("run_id").agg(
-        F.min(F.struct("sequence", "event")).alias("first"),
-        F.max(F.struct("sequence", "event")).alias("last"),
+    ends = occurrences.groupBy("run_id").agg(
+        F.min(F.struct("sequence", F.col("first_event").alias("event"))).alias("first"),
+        F.max(F.struct("sequence", F.col("last_event").alias("event"))).alias("last"),
     )
     wrong_first = ends.where(F.col("first.event") != "run_started").select(
         "run_id",
@@ -224,17 +227,14 @@ def progress(events: DataFrame) -> DataFrame:
     Cache hits count in neither; a run is finished once it says so.
     """
     status = F.col("finish.status")
-    tasks = (
+    is_task = F.col("task").isNotNull()
+    return (
         _task_states(events)
         .groupBy("run_id")
         .agg(
-            F.count_if(F.col("finish").isNull()).alias("running"),
-            F.count_if(status == "completed").alias("completed"),
-            F.count_if(status.isin(schemas.FAILED_STATUSES)).alias("failed"),
+            F.count_if(is_task & F.col("finish").isNull()).alias("running"),
+            F.count_if(is_task & (status == "completed")).alias("completed"),
+            F.count_if(is_task & status.isin(schemas.FAILED_STATUSES)).alias("failed"),
+            F.bool_or("run_finished").alias("finished"),
         )
     )
-    runs = events.groupBy("run_id").agg(
-        F.coalesce(F.bool_or(_is("run_finished")), F.lit(False)).alias("finished")
-    )
-    zero = {"running": 0, "completed": 0, "failed": 0}
-    return runs.join(tasks, "run_id", "left").na.fill(zero)

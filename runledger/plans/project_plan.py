@@ -28,8 +28,7 @@ def project_graph(tasks: DataFrame) -> ProjectGraph:
     instances = settle(mx.interpolate(mx.expand_matrix(tasks)), "instances")
     edges, errors = mx.resolve_edges(instances, tasks)
     edges = settle(edges, "edges")
-    levels = settle(graph.plan_levels(edges, instances), "levels")
-    return ProjectGraph(instances, edges, errors, levels)
+    return ProjectGraph(instances, edges, errors, graph.task_levels(edges, instances))
 
 
 def pipeline_roots(pipelines: DataFrame, tasks: DataFrame, column: str) -> DataFrame:

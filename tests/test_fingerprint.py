@@ -119,7 +119,7 @@ def keys(spark, own, pairs):
     nodes = spark.createDataFrame(
         [("p", t, o) for t, o in own.items()], "project_id string, task_id string, own string"
     )
-    levels = graph.plan_levels(table, nodes)
+    levels = graph.task_levels(table, nodes)
     return {r.task_id: r.key for r in fp.task_keys(nodes, table, levels).collect()}
 
 
