@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views
@@ -37,7 +37,7 @@ def _write_texts(spark: SparkSession, texts: DataFrame, label: str) -> str:
     return path
 
 
-def _file_name() -> "F.Column":
+def _file_name() -> Column:
     return F.regexp_extract("file", r"file=([^/]+)/", 1)
 
 

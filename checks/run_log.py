@@ -11,7 +11,7 @@ from runledger import schemas
 from runledger.operators import events as ev
 from runledger.operators import output_text as out
 from runledger.operators import runs
-from runledger.session import scratch_path
+from runledger.session import scratch_path, settle
 from runledger.sources import run_log
 
 _TASK_EVENTS = "event IN ('task_started', 'task_attempt_started', 'task_output', 'task_finished')"
@@ -191,7 +191,7 @@ TAIL = 3
 
 
 def w2_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out.tail_lines(_framed(spark, sf_dir), TAIL).drop("end_sequence", "flushed")
+    return out.tail_lines(settle(_framed(spark, sf_dir), "lines"), TAIL).drop("end_sequence", "flushed")
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:

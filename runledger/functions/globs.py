@@ -27,7 +27,7 @@ def glob_regex(pattern: Column) -> Column:
 
 
 def compile_patterns(patterns: Column) -> Column:
-    """``ARRAY<STRING>`` to ``ARRAY<STRUCT<idx, exclude, source, regex>>``."""
+    """``ARRAY<STRING>`` to ``ARRAY<STRUCT<idx, exclude, source, prefix, regex>>``."""
 
     def compiled(pattern: Column, idx: Column) -> Column:
         exclude = pattern.startswith("!")
@@ -36,6 +36,7 @@ def compile_patterns(patterns: Column) -> Column:
             idx.cast("bigint").alias("idx"),
             exclude.alias("exclude"),
             source.alias("source"),
+            F.substring_index(source, "*", 1).alias("prefix"),
             glob_regex(source).alias("regex"),
         )
 
@@ -43,7 +44,13 @@ def compile_patterns(patterns: Column) -> Column:
 
 
 def matches(path: Column, pattern: Column) -> Column:
-    return F.rlike(F.concat(path, F.lit("/")), pattern["regex"])
+    """Whether one compiled pattern matches.
+
+    The literal start of the pattern is compared first, so paths it can never
+    reach do not run the regular expression.
+    """
+    subject = F.concat(path, F.lit("/"))
+    return subject.startswith(pattern["prefix"]) & F.rlike(subject, pattern["regex"])
 
 
 def selects(path: Column, compiled: Column) -> Column:

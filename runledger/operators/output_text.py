@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions import ordered
 from runledger.functions.rows import explode_rows
+from runledger.session import settle
 
 _TASK = ["run_id", "task"]
 _STREAM = [*_TASK, "stream"]
@@ -37,7 +38,14 @@ def _segmented(output: DataFrame, breaks: DataFrame, block_rows: int) -> DataFra
         F.col("cut"),
         "segment",
     )
-    return counted.where(F.col("cut") == 0).drop("cut")
+    # Stored, because both the numbering and the joining of lines read it; the
+    # numbering then only touches the narrow columns.
+    return settle(
+        counted.where(F.col("cut") == 0)
+        .drop("cut")
+        .withColumn("newlines", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))),
+        "segments",
+    )
 
 
 def frame_lines(
@@ -50,25 +58,22 @@ def frame_lines(
     Result: run_id, task, stream, segment, line_no, line, end_sequence,
     flushed. Lines of a segment are numbered from zero.
     """
-    cut = _segmented(output, breaks, block_rows).withColumn(
-        "pieces", F.split("text", "\n", -1)
-    )
     group = [*_STREAM, "segment"]
     numbered = ordered.running_total(
-        cut.drop("text"),
+        _segmented(output, breaks, block_rows),
         group,
         ["sequence"],
         ordered.block_of("sequence", block_rows),
-        F.size("pieces") - 1,
+        F.col("newlines"),
         "first_line",
     )
     pieces = explode_rows(
-        numbered.withColumn("n", F.size("pieces")),
-        [*group, "sequence", "first_line", "n"],
-        "pieces",
+        numbered,
+        [*group, "sequence", "first_line", "newlines"],
+        F.split("text", "\n", -1),
         "piece",
         "i",
-    ).withColumn("ended", F.col("i") < F.col("n") - 1)
+    ).withColumn("ended", F.col("i") < F.col("newlines"))
     line_no = (F.col("first_line") + F.col("i")).cast("bigint")
     # A piece between two newlines of one chunk is a line by itself; only the
     # outer pieces of a chunk can have partners elsewhere.

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import schemas
 
 
-def _or(column: str, default) -> "F.Column":
+def _or(column: str, default: Column) -> Column:
     return F.coalesce(F.col(column), default)
 
 
-def _strings(column: str):
+def _strings(column: str) -> Column:
     return _or(column, F.array().cast("array<string>"))
 
 
