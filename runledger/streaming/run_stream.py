@@ -7,9 +7,11 @@ has been read.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +19,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from runledger import schemas
 from runledger.operators import runs
 
+# The state processors below travel with their query, so that workers need no
+# copy of this package. They only use what this module itself defines.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_COUNTS = list(runs.COUNTS)
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -217,19 +224,19 @@ class _RunFinish(StatefulProcessor):
         self.handle = handle
         self.groups = handle.getMapState("groups", "task STRING", "part STRING")
         self.counts = handle.getValueState(
-            "counts", ", ".join(f"{name} BIGINT" for name in runs.COUNTS)
+            "counts", ", ".join(f"{name} BIGINT" for name in _COUNTS)
         )
         self.closed = handle.getValueState("closed", "closed BOOLEAN")
 
     def _row(self, key, counts, abandoned) -> pd.DataFrame:
         return pd.DataFrame(
-            [(key[0], *[counts[name] for name in runs.COUNTS], abandoned)],
-            columns=["run_id", *runs.COUNTS, "abandoned"],
+            [(key[0], *[counts[name] for name in _COUNTS], abandoned)],
+            columns=["run_id", *_COUNTS, "abandoned"],
         )
 
     def _load(self) -> dict[str, int]:
-        values = self.counts.get() if self.counts.exists() else [0] * len(runs.COUNTS)
-        return dict(zip(runs.COUNTS, values))
+        values = self.counts.get() if self.counts.exists() else [0] * len(_COUNTS)
+        return dict(zip(_COUNTS, values))
 
     def handleInputRows(self, key, rows, timerValues):
         if self.closed.exists():
@@ -250,7 +257,7 @@ class _RunFinish(StatefulProcessor):
             part = _GROUP_OF[event.status]
             self.groups.updateValue(task, (part,))
             counts[part] += 1
-        self.counts.update(tuple(counts[name] for name in runs.COUNTS))
+        self.counts.update(tuple(counts[name] for name in _COUNTS))
         if self.idle_ms is not None:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)

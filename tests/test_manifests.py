@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.functions import text
-from runledger.operators import graph, lint, planning
+from runledger.operators import lint, planning
 from runledger.operators import matrix as mx
 from runledger.plans import project_plan
 from runledger.sources.manifests import read_manifests

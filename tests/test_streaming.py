@@ -2,8 +2,12 @@
 
 import json
 import os
+import subprocess
+import sys
 import time
 
+import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from runledger.operators import events as ev
@@ -130,3 +134,12 @@ def test_decode_on_a_stream(spark, tmp_path):
     path = write_log(tmp_path / "log", BATCHES)
     got = run(ev.decode_output(live(spark, path, distinct=False)), tmp_path, "decode")
     assert got.count() == 5
+
+
+@pytest.mark.parametrize("processor", [rs._FrameLines(None), rs._RunFinish(None)])
+def test_processors_load_without_this_package(processor, tmp_path):
+    path = tmp_path / "processor.pickle"
+    path.write_bytes(cloudpickle.dumps(processor))
+    code = "import pickle, sys; pickle.load(open(sys.argv[1], 'rb')).close(); assert 'runledger' not in sys.modules"
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code, str(path)], cwd=tmp_path, env=clean, check=True, timeout=60)
