@@ -10,6 +10,8 @@ characters around a boundary. Only these certain pairs are used:
 
 * a character that is no white space, then ASCII white space: no word goes on
   over such a place and none looks back over it;
+* an ASCII letter or digit, then an ASCII sign: the run of letters or digits ends
+  there, and what follows is read as it would be after it;
 * an ASCII letter, then an ASCII letter: both lie in one run of letters, whose
   rest is a run of letters again.
 
@@ -18,7 +20,9 @@ Every other place stays uncut; a text without any cut is one fragment.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runledger.llm.text import id_and_text
+from runledger.llm.text import id_and_text, texts_of
 
 #: Distinct fragments remembered by a task before it starts anew.
 REMEMBERED = 400_000
@@ -51,78 +55,116 @@ def inner_pairs(tokenizer: Tokenizer) -> np.ndarray:
     return inside
 
 
-def cut_pattern(inside: np.ndarray) -> re.Pattern:
-    """What matches one fragment between white-space cuts.
+_SPACES = b" \t\n\x0b\x0c\r"
+_WORD = bytes(b for b in range(128) if chr(b).isalnum())
+_SIGNS = bytes(b for b in range(128) if b not in _WORD and b not in _SPACES)
 
-    White space whose pair with some earlier byte occurs inside a token is no
-    certain cut after that byte; such white space is left inside fragments.
-    """
-    spaces = [b for b in b" \t\n\x0b\x0c\r" if not inside[[x for x in range(256) if x not in b" \t\n\x0b\x0c\r"], b].any()]
-    if not spaces:
-        return re.compile(r"(?s).+")
-    group = "".join(f"\\x{b:02x}" for b in spaces)
-    return re.compile(f"[{group}]*[^{group}]+|[{group}]+")
+
+def _one_of(data: bytes) -> str:
+    return "[" + "".join(f"\\x{b:02x}" for b in data) + "]"
 
 
-def letter_cuts(inside: np.ndarray) -> re.Pattern | None:
-    """Zero-width places between two ASCII letters whose pair occurs in no token."""
-    letters = [*range(65, 91), *range(97, 123)]
-    parts = []
-    for first in letters:
-        after = "".join(chr(b) for b in letters if not inside[first, b])
-        if after:
-            parts.append(f"(?<={chr(first)})(?=[{after}])")
-    return re.compile("|".join(parts)) if parts else None
+def cut_pattern(inside: np.ndarray) -> re.Pattern:
+    """What matches one fragment between the cuts at white space and before signs.
+
+    After some bytes white space is no certain cut, as a token holds the pair;
+    a fragment goes on over such a place. Signs cut only if no token has a letter
+    or digit before a sign.
+    """
+    space = _one_of(_SPACES)
+    solid = _one_of(bytes(b for b in range(256) if b not in _SPACES))
+    fragment = f"{solid}+"
+    if not inside[np.ix_(list(_WORD), list(_SIGNS))].any():
+        word, rest = _one_of(_WORD), _one_of(bytes(b for b in range(128, 256)))
+        loose = _one_of(_SIGNS + bytes(range(128, 256)))
+        # No letter or digit is followed by a sign in here.
+        run = f"{word}+(?:{rest}{loose}*)?"
+        fragment = f"(?:{loose}+(?:{run})*|(?:{run})+)"
+    unsure = bytes(a for a in range(256) if a not in _SPACES and inside[a, list(_SPACES)].any())
+    more = f"(?:(?<={_one_of(unsure)}){space}+{solid}*)*" if unsure else ""
+    return re.compile(f"{space}*{fragment}{more}|{space}+".encode())
+
+
+def letter_cuts(inside: np.ndarray) -> np.ndarray:
+    """True for two ASCII letters whose pair occurs in no token."""
+    letter = np.zeros(256, bool)
+    letter[65:91] = letter[97:123] = True
+    return ~inside & letter[:, None] & letter[None, :]
 
 
 class FragmentCoder:
     """Encodes and decodes by fragments, with a memory of those seen."""
 
     def __init__(self, path: str):
+        # Spark decides how many texts are worked on at once.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         inside = inner_pairs(self.tokenizer)
-        self.fragments = cut_pattern(inside).findall
+        self.find = cut_pattern(inside).findall
         self.letter_cuts = letter_cuts(inside)
-        #: An added token is matched before all splitting; a fragment with one is not cut further.
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.seen: dict[str, tuple[bytes, str]] = {}
-
-    def _pieces(self, fragment: str) -> list[str]:
-        if self.letter_cuts is None or any(a in fragment for a in self.added):
-            return [fragment]
-        return self.letter_cuts.split(fragment)
-
-    def _learn(self, fragments: list[str]) -> None:
-        """Encode the fragments not seen yet, in one call."""
-        new = list(dict.fromkeys(f for f in fragments if f not in self.seen))
-        if not new:
-            return
-        pieces = [self._pieces(f) for f in new]
+        #: Added tokens are matched before all splitting; each is a fragment.
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content.encode() for t in added.values()]
+        self.split_added = re.compile(b"(" + b"|".join(map(re.escape, self.added)) + b")").split
+        symbols = byte_of_symbol()
+        self.bytes_of = {
+            i: bytes(symbols[c] for c in token if c in symbols)
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()
+        } | {i: t.content.encode() for i, t in added.items()}
+        self.ids_of: dict[bytes, bytes] = {}
+        self.text_of: dict[bytes, bytes] = {}
+
+    def fragments(self, text: bytes) -> list[bytes]:
+        """A text cut between white space, signs and added tokens."""
+        if not any(a in text for a in self.added):
+            return self.find(text)
+        parts = self.split_added(text)
+        return [f for k, part in enumerate(parts) for f in ([part] if k % 2 else self.find(part))]
+
+    def _pieces(self, fragments: list[bytes]) -> list[list[bytes]]:
+        """Each fragment cut between letters."""
+        data = np.frombuffer(b"".join(fragments), np.uint8)
+        cuts = (np.flatnonzero(self.letter_cuts[data[:-1], data[1:]]) + 1).tolist()
+        out, start, at = [], 0, 0
+        for fragment in fragments:
+            end, own = start + len(fragment), [0]
+            while at < len(cuts) and cuts[at] < end:
+                if cuts[at] > start:
+                    own.append(cuts[at] - start)
+                at += 1
+            if len(own) > 1 and fragment not in self.added:
+                out.append([fragment[i:j] for i, j in zip(own, [*own[1:], len(fragment)], strict=True)])
+            else:
+                out.append([fragment])
+            start = end
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode and decode fragments not seen yet, in one call."""
+        pieces = self._pieces(new)
         coded = iter(
-            self.tokenizer.encode_batch([p for ps in pieces for p in ps], add_special_tokens=False)
+            self.tokenizer.encode_batch_fast(
+                [p.decode() for own in pieces for p in own], add_special_tokens=False
+            )
         )
-        for fragment, parts in zip(new, pieces, strict=True):
-            ids = [i for _ in parts for i in next(coded).ids]
-            text = self.tokenizer.decode(ids, skip_special_tokens=False)
-            self.seen[fragment] = (np.array(ids, "<i4").tobytes(), text)
-
-    def code(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """Packed ids and decoded text of each text."""
-        ids, decoded = [], []
-        for text in texts:
-            if len(self.seen) > REMEMBERED:
-                self.seen.clear()
-            fragments = self.fragments(text)
-            try:
-                known = [self.seen[f] for f in fragments]
-            except KeyError:
-                self._learn(fragments)
-                known = [self.seen[f] for f in fragments]
-            ids.append(b"".join([k[0] for k in known]))
-            decoded.append("".join([k[1] for k in known]))
-        return ids, decoded
+        for fragment, own in zip(new, pieces, strict=True):
+            ids = [i for _ in own for i in next(coded).ids]
+            self.ids_of[fragment] = struct.pack(f"<{len(ids)}i", *ids)
+            self.text_of[fragment] = b"".join([self.bytes_of[i] for i in ids])
+
+    def code(self, texts: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Packed ids and decoded UTF-8 of each text."""
+        if len(self.ids_of) > REMEMBERED:
+            self.ids_of.clear()
+            self.text_of.clear()
+        split = [self.fragments(text) for text in texts]
+        new = set().union(*split).difference(self.ids_of)
+        if new:
+            self._learn(list(new))
+        ids, decoded = self.ids_of.__getitem__, self.text_of.__getitem__
+        return [b"".join(map(ids, f)) for f in split], [b"".join(map(decoded, f)) for f in split]
 
 
 @lru_cache(1)
@@ -143,7 +185,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         coder = _coder(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = texts_of(batch.column(1))
             # Small groups keep the ids of a batch of long texts from piling up.
             start = 0
             while start < len(texts):
@@ -160,7 +202,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                         batch.column(0).slice(start, end - start),
                         pa.array(counts, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets), values),
-                        pa.array(decoded, pa.string()),
+                        pa.array(decoded, pa.binary()).cast(pa.string()),
                     ],
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
