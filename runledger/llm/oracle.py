@@ -126,10 +126,12 @@ q_tested AS (
   FROM q_counts),
 q_hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed OR sign_failed) AS f FROM q_tested GROUP BY source),
-q_moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS s, avg(1 / n) AS inv FROM q_hosts),
+q_sums AS (
+  SELECT sum(n) AS docs, count(*) AS hosts, sum(f) / sum(n) AS m, sum(f) AS failed, sum(f * f / n) AS squares FROM q_hosts),
 q_prior AS (
-  SELECT m, least(1000.0, greatest(1.0, CASE WHEN s - m * (1 - m) * inv > 0
-    THEN m * (1 - m) / (s - m * (1 - m) * inv) - 1 ELSE 1000.0 END)) AS w FROM q_moments),
+  SELECT m, CASE WHEN m * (1 - m) = 0 OR docs <= hosts THEN 1000.0 ELSE
+    1 / least(0.5, greatest(1 / 1001, ((squares - failed * m) / (m * (1 - m)) - hosts) / (docs - hosts))) - 1 END AS w
+  FROM q_sums),
 q_verdicts AS (
   SELECT source, (f + m * w) / (n + w) >= {rules.BAD_HOST_RATE} AS bad_host FROM q_hosts, q_prior),
 judged AS (

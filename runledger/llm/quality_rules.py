@@ -121,12 +121,25 @@ def failures(measured: DataFrame) -> DataFrame:
     )
 
 
+def prior(docs: float, hosts: float, failed: float, squares: float) -> tuple[float, float]:
+    """Mean and weight (in documents) of the beta prior, from sums over the hosts.
+
+    ``squares`` is the sum of failed^2 / docs. Failures of one host agree with
+    correlation rho, whose moment estimate weighs hosts by their documents; the
+    weight 1 / rho - 1 is kept between 1 and 1,000.
+    """
+    mean = failed / docs if docs else 0.0
+    even = mean * (1 - mean)
+    if not even or docs <= hosts:
+        return mean, 1000.0
+    rho = ((squares - failed * mean) / even - hosts) / (docs - hosts)
+    return mean, 1 / min(0.5, max(1 / 1001, rho)) - 1
+
+
 def host_verdicts(tested: DataFrame) -> DataFrame:
     """``host, n_docs, n_failed, rate, bad_host``: failure rates with an empirical beta prior.
 
-    The prior's mean is that of the hosts' rates and its weight follows from
-    their variance beyond what chance explains; it is between 1 and 1,000
-    documents. The host of rows without one is null, and is a host as others.
+    The host of rows without one is null, and is a host as others.
     """
     hosts = settle(
         tested.groupBy("host").agg(
@@ -135,15 +148,16 @@ def host_verdicts(tested: DataFrame) -> DataFrame:
         ),
         "quality-hosts",
     )
-    rate = F.col("n_failed") / F.col("n_docs")
-    moments = hosts.agg(
-        F.avg(rate).alias("mean"), F.var_pop(rate).alias("spread"), F.avg(1 / F.col("n_docs")).alias("inverse")
-    ).first()
-    mean, spread, inverse = (float(x or 0.0) for x in moments)
-    chance = mean * (1 - mean) * inverse
-    own = spread - chance
-    weight = mean * (1 - mean) / own - 1 if own > 0 else 1000.0
-    weight = min(1000.0, max(1.0, weight))
+    docs, count, failed, squares = (
+        float(x or 0.0)
+        for x in hosts.agg(
+            F.sum("n_docs"),
+            F.count("*"),
+            F.sum("n_failed"),
+            F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")),
+        ).first()
+    )
+    mean, weight = prior(docs, count, failed, squares)
     shrunk = (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)
     return hosts.select("host", "n_docs", "n_failed", shrunk.alias("rate"), (shrunk >= BAD_HOST_RATE).alias("bad_host"))
 
