@@ -9,7 +9,7 @@ from checks import views
 from checks.views import with_views
 from runledger.functions import versions
 from runledger.operators import changelog as cl
-from runledger.session import scratch_path
+from runledger.session import scratch_path, settle
 from runledger.sources import changelogs as src
 
 
@@ -19,24 +19,38 @@ def _written(spark: SparkSession, texts: DataFrame, label: str) -> str:
     return path
 
 
-def _named(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("file", F.regexp_extract("file", r"file=([^/]+)/", 1))
-
-
 # Entries per file where only reading and writing whole files is checked.
 LONG = 256
 
 
 def s7_changelog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _written(spark, views.changelog_texts(spark, sf_dir, LONG), "changelogs")
-    return src.changelog_lines(_named(src.read_changelogs(spark, path)))
+    return src.changelog_lines(src.read_changelogs(spark, path))
+
+
+def k3_changelogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all changelogs, read them, write every third one changed, read all again.
+
+    Every fifth changed text ends without a line end, and names hold signs that
+    a folder name has to escape.
+    """
+    texts = views.changelog_texts(spark, sf_dir)
+    named = texts.withColumn("file", F.concat(F.lit("a b/%+ü="), "file"))
+    path = _written(spark, named, "changelogs")
+    number = F.regexp_extract("file", r"(\d+)$", 1).cast("bigint")
+    changed = src.read_changelogs(spark, path).where(number % 3 == 0).select(
+        "file",
+        F.concat("text", F.lit("## end"), F.when(number % 5 == 0, "").otherwise("\n")).alias("text"),
+    )
+    src.write_changelogs(settle(changed, "changelogs-changed"), path)
+    return src.read_changelogs(spark, path)
 
 
 def s8_merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "merge-logs")
     views.write_texts(views.merge_texts(spark, sf_dir), path)
     records, _ = src.read_merge_log(spark, path)
-    return _named(records)
+    return records
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +112,9 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(number % 2 == 0, F.array(F.lit("- one"), F.concat(F.lit("- "), number)))
         .otherwise(F.array().cast("array<string>")).alias("bullets"),
     )
-    return cl.prepare_entries(_parsed(spark, sf_dir), requests)
+    # One request for a file that does not exist.
+    unknown = requests.orderBy("file").limit(1).withColumn("file", F.lit("nowhere"))
+    return cl.prepare_entries(_parsed(spark, sf_dir), requests.unionByName(unknown))
 
 
 def c6_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +135,11 @@ def c7_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(number % 5 == 1, F.concat(F.lit("v"), "request"))
         .when(number % 5 == 2, "v1.2.3").alias("release_tag"),
     )
-    return cl.release_notes(_parsed(spark, sf_dir), targets)
+    unknown = targets.limit(1).select(
+        F.lit("nowhere").alias("file"),
+        *[F.lit(None).cast("string").alias(c) for c in ("version", "release_tag")],
+    )
+    return cl.release_notes(_parsed(spark, sf_dir), targets.unionByName(unknown))
 
 
 def c8_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +177,7 @@ def c11_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        s7_changelog_lines, s8_merge_log, c1_entries, c2_validate, c3_top, c4_next, c5_lookup,
+        s7_changelog_lines, k3_changelogs, s8_merge_log, c1_entries, c2_validate, c3_top, c4_next, c5_lookup,
         c6_prepare, c7_notes, c8_render, c9_bullets, c10_truncate, c11_refs,
     ]
 }
@@ -185,6 +205,9 @@ ORACLE = {
 split AS (SELECT file, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS p FROM whole)
 SELECT file, i::BIGINT AS line_no, line || chr(10) AS line FROM (
   SELECT file, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS line FROM split)"""),
+    "k3_changelogs": with_views(["v_cl"], _TEXT.format(end=_ENDS) + """
+SELECT 'a b/%+ü=' || file AS file, text || CASE WHEN split_part(file, '-', 2)::BIGINT % 3 <> 0 THEN ''
+  WHEN split_part(file, '-', 2)::BIGINT % 5 = 0 THEN '## end' ELSE '## end' || chr(10) END AS text FROM whole"""),
     "s8_merge_log": with_views(["v_merge"], """
 SELECT file, n AS record_no, subject, body FROM v_merge"""),
     "c1_entries": with_views(["v_cl"], """
@@ -222,7 +245,8 @@ SELECT file, CASE WHEN error IS NULL THEN CASE WHEN renames THEN 'renamed' ELSE
     || CASE WHEN num % 2 = 0 THEN '- one' || chr(10) || '- ' || num || chr(10) ELSE '' END ELSE body END AS body,
   entry_count + CASE WHEN error IS NULL AND NOT renames THEN 1 ELSE 0 END AS entry_count,
   entry_count + CASE WHEN error IS NULL AND NOT renames THEN 1 ELSE 0 END - 1 AS last_no
-FROM judged"""),
+FROM judged
+UNION ALL SELECT 'nowhere', NULL, 'unknown file', NULL, NULL, NULL, NULL"""),
     "c7_notes": with_views(["v_clv"], _TOP + _REQ + """,
 ask AS (SELECT file, num, CASE WHEN num % 3 = 1 THEN wanted END AS v, num % 3 = 1 AS has_v,
     CASE WHEN num % 5 = 1 THEN CASE WHEN request LIKE ' v%' OR wanted IS NULL THEN NULL ELSE wanted END
@@ -235,7 +259,8 @@ judged AS (SELECT a.file, top.heading, coalesce(v, t, heading) AS want, body,
       WHEN NOT contains(body, '- ') THEN 'entry has no content' END AS error
   FROM ask a JOIN top USING (file))
 SELECT file, CASE WHEN error IS NULL THEN '# ' || want || chr(10) || chr(10) || '## Changelog' || chr(10)
-  || chr(10) || trim(body, chr(10)) || chr(10) END AS notes, error FROM judged"""),
+  || chr(10) || trim(body, chr(10)) || chr(10) END AS notes, error FROM judged
+UNION ALL SELECT 'nowhere', NULL, 'unknown file'"""),
     "c8_render": with_views(["v_cl"], _TEXT.format(end="chr(10)") + " SELECT file, text FROM whole"),
     "c9_bullets": with_views(["v_merge"], """
 SELECT file, n AS record_no, '- ' || coalesce('[#' || pr || '](https://example.com/pull/' || pr || ')'

@@ -232,7 +232,7 @@ def prepare_entries(parsed: DataFrame, requests: DataFrame) -> DataFrame:
     ``entries`` is unchanged where there is an error.
     """
     top = _top()
-    rows = _with_validity(parsed).join(requests, "file")
+    rows = requests.join(_with_validity(parsed), "file", "left")
     automatic = versions.format_version(_next_version(top))
     rows = rows.withColumn(
         "wanted",
@@ -240,6 +240,7 @@ def prepare_entries(parsed: DataFrame, requests: DataFrame) -> DataFrame:
     )
     error = (
         F.when(F.col("request").isNotNull() & F.col("wanted").isNull(), "malformed request")
+        .when(F.col("entries").isNull(), "unknown file")
         .when(~F.col("is_valid"), "invalid changelog")
         .when(F.col("request").isNull() & F.col("wanted").isNull(), _next_error(top))
         .when(~text.is_date("date"), "invalid date")
@@ -296,7 +297,7 @@ def release_notes(parsed: DataFrame, targets: DataFrame, newest_only: bool = Tru
     ``newest_only`` the target must be the newest entry, which must not be
     unreleased; without it any entry named by ``version`` may be taken.
     """
-    rows = _with_validity(parsed).join(targets, "file")
+    rows = targets.join(_with_validity(parsed), "file", "left")
     version = request_heading(F.col("version"))
     tag = request_heading(F.col("release_tag"))
     top = _top()["heading"]
@@ -311,6 +312,7 @@ def release_notes(parsed: DataFrame, targets: DataFrame, newest_only: bool = Tru
     error = (
         F.when(malformed, "malformed request")
         .when(version != tag, "version and tag differ")
+        .when(F.col("entries").isNull(), "unknown file")
         .when(~F.col("is_valid"), "invalid changelog")
     )
     if newest_only:

@@ -33,8 +33,10 @@ def build_inventory(
     )
     fields = [F.nullif(F.col(f), F.lit("")).alias(f) for f in schemas.IDENTITY_FIELDS]
     known = identity.select("release", *fields)
+    # A release whose identity is not known gets a head without the fields.
+    described = totals.join(known, "release", "left")
     version = F.lit(schemas.RELEASE_MANIFEST_VERSION).alias("manifest_version")
-    heads = known.join(totals, "release").select(
+    heads = described.select(
         "release",
         version,
         *schemas.IDENTITY_FIELDS,
@@ -126,7 +128,8 @@ def check_expected(expected: DataFrame, files: DataFrame) -> DataFrame:
 def check_identity(releases: DataFrame, expected: DataFrame) -> DataFrame:
     """Identity fields that differ: release, field, expected, actual.
 
-    Only fields that are expected are compared; empty text counts as absent.
+    Only fields that are expected are compared; empty text counts as absent. An
+    expected release that has no metadata differs in every expected field.
     """
     wanted = expected.select(
         "release", *[F.nullif(F.col(f), F.lit("")).alias(f"want_{f}") for f in schemas.IDENTITY_FIELDS]
@@ -142,7 +145,7 @@ def check_identity(releases: DataFrame, expected: DataFrame) -> DataFrame:
         ]
     )
     return (
-        releases.join(wanted, "release")
+        wanted.join(releases, "release", "left")
         .select("release", F.explode(pairs).alias("p"))
         .select("release", "p.*")
         .where(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions import text
@@ -13,12 +13,27 @@ FIELD_SEPARATOR = "\u001f"
 MERGE_LOG_BYTES = 10 * 1024 * 1024
 
 
+def _decoded(column: Column) -> Column:
+    """Undo percent encoding; a plus sign stands for itself."""
+    return F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B")))
+
+
 def read_changelogs(spark: SparkSession, path: str) -> DataFrame:
-    """Whole changelog texts below ``path``: file, text."""
+    """Whole changelog texts below ``path``: file, text.
+
+    A text below a folder ``file=...`` has that name, as :func:`write_changelogs`
+    was given it; any other is named by its location.
+    """
+    location = F.col("_metadata.file_path")
+    # The folder name is escaped once by the writer and once more in the location.
+    folder = F.regexp_extract(location, r"/file=([^/]+)/[^/]*$", 1)
     return (
         spark.read.option("recursiveFileLookup", True)
         .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+        .select(
+            F.when(folder != "", _decoded(_decoded(folder))).otherwise(location).alias("file"),
+            F.col("value").alias("text"),
+        )
     )
 
 
@@ -30,11 +45,13 @@ def changelog_lines(texts: DataFrame) -> DataFrame:
 
 
 def parse_merge_logs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge records (file, record_no, subject, body) and logs over the size bound."""
-    fits = F.octet_length("text") <= MERGE_LOG_BYTES
+    """Merge records (file, record_no, subject, body), and a report of very long logs.
+
+    All records of every log are returned, also of those in the report.
+    """
+    large = F.octet_length("text") > MERGE_LOG_BYTES
     records = (
-        texts.where(fits)
-        .select("file", F.posexplode(F.split("text", RECORD_SEPARATOR, -1)).alias("i", "raw"))
+        texts.select("file", F.posexplode(F.split("text", RECORD_SEPARATOR, -1)).alias("i", "raw"))
         .withColumn("record", text.trim("raw"))
         .where(F.col("record") != "")
         .withColumn("fields", F.split("record", FIELD_SEPARATOR, 2))
@@ -46,7 +63,7 @@ def parse_merge_logs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             text.trim(F.col("fields")[0]).alias("subject"),
             F.coalesce(F.get("fields", F.lit(1)), F.lit("")).alias("body"),
         ),
-        texts.where(~fits).select("file", F.lit("merge log too large").alias("error")),
+        texts.where(large).select("file", F.lit("merge log too large").alias("error")),
     )
 
 
@@ -56,14 +73,29 @@ def read_merge_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def write_changelogs(rendered: DataFrame, path: str) -> None:
-    """One text per file, in folders by ``file``.
+    """One text per file, byte for byte, in folders by ``file``; other files stay as they are.
 
+    The text sink ends every row with a separator, so a text is written without
+    its last character, and with that as the separator: one write for each
+    character that texts end with, usually the line end alone. An empty text
+    leaves a folder's old content in place, as there is nothing to write.
     Creating the files is the work here, so they are spread over all tasks.
     """
     tasks = int(rendered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rendered.select(
-        "file", F.regexp_replace("text", "\n\\z", "").alias("value")
-    ).repartition(tasks, "file").write.mode("overwrite").partitionBy("file").text(path)
+    rows = rendered.select(
+        "file", "text", F.right("text", F.lit(1)).alias("end")
+    ).where(F.col("end") != "")
+    for (end,) in sorted(tuple(r) for r in rows.select("end").distinct().collect()):
+        (
+            rows.where(F.col("end") == end)
+            .select("file", F.left("text", F.length("text") - 1).alias("value"))
+            .repartition(tasks, "file")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("lineSep", end)
+            .partitionBy("file")
+            .text(path)
+        )
 
 
 def write_notes(notes: DataFrame, path: str) -> None:

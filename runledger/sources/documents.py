@@ -39,13 +39,11 @@ def read_documents(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"plan": plan, "graph": graph, "list": listing}
 
 
-def write_graph_documents(
-    edges: DataFrame, tasks: DataFrame, path: str, per_row: int = 10_000
-) -> None:
-    """Graph documents, one JSON line per task (and per ``per_row`` dependencies)."""
+def write_graph_documents(edges: DataFrame, tasks: DataFrame, path: str) -> None:
+    """Graph documents, one JSON line per task."""
     node = ["project_id", "task_id"]
     lists = (
-        edges.groupBy(*node, F.floor(F.col("dep_pos") / per_row).alias("part"))
+        edges.groupBy(*node)
         .agg(F.array_sort(F.collect_list(F.struct("dep_pos", "dep_id"))).alias("deps"))
         .select(*node, F.transform("deps", lambda d: d["dep_id"]).alias("depends_on"))
     )
