@@ -45,6 +45,10 @@ def s3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("project", "task", F.col("dep_pos").cast("string").alias("dep_pos"), "dep_id")
 
 
+def p2_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mx.matrix_rejects(views.tasks(spark, sf_dir))
+
+
 def e6_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.redact_env(views.tasks(spark, sf_dir)).select(
         "project_id", "base", _text("env_names").alias("env_names"), "env_text"
@@ -161,7 +165,7 @@ def l6_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        s2_manifests, s3_documents, e6_redact, p1_refs, p2_matrix, p3_interpolate, p4_edges, p9_plan,
+        s2_manifests, s3_documents, e6_redact, p1_refs, p2_matrix, p2_rejects, p3_interpolate, p4_edges, p9_plan,
         p10_list, p14_nearest_root, l1_fields, l2_patterns, l3_matrix, l4_references, l5_suggest,
         l6_unknown,
     ]
@@ -256,6 +260,10 @@ FROM (SELECT *, NOT contains(ref, '[') OR
     "p2_matrix": with_views(["v_inst"], """
 SELECT project_id, base, task_id, CASE WHEN k1 IS NULL THEN '' ELSE k1 || '=' || v1
   || coalesce('|' || k2 || '=' || v2, '') END AS dims FROM v_inst"""),
+    "p2_rejects": with_views(["v_task"], """
+SELECT project_id, base, (len(matrix[1].vs) * len(matrix[2].vs))::BIGINT AS instances,
+  'matrix too large' AS reason FROM v_task
+WHERE len(matrix) = 2 AND len(matrix[1].vs) * len(matrix[2].vs) > 1024"""),
     "p3_interpolate": with_views(["v_inst"], _FILLED + """
 SELECT project_id, task_id,
   array_to_string(list_transform(command, lambda x: coalesce(x, '?')), '|') AS command, cwd, env_os,
@@ -270,7 +278,8 @@ SELECT project_id, task_id,
       THEN 'unterminated placeholder' END) AS errors
 FROM filled"""),
     "p4_edges": with_views(["v_inst"], _EDGES + """
-SELECT project_id, task_id, dep_pos::VARCHAR AS dep_pos, dep_id, NULL AS error FROM edge
+SELECT project_id, task_id, (row_number() OVER (PARTITION BY project_id, task_id ORDER BY dep_pos)
+  - 1)::VARCHAR AS dep_pos, dep_id, NULL AS error FROM edge
 UNION ALL SELECT project_id, task_id, NULL, ref, error FROM judged WHERE error IS NOT NULL
 UNION ALL SELECT project_id, task_id, NULL, ref, 'inherited value is missing' FROM judged j
 WHERE error IS NULL AND NOT explicit AND NOT EXISTS (SELECT 1 FROM matched m

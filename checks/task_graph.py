@@ -196,7 +196,7 @@ walk AS (
 SELECT run_id, failed_task, task_id AS blocked_task, min(hops)::BIGINT AS hops FROM walk
 WHERE hops > 0 GROUP BY ALL""", True),
     "p15_graph": with_views(["v_edge"], """
-SELECT n.project_id, n.task_id, 0::BIGINT AS part,
+SELECT n.project_id, n.task_id,
   n.task_id || coalesce(' <- ' || d, '') AS line,
   '{"task":"' || n.task_id || '","depends_on":[' || coalesce('"' || replace(d, ', ', '","') || '"', '')
     || ']}' AS document

@@ -217,7 +217,9 @@ def task_keys(own: DataFrame, edges: DataFrame, levels: DataFrame) -> DataFrame:
     ``levels`` from ``plan_levels``. Level by level, new keys are pushed along
     the edges to the tasks that wait for them. Edges are stored by the level of
     their dependency and pushed keys by the level of the receiver, so every
-    edge is read once and no earlier level is scanned again.
+    edge is read once and no earlier level is scanned again. A task without a
+    level lies on a cycle or needs one that does; its key is null, and so it
+    can never be found in a cache.
     """
     spark = own.sparkSession
     placed = levels.select(*_TASK, "level")
@@ -235,8 +237,10 @@ def task_keys(own: DataFrame, edges: DataFrame, levels: DataFrame) -> DataFrame:
     )
     keys_base, sent_base = scratch_path(spark, "keys"), scratch_path(spark, "key-parts")
     top = nodes.agg(F.max("level")).first()[0]
+    unordered = own.select(*_TASK).join(placed.select(*_TASK), _TASK, "left_anti")
+    keyless = unordered.withColumn("key", F.lit(None).cast("string"))
     if top is None:
-        return own.select(*_TASK, F.col("own").alias("key"))
+        return keyless
     sent_schema = "project_id STRING, task_id STRING, dep_pos BIGINT, dep_key STRING, task_level BIGINT"
     key_schema = "project_id STRING, task_id STRING, key STRING, level BIGINT"
     links.limit(0).select(
@@ -261,7 +265,7 @@ def task_keys(own: DataFrame, edges: DataFrame, levels: DataFrame) -> DataFrame:
             ).select(*_TASK, "dep_pos", "dep_key", "task_level").write.mode("append").partitionBy(
                 "task_level"
             ).parquet(sent_base)
-    return spark.read.schema(key_schema).parquet(keys_base).drop("level")
+    return spark.read.schema(key_schema).parquet(keys_base).drop("level").unionByName(keyless)
 
 
 def cache_decisions(

@@ -278,7 +278,8 @@ def suggest_names(unknown: DataFrame, candidates: DataFrame) -> DataFrame:
 def unknown_fields(raw: DataFrame) -> DataFrame:
     """Undeclared keys in raw manifest JSON, at each of the four levels.
 
-    ``raw``: project_id, manifest (JSON text).
+    ``raw``: project_id, manifest (JSON text). The key that tells the manifests
+    of a fleet apart is declared; text that is no JSON object is a violation.
     """
     as_map = lambda column: F.from_json(column, "map<string,string>")
     top = raw.select("project_id", as_map(F.col("manifest")).alias("m"))
@@ -295,8 +296,14 @@ def unknown_fields(raw: DataFrame) -> DataFrame:
             "project_id", F.explode(as_map(F.col("m")[field])).alias("name", "body")
         ).withColumn("b", as_map(F.col("body")))
 
+    broken = top.where(F.col("m").isNull()).select(
+        "project_id", F.col("project_id").alias("subject"),
+        F.lit("malformed manifest").alias("rule"), F.lit("").alias("detail"),
+    )
+    declared = [*schemas.MANIFEST_KEYS, schemas.FLEET_KEY]
     found = [
-        undeclared(top, "manifest", F.col("project_id"), F.map_keys("m"), schemas.MANIFEST_KEYS),
+        broken,
+        undeclared(top, "manifest", F.col("project_id"), F.map_keys("m"), declared),
         undeclared(
             top,
             "project",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger import schemas
+from runledger.functions import ordered
 from runledger.functions.rows import explode_rows
 
 _DIMS = "array<struct<key:string,value:string>>"
@@ -123,13 +124,22 @@ def parse_refs(refs: DataFrame, column: str = "ref") -> DataFrame:
 def expand_matrix(tasks: DataFrame) -> DataFrame:
     """One row per instance: adds ``dims`` and ``task_id`` (``base`` is the name).
 
-    Tasks with more than 1,024 instances are left to the lint.
+    Tasks with more than 1,024 instances are refused: see :func:`matrix_rejects`.
     """
     return explode_rows(
         tasks, tasks.columns, matrix_instances(F.col("matrix"), no_dims()), "dims"
     ).withColumn("task_id", format_id(F.col("base"), F.col("dims")))
 
 
+def matrix_rejects(tasks: DataFrame) -> DataFrame:
+    """The tasks that :func:`expand_matrix` refuses: project_id, base, instances, reason."""
+    size = matrix_size(F.col("matrix"))
+    return tasks.where(~is_expandable(F.col("matrix"))).select(
+        "project_id", "base", size.cast("bigint").alias("instances"),
+        F.lit("matrix too large").alias("reason"),
+    )
+
+
 def interpolate_text(text: Column, dims: Column) -> Column:
     """``STRUCT<text, error>`` after one left-to-right pass over ``${key}``."""
     literals = F.split(text, r"\$\{[^}]*\}", -1)
@@ -248,8 +258,11 @@ def resolve_edges(instances: DataFrame, tasks: DataFrame) -> tuple[DataFrame, Da
         "dep_id",
         "i",
     )
-    dep_pos = (F.col("ref_pos") * schemas.MAX_MATRIX_INSTANCES + F.col("i")).cast("bigint")
+    # Positions are dense; the targets of one reference are a block of them.
+    placed = ordered.position(
+        edges, ["project_id", "task_id"], ["i"], F.col("ref_pos").cast("bigint"), "dep_pos"
+    )
     return (
-        edges.select("project_id", "task_id", dep_pos.alias("dep_pos"), "dep_id"),
+        placed.select("project_id", "task_id", "dep_pos", "dep_id"),
         resolved.where(F.col("error").isNotNull()).select("project_id", "task_id", "ref", "error"),
     )

@@ -23,13 +23,15 @@ def build_plan(
     """Every selected instance with its settings, order and display line.
 
     ``instances`` are interpolated; ``levels`` comes from ``plan_levels`` and
-    ``members`` from ``mark_finalizers``. Environment values are not shown.
+    ``members`` from ``mark_finalizers``. Environment values are not shown. An
+    instance without a level cannot be ordered, as it lies on a cycle or needs
+    one that does; ``reason`` says so, and is null for all others.
     """
     node = ["project_id", "task_id"]
     deps = edges.groupBy(*node).agg(F.count("*").alias("dep_count"))
     rows = (
         members.join(instances, node)
-        .join(levels.select(*node, "level"), node)
+        .join(levels.select(*node, "level"), node, "left")
         .join(deps, node, "left")
         .withColumn("dep_count", F.coalesce("dep_count", F.lit(0)))
         .withColumn("env_names", F.array_sort(F.map_keys("env")))
@@ -65,7 +67,8 @@ def build_plan(
             "",
         ),
     )
-    return rows.withColumn("line", shown).drop("env", "matrix", "depends_on", "dims")
+    reason = F.when(F.col("level").isNull(), "depends on a cycle")
+    return rows.withColumn("line", shown).withColumn("reason", reason).drop("env", "matrix", "depends_on", "dims")
 
 
 def list_projects(projects: DataFrame, tasks: DataFrame, pipelines: DataFrame) -> DataFrame:

@@ -44,6 +44,8 @@ DEFAULT_PIPELINE = "ci"
 DEFAULT_TIMEOUT_SECONDS = 600
 DEFAULT_MAX_OUTPUT_BYTES = 16 * 1024 * 1024
 MAX_RETRY_BACKOFF_SECONDS = 86_400
+# Key that a manifest document carries to tell projects apart.
+FLEET_KEY = "project_id"
 MAX_MATRIX_INSTANCES = 1024
 MAX_TAIL_LINES = 1000
 
