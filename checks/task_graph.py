@@ -128,12 +128,12 @@ FROM top""", True),
 top AS (SELECT project_id, task_id, max(level)::BIGINT AS level FROM walk GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY level, task_id) - 1 AS plan_order
 FROM top""", True),
-    "p7_cycles": with_views(["v_cyc"], _REACH + """, inside AS (
-  SELECT e.* FROM v_cyc e WHERE (e.project_id, e.task_id) IN (SELECT (project_id, task_id) FROM residue)
-    AND (e.project_id, e.dep_id) IN (SELECT (project_id, task_id) FROM residue)),
-step AS (SELECT project_id, task_id, arg_min(dep_id, dep_pos) AS target FROM inside
-  WHERE (project_id, task_id) IN (SELECT (l.project_id, r.dst) FROM reach r JOIN looped l
-    ON l.project_id = r.project_id AND l.task_id = r.src)
+    "p7_cycles": with_views(["v_cyc"], _REACH + """, mutual AS (
+  SELECT a.project_id, a.src AS task_id, min(a.dst) AS part FROM reach a
+    JOIN reach b ON b.project_id = a.project_id AND b.src = a.dst AND b.dst = a.src GROUP BY ALL),
+step AS (SELECT e.project_id, e.task_id, arg_min(dep_id, dep_pos) AS target FROM v_cyc e
+  JOIN mutual m ON m.project_id = e.project_id AND m.task_id = e.task_id
+  JOIN mutual n ON n.project_id = e.project_id AND n.task_id = e.dep_id AND n.part = m.part
   GROUP BY ALL),
 orbit AS (
   SELECT project_id, task_id AS src, target AS dst FROM step
@@ -143,7 +143,8 @@ leads AS (SELECT o.project_id, o.src AS task_id, min(o.dst) AS lead FROM orbit o
   WHERE (o.project_id, o.src) IN (SELECT (project_id, src) FROM orbit WHERE src = dst)
   GROUP BY ALL),
 path AS (
-  SELECT project_id, lead AS cycle_id, 0 AS pos, lead AS task_id FROM leads WHERE task_id = lead
+  SELECT project_id, min(lead) AS cycle_id, 0 AS pos, min(lead) AS task_id FROM leads
+    JOIN mutual USING (project_id, task_id) WHERE task_id = lead GROUP BY project_id, part
   UNION SELECT p.project_id, p.cycle_id, p.pos + 1, s.target FROM path p
     JOIN step s ON s.project_id = p.project_id AND s.task_id = p.task_id
     WHERE p.pos = 0 OR p.task_id <> p.cycle_id)
