@@ -27,30 +27,66 @@ def glob_regex(pattern: Column) -> Column:
 
 
 def compile_patterns(patterns: Column) -> Column:
-    """``ARRAY<STRING>`` to ``ARRAY<STRUCT<idx, exclude, source, prefix, regex>>``."""
+    """``ARRAY<STRING>`` to ``ARRAY<STRUCT<idx, exclude, source, prefix, regex, folder, tail>>``.
+
+    A path that the pattern matches has ``folder`` among its :func:`path_folders`
+    and ``tail`` among its :func:`path_tails`.
+    """
 
     def compiled(pattern: Column, idx: Column) -> Column:
         exclude = pattern.startswith("!")
         source = F.when(exclude, F.substr(pattern, F.lit(2))).otherwise(pattern)
+        last = F.substring_index(source, "/", -1)
+        ending = F.regexp_extract(last, r"\A[^*]*\*+(\.[^*.]+)\z", 1)
         return F.struct(
             idx.cast("bigint").alias("idx"),
             exclude.alias("exclude"),
             source.alias("source"),
             F.substring_index(source, "*", 1).alias("prefix"),
             glob_regex(source).alias("regex"),
+            # The folders before the first wildcard, all literal.
+            F.regexp_extract(F.substring_index(source, "*", 1), r"\A([\s\S]*)/", 1).alias("folder"),
+            # A literal name, or a literal ending of it, or nothing to go by.
+            F.when(~last.contains("*"), F.concat(F.lit("name:"), last))
+            .when(ending != "", F.concat(F.lit("ending:"), ending))
+            .otherwise("").alias("tail"),
         )
 
     return F.transform(patterns, compiled)
 
 
+def path_folders(path: Column) -> Column:
+    """The path itself and all folders above it, the outermost one empty."""
+    parts = F.split(path, "/", -1)
+    depths = F.sequence(F.lit(1), F.size(parts))
+    return F.array_distinct(
+        F.concat(
+            F.array(F.lit("")),
+            F.transform(depths, lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")),
+        )
+    )
+
+
+def path_tails(path: Column) -> Column:
+    """What a pattern's ``tail`` may be for this path."""
+    name = F.substring_index(path, "/", -1)
+    ending = F.concat(F.lit("ending:."), F.substring_index(name, ".", -1))
+    return F.array(F.lit(""), F.concat(F.lit("name:"), name), ending)
+
+
 def matches(path: Column, pattern: Column) -> Column:
     """Whether one compiled pattern matches.
 
     The literal start of the pattern is compared first, so paths it can never
-    reach do not run the regular expression.
+    reach do not run the regular expression; nor do patterns without wildcard,
+    or with all of a folder, which the start decides.
     """
     subject = F.concat(path, F.lit("/"))
-    return subject.startswith(pattern["prefix"]) & F.rlike(subject, pattern["regex"])
+    source, prefix = pattern["source"], pattern["prefix"]
+    whole_folder = (source == F.concat(prefix, F.lit("**"))) & ((prefix == "") | prefix.endswith("/"))
+    return subject.startswith(prefix) & F.when(whole_folder, True).when(
+        source == prefix, path == source
+    ).otherwise(F.rlike(subject, pattern["regex"]))
 
 
 def selects(path: Column, compiled: Column) -> Column:
@@ -60,10 +96,3 @@ def selects(path: Column, compiled: Column) -> Column:
         F.lit(False),
         lambda selected, p: F.when(matches(path, p), ~p["exclude"]).otherwise(selected),
     )
-
-
-def matched_positive(path: Column, compiled: Column) -> Column:
-    """Positions of the positive patterns that match the path."""
-    return F.transform(
-        F.filter(compiled, lambda p: ~p["exclude"] & matches(path, p)), lambda p: p["idx"]
-    )

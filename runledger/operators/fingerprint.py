@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.functions import globs, ordered, text
-from runledger.functions.rows import explode_rows
 from runledger.operators.graph import _spread, _up
 from runledger.session import scratch_path, settle
 
@@ -17,22 +16,42 @@ _DIGEST_BLOCKS = 4096
 SKIPPED_FOLDERS = (".git",)
 
 
-def _candidates(
+def _matches(
     files: DataFrame, tasks: DataFrame, patterns: str, skip: tuple[str, ...]
 ) -> DataFrame:
-    """Files beside the compiled pattern list of each task of their project.
+    """Files beside every pattern of their project that matches: task_id and ``p``.
 
-    The pattern lists are compiled once per task. Spark broadcasts the task
-    side when it is small; otherwise the join is by project, and a project with
-    very many files is split by the skew handling of adaptive execution.
+    Patterns are rows, compiled once. They meet files by the literal folder they
+    start in and the literal name or ending they end with, so a file is only
+    compared with patterns that can reach it. Spark broadcasts the patterns when
+    they are few; otherwise a crowded folder is split by the skew handling of
+    adaptive execution.
     """
-    compiled = tasks.select(*_TASK, globs.compile_patterns(F.col(patterns)).alias("compiled")).where(
-        F.size("compiled") > 0
-    )
+    compiled = tasks.select(
+        *_TASK, F.explode(globs.compile_patterns(F.col(patterns))).alias("p")
+    ).select(*_TASK, "p", F.col("p.folder").alias("_folder"), F.col("p.tail").alias("_tail"))
     visible = files.where(
         ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(name) for name in skip]))
     )
-    return visible.join(compiled, "project_id")
+    keyed = visible.withColumn("_folder", F.explode(globs.path_folders(F.col("path")))).withColumn(
+        "_tail", F.explode(globs.path_tails(F.col("path")))
+    )
+    return (
+        keyed.join(compiled, ["project_id", "_folder", "_tail"])
+        .where(globs.matches(F.col("path"), F.col("p")))
+        .select(*files.columns, "task_id", "p")
+    )
+
+
+def _selected(files: DataFrame, tasks: DataFrame, patterns: str, skip: tuple[str, ...]) -> DataFrame:
+    """Files that the last matching pattern of a task selects."""
+    return (
+        _matches(files, tasks, patterns, skip)
+        .groupBy(*files.columns, "task_id")
+        .agg(F.max_by(~F.col("p.exclude"), "p.idx").alias("_selected"))
+        .where("_selected")
+        .drop("_selected")
+    )
 
 
 def select_files(
@@ -46,11 +65,7 @@ def select_files(
     ``files``: project_id, path, is_symlink and any further columns.
     """
     regular = files.where(~F.col("is_symlink"))
-    return (
-        _candidates(regular, tasks, patterns, skip)
-        .where(globs.selects(F.col("path"), F.col("compiled")))
-        .drop("compiled", "is_symlink")
-    )
+    return _selected(regular, tasks, patterns, skip).drop("is_symlink")
 
 
 def unmatched_patterns(
@@ -61,12 +76,12 @@ def unmatched_patterns(
 ) -> DataFrame:
     """Positive patterns that match no regular file, excluded later or not."""
     regular = files.where(~F.col("is_symlink")).select("project_id", "path")
-    matched = explode_rows(
-        _candidates(regular, tasks, patterns, skip),
-        _TASK,
-        globs.matched_positive(F.col("path"), F.col("compiled")),
-        "idx",
-    ).distinct()
+    matched = (
+        _matches(regular, tasks, patterns, skip)
+        .where(~F.col("p.exclude"))
+        .select(*_TASK, F.col("p.idx").alias("idx"))
+        .distinct()
+    )
     declared = tasks.select(
         *_TASK, F.explode(globs.compile_patterns(F.col(patterns))).alias("p")
     ).where(~F.col("p.exclude"))
@@ -85,8 +100,7 @@ def symlink_matches(
     """The smallest selected symlink of each task that selects any."""
     links = files.where("is_symlink").select("project_id", "path")
     return (
-        _candidates(links, tasks, patterns, skip)
-        .where(globs.selects(F.col("path"), F.col("compiled")))
+        _selected(links, tasks, patterns, skip)
         .groupBy(*_TASK)
         .agg(F.min("path").alias("path"))
     )

@@ -183,3 +183,19 @@ def test_first_writer_wins(spark, rows):
         "key string, written_at bigint, writer string",
     )
     assert rows(fp.append_entries(index, new)) == [("new", 1, "c")]
+
+
+def test_keyed_matching_equals_comparing_everything(spark, rows):
+    names = ["a", "src", "x.md", ".txt", "b.c.txt", "Cargo.toml", "a*b"]
+    paths = [*names, *[f"{d}/{n}" for d in ("src", "src/a", "docs/src/a", ".x") for n in names]]
+    sources = ["**", "*", "src", "src/**", "**/x.md", "src/*/x.md", "*.txt", "**/*.txt", "s*/**", "src/a*b", "docs/**/a",
+               "**/*.*", "src/**/**", "*/a/**", "a*b", "**.txt", ".x/.txt", "", "/", "src/"]
+    tasks = spark.createDataFrame(
+        [("p", f"t{k}", [s]) for k, s in enumerate(sources)]
+        + [("p", "mixed", ["**", "!src/**", "src/a/**", "!**/*.txt"])],
+        "project_id string, task_id string, inputs array<string>",
+    )
+    table = spark.createDataFrame([("p", path, False) for path in paths], "project_id string, path string, is_symlink boolean")
+    compiled = tasks.select("task_id", globs.compile_patterns(F.col("inputs")).alias("c"))
+    want = table.select("path").crossJoin(compiled).where(globs.selects(F.col("path"), F.col("c")))
+    assert rows(fp.select_files(table, tasks), "path", "task_id") == rows(want, "path", "task_id")
