@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views
-from checks.run_log import _FRAMED, _STATES
+from checks.run_log import _COUNTS_SQL, _FRAMED, _STATES
 from checks.views import with_views
 from runledger.operators import events as ev
 from runledger.session import scratch_path
@@ -32,7 +32,7 @@ def _stream(spark: SparkSession, events: DataFrame, **options) -> DataFrame:
     repeated = options.pop("repeated", False)
     path = _log(spark, events, repeated)
     pattern = f"{path}/{{*,*/*}}/*.txt" if repeated else f"{path}/*/*.txt"
-    return rs.stream_run_log(spark, pattern, **options)
+    return rs.stream_run_log(spark, pattern, **{"files_per_trigger": 2, **options})
 
 
 def _finished(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -65,7 +65,8 @@ def t3_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event", F.lit("task_finished")
     )
     log = encoded.unionByName(retries, True).unionByName(ends, True)
-    stream = _stream(spark, log, distinct=False)
+    # Framing needs the chunks in order, which files of one second do not keep.
+    stream = _stream(spark, log, distinct=False, files_per_trigger=None)
     digits = F.transform(F.col("bytes"), lambda b: F.lpad(F.hex(b.cast("bigint")), 2, "0"))
     chunks = stream.where(
         F.col("event").isin("task_output", "task_finished") | (F.col("attempt") > 1)
@@ -77,9 +78,8 @@ def t3_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t4_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _stream(spark, views.events(spark, sf_dir), distinct=False)
-    return _finished(spark, rs.stream_run_finish(stream), "t4").withColumn(
-        "run_id", F.col("run_id").cast("bigint")
-    )
+    states = _finished(spark, rs.stream_task_states(stream), "t4", "update")
+    return rs.finished_runs(states).withColumn("run_id", F.col("run_id").cast("bigint"))
 
 
 QUERIES = {f.__name__: f for f in [t1_stream, t2_progress, t3_frame, t4_finish]}
@@ -97,14 +97,10 @@ LEFT JOIN (SELECT run_id, count(*) FILTER (fin IS NULL) AS running,
     "t3_frame": with_views(["v_chunk", "v_break"], _FRAMED + """
 SELECT run_id, task, stream, segment, line_no, '[' || task || '] ' || piece AS line, flushed
 FROM framed"""),
-    "t4_finish": with_views(["v_evt"], """, stop AS (
-  SELECT run_id, min(sequence) AS stop FROM v_evt WHERE event = 'run_finished' GROUP BY run_id),
-last AS (SELECT run_id, task, arg_max(status, sequence) AS status FROM v_evt JOIN stop USING (run_id)
-  WHERE event = 'task_finished' AND status <> 'exploded' AND sequence < stop GROUP BY ALL)
-SELECT run_id, count(*) FILTER (status = 'completed') AS completed,
-  count(*) FILTER (status = 'cached') AS cached,
-  count(*) FILTER (status IN ('failed', 'timed_out', 'output_limit')) AS failed,
-  count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (status = 'blocked') AS blocked,
+    "t4_finish": with_views(["v_evt"], _STATES + """
+SELECT run_id, coalesce(completed, 0) AS completed, coalesce(cached, 0) AS cached,
+  coalesce(failed, 0) AS failed, coalesce(cancelled, 0) AS cancelled, coalesce(blocked, 0) AS blocked,
   false AS abandoned
-FROM stop LEFT JOIN last USING (run_id) GROUP BY run_id"""),
+FROM (SELECT DISTINCT run_id FROM v_evt WHERE event = 'run_finished') r
+LEFT JOIN (SELECT run_id, """ + _COUNTS_SQL + """ FROM states GROUP BY run_id) s USING (run_id)"""),
 }

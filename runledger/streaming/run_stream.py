@@ -2,7 +2,8 @@
 
 Events carry no time of their own, so the ingestion time of their file stands
 in for it. Every job here gives the result of its batch twin once all input
-has been read.
+has been read, in whatever order its files arrive; line framing alone needs the
+chunks of a task in the order of their sequence.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,7 +24,6 @@ from runledger.operators import runs
 # copy of this package. They only use what this module itself defines.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_COUNTS = list(runs.COUNTS)
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,53 +35,96 @@ def use_rocksdb(spark: SparkSession) -> None:
 def stream_run_log(
     spark: SparkSession,
     path: str,
-    delay: str = "10 minutes",
+    delay: str | None = None,
     files_per_trigger: int | None = None,
     distinct: bool = True,
 ) -> DataFrame:
     """Events of the logs below ``path`` with their ingestion time.
 
-    With ``distinct`` an event delivered again within ``delay`` is dropped.
+    With ``distinct`` an event delivered again is dropped, however late; the
+    state keeps the number of every event. A ``delay`` bounds the state, at a
+    price: what is repeated later than that is no longer known, and rows of files
+    that are older by more than ``delay`` than the newest one are dropped.
     """
-    reader = spark.readStream.schema(schemas.RUN_LOG)
+    # A file counts by being new, not by its age: the reader would pass over old ones.
+    reader = spark.readStream.schema(schemas.RUN_LOG).option("maxFileAge", "36500d")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     events = (
         reader.json(path)
         .where(F.col("event").isNotNull())
         .withColumn("ingested", F.col("_metadata.file_modification_time"))
-        .withWatermark("ingested", delay)
     )
+    if delay is None:
+        return events.dropDuplicates(["run_id", "sequence"]) if distinct else events
+    events = events.withWatermark("ingested", delay)
     return events.dropDuplicatesWithinWatermark(["run_id", "sequence"]) if distinct else events
 
 
-def stream_task_states(events: DataFrame, window: str = "1 day") -> DataFrame:
+def stream_task_states(events: DataFrame, window: str | None = None) -> DataFrame:
     """What is known of each task so far, for output mode ``update``.
 
-    State is one row per task and ingestion window, dropped once the watermark
-    passes the window. Rows are maxima, so :func:`progress_of` may see a row
-    twice or several windows of one task and still be exact. A run of any size
-    is spread over its tasks.
+    State is one row per task. Rows are maxima, so the order in which events
+    arrive does not matter, and :func:`progress_of` and :func:`finished_runs` may
+    see a row twice and still be exact. A run of any size is spread over its
+    tasks. With ``window``, and a ``delay`` of the stream, state is kept by
+    ingestion window and dropped once the watermark has passed it.
     """
     event = F.col("event")
     finish = F.when(event == "task_finished", F.struct("sequence", "status"))
+    keys = [F.col("run_id"), F.col("task"), *([F.window("ingested", window)] if window else [])]
     return (
-        events.groupBy(F.window("ingested", window), "run_id", "task")
+        events.groupBy(*keys)
         .agg(
             F.max(finish).alias("finish"),
             F.max(F.when(event == "run_finished", F.lit(1)).otherwise(0)).alias("run_finished"),
+            F.max("ingested").alias("last_ingested"),
         )
         .drop("window")
     )
 
 
+def _latest(states: DataFrame) -> DataFrame:
+    """One row per task of the rows that a stream of states emitted."""
+    return states.groupBy("run_id", "task").agg(
+        F.max("finish").alias("finish"),
+        F.max("run_finished").alias("run_finished"),
+        F.max("last_ingested").alias("last_ingested"),
+    )
+
+
+def finished_runs(states: DataFrame, silent_before: Column | None = None) -> DataFrame:
+    """Summary of every run that has finished, out of the rows :func:`stream_task_states` emitted.
+
+    The counts are those of the batch summary of the same events: a task without
+    a finish counts as blocked. Asked again after more input, a summary takes in
+    finishes that arrived late. With ``silent_before`` a run that is not finished,
+    and of which nothing was ingested since that time, is reported as abandoned.
+    """
+    # The row of the run itself has no task and belongs to none of the counts.
+    status = F.when(F.col("task").isNull(), F.lit("run")).otherwise(F.col("finish.status"))
+    totals = (
+        _latest(states)
+        .withColumn("status", status)
+        .groupBy("run_id")
+        .agg(
+            *runs.summary_counts(),
+            (F.max("run_finished") == 1).alias("finished"),
+            F.max("last_ingested").alias("last_ingested"),
+        )
+    )
+    told = F.col("finished")
+    if silent_before is not None:
+        told = told | (F.col("last_ingested") < silent_before)
+    return totals.where(told).select("run_id", *runs.COUNTS, (~F.col("finished")).alias("abandoned"))
+
+
 def progress_of(states: DataFrame) -> DataFrame:
     """Live header per run out of the rows :func:`stream_task_states` emitted."""
     status = F.col("finish.status")
     is_task = F.col("task").isNotNull()
     return (
-        states.groupBy("run_id", "task")
-        .agg(F.max("finish").alias("finish"), F.max("run_finished").alias("run_finished"))
+        _latest(states)
         .groupBy("run_id")
         .agg(
             F.count_if(is_task & F.col("finish").isNull()).alias("running"),
@@ -198,109 +241,6 @@ def stream_frame_lines(chunks: DataFrame, idle_ms: int | None = None) -> DataFra
     )
 
 
-_GROUP_OF = {
-    "completed": "completed",
-    "cached": "cached",
-    "failed": "failed",
-    "timed_out": "failed",
-    "output_limit": "failed",
-    "cancelled": "cancelled",
-    "blocked": "blocked",
-}
-
-
-class _RunFinish(StatefulProcessor):
-    """Counts the finished tasks of one run until the run finishes."""
-
-    OUTPUT = (
-        "run_id DECIMAL(20,0), completed BIGINT, cached BIGINT, failed BIGINT, "
-        "cancelled BIGINT, blocked BIGINT, abandoned BOOLEAN"
-    )
-
-    def __init__(self, idle_ms: int | None):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.groups = handle.getMapState("groups", "task STRING", "part STRING")
-        self.counts = handle.getValueState(
-            "counts", ", ".join(f"{name} BIGINT" for name in _COUNTS)
-        )
-        self.closed = handle.getValueState("closed", "closed BOOLEAN")
-
-    def _row(self, key, counts, abandoned) -> pd.DataFrame:
-        return pd.DataFrame(
-            [(key[0], *[counts[name] for name in _COUNTS], abandoned)],
-            columns=["run_id", *_COUNTS, "abandoned"],
-        )
-
-    def _load(self) -> dict[str, int]:
-        values = self.counts.get() if self.counts.exists() else [0] * len(_COUNTS)
-        return dict(zip(_COUNTS, values))
-
-    def handleInputRows(self, key, rows, timerValues):
-        if self.closed.exists():
-            return
-        counts = self._load()
-        for event in _in_order(rows).itertuples(index=False):
-            if event.event == "run_finished":
-                self.groups.clear()
-                self.counts.clear()
-                self.closed.update((True,))
-                for timer in self.handle.listTimers() if self.idle_ms is not None else ():
-                    self.handle.deleteTimer(timer)
-                yield self._row(key, counts, False)
-                return
-            task = (event.task,)
-            if self.groups.containsKey(task):
-                counts[self.groups.getValue(task)[0]] -= 1
-            part = _GROUP_OF[event.status]
-            self.groups.updateValue(task, (part,))
-            counts[part] += 1
-        self.counts.update(tuple(counts[name] for name in _COUNTS))
-        if self.idle_ms is not None:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """A run that stays silent is reported as abandoned."""
-        counts = self._load()
-        self.groups.clear()
-        self.counts.clear()
-        self.closed.update((True,))
-        yield self._row(key, counts, True)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_run_finish(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """One summary row per run, emitted when its ``run_finished`` arrives.
-
-    Only finish events with a known status enter the state, which is touched
-    task by task and never read as a whole. With ``idle_ms`` a run that stays
-    silent that long is reported as abandoned.
-    """
-    finishes = events.where(
-        (F.col("event") == "run_finished")
-        | ((F.col("event") == "task_finished") & F.col("status").isin(schemas.STATUSES))
-    )
-    return (
-        finishes.select(
-            F.col("run_id").cast("decimal(20,0)").alias("run_id"),
-            "sequence", "event", "task", "status",
-        )
-        .groupBy("run_id")
-        .transformWithStateInPandas(
-            statefulProcessor=_RunFinish(idle_ms),
-            outputStructType=_RunFinish.OUTPUT,
-            outputMode="Append",
-            timeMode="ProcessingTime" if idle_ms is not None else "None",
-        )
-    )
-
-
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Read everything available into a table below ``path`` and return it.
 

@@ -4,7 +4,6 @@ import json
 import os
 import subprocess
 import sys
-import time
 
 import pytest
 from pyspark import cloudpickle
@@ -93,38 +92,37 @@ def test_lines_are_framed_across_triggers(spark, rows, tmp_path):
     ]
 
 
-def test_run_is_summarised_when_it_finishes(spark, rows, tmp_path):
+def shuffled(batches):
+    """The same events in other files and another order."""
+    events = [e for batch in reversed(batches) for e in reversed(batch)]
+    return [events[k::3] for k in range(3)]
+
+
+@pytest.mark.parametrize("arrange", [list, shuffled])
+def test_runs_are_summarised_as_in_batch(spark, rows, tmp_path, arrange):
+    path = write_log(tmp_path / "log", arrange(BATCHES))
+    states = run(rs.stream_task_states(live(spark, path, distinct=False)), tmp_path, "t4", "update")
+    events = spark.read.schema(live(spark, path, distinct=False).schema).json(path).where("event is not null")
+    batch = runs.run_summary(runs.task_results(events)).where("run_id = 1")
+    assert rows(rs.finished_runs(states), *runs.COUNTS) == rows(batch, *runs.COUNTS) == [(2, 0, 1, 0, 0)]
+
+
+def test_late_and_old_files_are_not_lost(spark, rows, tmp_path):
     path = write_log(tmp_path / "log", BATCHES)
-    got = run(rs.stream_run_finish(live(spark, path, distinct=False)), tmp_path, "t4")
-    assert rows(got, *runs.COUNTS, "abandoned") == [(1, 0, 1, 0, 0, False)]
-
-
-def run_until(stream, tmp_path, label, enough, seconds=60):
-    """Run continuously until the table satisfies ``enough``."""
-    path = str(tmp_path / label)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", f"{path}-state")
-        .trigger(processingTime="1 second")
-        .start(path)
-    )
-    try:
-        for _ in range(seconds):
-            time.sleep(1)
-            if not os.path.isdir(path):
-                continue
-            table = stream.sparkSession.read.schema(stream.schema).parquet(path)
-            if enough(table):
-                return table
-    finally:
-        query.stop()
-    raise AssertionError("the expected rows did not arrive")
+    run(live(spark, path), tmp_path, "t1")
+    late = tmp_path / "log" / "late.json"
+    late.write_text("".join(json.dumps({"schema": 1, **e}) + "\n" for e in [finish(20, "z", "cached"), *BATCHES[0]]))
+    os.utime(late, (1_500_000_000,) * 2)
+    got = run(live(spark, path), tmp_path, "t1")
+    assert got.count() == 1 + sum(len([e for e in b if "event" in e]) for b in BATCHES)
+    assert got.where("task = 'z'").count() == 1
 
 
 def test_silent_runs_are_reported(spark, rows, tmp_path):
     path = write_log(tmp_path / "log", BATCHES[2:3])
-    stream = rs.stream_run_finish(live(spark, path, distinct=False), idle_ms=500)
-    got = run_until(stream, tmp_path, "ends", lambda t: t.count() >= 2)
+    states = run(rs.stream_task_states(live(spark, path, distinct=False)), tmp_path, "ends", "update")
+    assert rs.finished_runs(states, F.lit("2020-01-01").cast("timestamp")).count() == 0
+    got = rs.finished_runs(states, F.lit("2030-01-01").cast("timestamp"))
     assert rows(got.select(F.col("run_id").cast("int"), *runs.COUNTS, "abandoned")) == [
         (1, 1, 0, 1, 0, 0, True), (2, 0, 1, 0, 0, 0, True),
     ]
@@ -136,7 +134,7 @@ def test_decode_on_a_stream(spark, tmp_path):
     assert got.count() == 5
 
 
-@pytest.mark.parametrize("processor", [rs._FrameLines(None), rs._RunFinish(None)])
+@pytest.mark.parametrize("processor", [rs._FrameLines(None)])
 def test_processors_load_without_this_package(processor, tmp_path):
     path = tmp_path / "processor.pickle"
     path.write_bytes(cloudpickle.dumps(processor))
