@@ -2,9 +2,9 @@
 
 Two zstandard dictionaries are built, from texts labelled good and from texts
 labelled bad. A text is cut into blocks, each block is compressed alone with
-either dictionary, and the difference of the summed sizes over the length of the
-text says which kind it is closer to. A logistic curve, fitted on labelled texts
-that no dictionary has seen, turns the difference into a probability.
+either dictionary, and the normalised difference of the summed sizes says which
+kind it is closer to. A logistic curve over it and the compressed share, fitted on
+labelled texts that no dictionary has seen, gives a calibrated probability.
 
 Fitting uses a bounded sample of labelled rows (:data:`SAMPLE_ROWS`
 of each label); every text is scored as a whole.
@@ -27,10 +27,12 @@ from runledger.session import settle
 
 #: Labelled rows that are drawn for fitting, at most, of each label.
 SAMPLE_ROWS = 2000
-#: Bytes of a dictionary, of a piece of text in it, and of a block that is compressed alone.
+#: Bytes of a dictionary, of the pieces it is trained on and their greatest number, and of a block
+#: that is compressed alone.
 DICTIONARY_BYTES = 64 << 10
-PIECE_BYTES = 256
-BLOCK_BYTES = 2048
+PIECE_BYTES = 512
+PIECES = 4096
+BLOCK_BYTES = 1024
 LEVEL = 3
 
 #: Folds: rows of fold 0 are never learned from.
@@ -48,11 +50,13 @@ def blocks_of(data: bytes) -> list[bytes]:
 
 @dataclass
 class Fitted:
-    """Two dictionaries and the logistic curve over the size difference."""
+    """Two dictionaries and the logistic curve over what they say of a text."""
 
     good: bytes
     bad: bytes
-    slope: float
+    center: list[float]
+    scale: list[float]
+    weights: list[float]
     offset: float
     prior: float
 
@@ -65,43 +69,49 @@ class Scorer:
         self.packers = [
             zstandard.ZstdCompressor(
                 level=LEVEL,
-                dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                dict_data=zstandard.ZstdCompressionDict(data),
                 write_content_size=False,
+                write_checksum=False,
                 write_dict_id=False,
             )
-            for d in (fitted.good, fitted.bad)
+            for data in (fitted.good, fitted.bad)
         ]
-        for packer in self.packers:
-            packer.compress(b"")
 
-    def difference(self, data: bytes) -> float:
-        """Bytes that the bad dictionary needs more than the good one, per byte of text."""
+    def features(self, data: bytes) -> list[float]:
+        """The normalised difference of the sizes, and the log of the smaller kind's share of the text.
+
+        A text that repeats itself is small with either dictionary; the share
+        tells it from one that is like neither, and enters squared as well.
+        """
         good, bad = (sum(len(p.compress(b)) for b in blocks_of(data)) for p in self.packers)
-        return (bad - good) / len(data)
+        share = math.log(good / len(data))
+        return [(bad - good) / (bad + good), share, share * share]
 
     def score(self, data: bytes) -> float:
         """Probability of label 1; without any bytes, its share among the labelled."""
         if not data:
             return self.fitted.prior
-        z = self.fitted.slope * self.difference(data) + self.fitted.offset
+        f = self.fitted
+        z = f.offset
+        if f.weights:
+            parts = zip(self.features(data), f.center, f.scale, f.weights, strict=True)
+            z += sum((x - c) / s * w for x, c, s, w in parts)
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve of greatest likelihood, with a weak prior (Newton)."""
-    scale = float(x.std()) or 1.0
-    design = np.stack([x / scale, np.ones_like(x)], axis=1)
-    beta = np.zeros(2)
-    ridge = np.diag([1e-2, 1e-6])
-    for _ in range(50):
+def _calibrate(fitted: Fitted, x: np.ndarray, y: np.ndarray) -> None:
+    """The logistic curve of greatest likelihood, with a weak prior (Newton)."""
+    center, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1.0
+    design = np.column_stack([(x - center) / scale, np.ones(len(x))])
+    beta = np.zeros(design.shape[1])
+    ridge = np.diag([1e-2] * x.shape[1] + [1e-6])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (y - p) - ridge @ beta
         hessian = (design * (p * (1 - p))[:, None]).T @ design + ridge
-        step = np.linalg.solve(hessian, gradient)
-        beta = beta + step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(beta[0] / scale), float(beta[1])
+        beta = beta + np.linalg.solve(hessian, design.T @ (y - p) - ridge @ beta)
+    fitted.center, fitted.scale = center.tolist(), scale.tolist()
+    fitted.weights, fitted.offset = beta[:-1].tolist(), float(beta[-1])
 
 
 def _label_sample(labels: DataFrame) -> DataFrame:
@@ -115,7 +125,7 @@ def _label_sample(labels: DataFrame) -> DataFrame:
 
 
 def _dictionaries(rows: DataFrame) -> list[bytes]:
-    """For label 0 and 1: pieces drawn by hash from all pieces of the whole texts, one after the other."""
+    """For label 0 and 1 a dictionary of pieces drawn by hash from all pieces of the whole texts."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         labels, marks, pieces = [], [], []
@@ -140,13 +150,21 @@ def _dictionaries(rows: DataFrame) -> list[bytes]:
         drawn = (
             pieces.where(F.col("quality") == label)
             .orderBy("mark", "piece")
-            .limit(DICTIONARY_BYTES // PIECE_BYTES)
+            .limit(PIECES)
             .collect()
         )
-        out.append(b"\n".join(bytes(r["piece"]) for r in drawn) or b"\n" * 8)
+        out.append(_trained([bytes(r["piece"]) for r in drawn]))
     return out
 
 
+def _trained(pieces: list[bytes]) -> bytes:
+    """A dictionary trained on pieces; too few to train on are used as they are."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"\n".join(pieces)[:DICTIONARY_BYTES] or b"\n" * 8
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
     """Dictionaries and curve from a bounded sample of labelled rows outside fold 0.
 
@@ -162,22 +180,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
     n = [counted.get(0, 0), counted.get(1, 0)]
     prior = (n[1] + 1) / (n[0] + n[1] + 2)
     bad, good = _dictionaries(rows.where("role = 'words'"))
-    fitted = Fitted(good, bad, 0.0, math.log(prior / (1 - prior)), prior)
+    fitted = Fitted(good, bad, [], [], [], math.log(prior / (1 - prior)), prior)
     scorer_of = _lazy_scorer(fitted)
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch.column(1))
-        differences = [scorer_of().difference(t) if t else None for t in texts]
+        found = [scorer_of().features(t) if t else None for t in texts]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(differences, pa.float64())], ["quality", "difference"]
+            [batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["quality", "features"]
         )
 
     curve = rows.where("role = 'curve'").select(F.col("quality").cast("int"), "text")
-    measured = map_batches(curve, compare, "quality int, difference double")
-    points = sorted(tuple(r) for r in measured.where("difference IS NOT NULL").collect())
+    measured = map_batches(curve, compare, "quality int, features array<double>")
+    points = sorted(tuple(r) for r in measured.where("features IS NOT NULL").collect())
     if len({label for label, _ in points}) == 2:
-        y, x = np.array(points, float).T
-        fitted.slope, fitted.offset = _calibrate(x, y)
+        _calibrate(fitted, np.array([x for _, x in points]), np.array([float(y) for y, _ in points]))
     return fitted
 
 
