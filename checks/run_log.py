@@ -12,7 +12,7 @@ from runledger.operators import events as ev
 from runledger.operators import output_text as out
 from runledger.operators import runs
 from runledger.session import scratch_path, settle
-from runledger.sources import run_log
+from runledger.sources import rejects, run_log
 
 _TASK_EVENTS = "event IN ('task_started', 'task_attempt_started', 'task_output', 'task_finished')"
 _COUNTS_SQL = """
@@ -43,6 +43,23 @@ def s1_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def s1_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in which some lines were cut off."""
+    path = scratch_path(spark, "run-log")
+    run_log.write_run_log(
+        views.events(spark, sf_dir).withColumn("run_date", F.to_date("ts")), path
+    )
+    broken = scratch_path(spark, "run-log-broken")
+    value, number = F.col("value"), F.regexp_extract("value", r'"sequence":(\d+)', 1).cast("bigint")
+    spark.read.text(path).select(
+        F.when(number % 37 == 5, F.left(value, F.lit(20))).when(number % 37 == 6, "[1]").otherwise(value)
+    ).write.text(broken)
+    events, _ = run_log.read_run_log(spark, broken)
+    told = rejects.malformed_lines(spark, broken).select("line", "reason")
+    good = events.where(F.col("sequence").isNotNull()).agg(F.count("*").cast("string").alias("line"))
+    return told.unionByName(good.withColumn("reason", F.lit("events")))
+
+
 def e1_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = ev.normalize_events(views.events(spark, sf_dir))
     columns = ["run_id", "sequence", "event", "schema", "stream", "status"]
@@ -60,29 +77,18 @@ def e2_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = views.table(spark, sf_dir, "lineitem")
-    quantity = F.floor("l_quantity").cast("bigint")
-    return item.select(
+def e3_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attempts = views.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("run_id"),
         F.concat(F.lit("task-"), "l_partkey").alias("task"),
         (F.col("l_suppkey") % 11 == 0).alias("cancelled"),
         F.when(F.col("l_partkey") % 13 == 0, "stdout")
         .when(F.col("l_partkey") % 13 == 1, "stderr").alias("exceeded_stream"),
-        F.when(quantity % 3 == 0, "exited").when(quantity % 3 == 1, "running")
-        .otherwise("failed").alias("wait"),
-        (F.col("l_linenumber") % 3).cast("bigint").alias("readers_done"),
         F.floor("l_extendedprice").cast("bigint").alias("elapsed_ms"),
         F.lit(30000).cast("bigint").alias("timeout_ms"),
-        F.when(F.col("l_suppkey") % 5 != 0, F.col("l_suppkey") % 3).alias("exit_code"),
-        F.when(F.col("l_partkey") % 17 == 0, "stderr").alias("late_exceeded_stream"),
-    )
-
-
-def e3_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.classify_attempts(_observations(spark, sf_dir)).select(
-        "run_id", "task", "elapsed_ms", "outcome", "descendants_may_hold_pipes"
+        F.when(F.col("l_linenumber") % 3 != 0, F.col("l_suppkey") % 3).alias("exit_code"),
     )
+    return ev.classify_attempts(attempts).select("run_id", "task", "elapsed_ms", "outcome")
 
 
 def e4_error_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +229,7 @@ def w4_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        s1_run_log, e1_normalize, e2_decode, e3_attempts, e4_error_status, e5_labels,
+        s1_run_log, s1_malformed, e1_normalize, e2_decode, e3_attempts, e4_error_status, e5_labels,
         a1_task_results, a2_run_summary, a3_first_error, a4_outcome, a5_reconcile, a6_sequence,
         a7_retries, a8_progress, w1_frame, w2_tail, w3_cap, w4_failures,
     ]
@@ -270,17 +276,17 @@ SELECT run_id, sequence, event, schema::BIGINT AS schema, stream, status,
   AND coalesce(status, 'failed') <> 'exploded' AS valid FROM v_evt"""),
     "e2_decode": with_views(["v_chunk"], """
 SELECT run_id, sequence, task, stream, text, strlen(text)::BIGINT AS n_bytes FROM v_chunk"""),
+    "s1_malformed": with_views(["v_evt"], """
+SELECT CASE sequence % 37 WHEN 5 THEN left('{"run_id":' || run_id || ',"sequence":' || sequence || ',', 20)
+  ELSE '[1]' END AS line, CASE sequence % 37 WHEN 5 THEN 'malformed JSON' ELSE 'no object' END AS reason
+FROM v_evt WHERE sequence % 37 IN (5, 6)
+UNION ALL SELECT count(*)::VARCHAR, 'events' FROM v_evt WHERE sequence % 37 NOT IN (5, 6)"""),
     "e3_attempts": """
-SELECT run_id, task, elapsed_ms, outcome,
-  outcome IN ('failed', 'completed') AND readers < 2 AS descendants_may_hold_pipes
-FROM (SELECT *, CASE WHEN s % 11 = 0 THEN 'cancelled' WHEN p % 13 < 2 THEN 'output_limit'
-    WHEN q % 3 = 0 THEN CASE WHEN p % 17 = 0 THEN 'output_limit'
-      WHEN s % 5 = 0 OR s % 3 <> 0 THEN 'failed' ELSE 'completed' END
-    WHEN q % 3 = 2 THEN 'wait_failed' WHEN elapsed_ms >= 30000 THEN 'timed_out'
-    ELSE 'running' END AS outcome
-  FROM (SELECT l_orderkey AS run_id, 'task-' || l_partkey AS task, l_suppkey AS s, l_partkey AS p,
-    floor(l_quantity)::BIGINT AS q, floor(l_extendedprice)::BIGINT AS elapsed_ms,
-    l_linenumber % 3 AS readers FROM lineitem))""",
+SELECT l_orderkey AS run_id, 'task-' || l_partkey AS task, floor(l_extendedprice)::BIGINT AS elapsed_ms,
+  CASE WHEN l_suppkey % 11 = 0 THEN 'cancelled' WHEN l_partkey % 13 < 2 THEN 'output_limit'
+    WHEN l_linenumber % 3 <> 0 THEN CASE WHEN l_suppkey % 3 <> 0 THEN 'failed' ELSE 'completed' END
+    WHEN floor(l_extendedprice) >= 30000 THEN 'timed_out' ELSE 'running' END AS outcome
+FROM lineitem""",
     "e4_error_status": with_views(["v_evt"], """
 SELECT run_id, sequence, kind, CASE kind WHEN 'timed_out' THEN 'timed_out'
   WHEN 'output_limit' THEN 'output_limit' WHEN 'cancelled' THEN 'cancelled'

@@ -40,28 +40,16 @@ def p11_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degree_table(views.edges(spark, sf_dir), views.graph_nodes(spark, sf_dir))
 
 
-JOBS = 8
-
-
 def p12_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _finalizers(spark, sf_dir)
     states = views.graph_runs(spark, sf_dir)
-    plan = (
-        states.select("run_id", "project_id").distinct()
-        .join(members.drop("pipeline"), "project_id")
-        .join(views.graph_nodes(spark, sf_dir).select("project_id", "task_id", "resource_group"),
-              ["project_id", "task_id"])
-    )
-    # Most runs keep their failures to themselves, so normal dispatch shows too.
+    plan = states.select("run_id", "project_id").distinct().join(members.drop("pipeline"), "project_id")
+    # Most runs keep their failures to themselves, so normal tasks show too.
     quiet = (F.col("run_id") % 3 != 0) & F.col("state").isin("failed", "timed_out", "cancelled")
-    results = states.where(F.col("state").isNotNull() & (F.col("state") != "active") & ~quiet)
-    busy = states.where((F.col("state") == "active") & (F.col("run_id") % 2 == 0)
-                        & (F.length("task_id") == 2))
-    stopped = states.where(F.col("run_id") % 5 == 0)
-    return graph.ready_frontier(
-        plan, views.edges(spark, sf_dir), results.withColumnRenamed("state", "status"), busy,
-        JOBS, stopped,
+    results = states.where(F.col("state").isNotNull() & ~quiet).select(
+        "run_id", "task_id", F.when(F.col("state") == "active", "running").otherwise(F.col("state")).alias("status")
     )
+    return graph.ready_tasks(plan, views.edges(spark, sf_dir), results)
 
 
 def p13_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,35 +145,21 @@ SELECT n.project_id, n.task_id, coalesce(d, 0) AS open_deps, coalesce(u, 0) AS d
 LEFT JOIN (SELECT project_id, task_id, count(*) AS d FROM v_edge GROUP BY ALL) USING (project_id, task_id)
 LEFT JOIN (SELECT project_id, dep_id AS task_id, count(*) AS u FROM v_edge GROUP BY ALL)
   USING (project_id, task_id)"""),
-    "p12_frontier": with_views(["v_edge", "v_root", "v_fin", "v_grun"], _MEMBERS + f""",
+    "p12_frontier": with_views(["v_edge", "v_root", "v_fin", "v_grun"], _MEMBERS + """,
 done AS (SELECT run_id, task_id, state IN ('completed', 'cached') AS ok FROM v_grun
   WHERE state IS NOT NULL AND state <> 'active'
   AND NOT (run_id % 3 <> 0 AND state IN ('failed', 'timed_out', 'cancelled'))),
-busy AS (SELECT run_id, task_id FROM v_grun WHERE state = 'active' AND run_id % 2 = 0
-  AND length(task_id) = 2),
-st AS (SELECT r.run_id, m.project_id, m.task_id, m.finalizer, n.resource_group, d.ok,
-    b.task_id IS NOT NULL AS running
+st AS (SELECT r.run_id, m.project_id, m.task_id, m.finalizer, d.ok, g.task_id IS NOT NULL AS started
   FROM (SELECT DISTINCT run_id, project_id FROM v_grun) r JOIN members m USING (project_id)
-  JOIN v_node n ON n.project_id = m.project_id AND n.task_id = m.task_id
   LEFT JOIN done d ON d.run_id = r.run_id AND d.task_id = m.task_id
-  LEFT JOIN busy b ON b.run_id = r.run_id AND b.task_id = m.task_id),
-rs AS (SELECT run_id, bool_or(ok = false) OR run_id % 5 = 0 AS stopping,
-    count(*) FILTER (running) AS n_busy, count(*) FILTER (running AND NOT finalizer) AS n_norm,
-    count(*) FILTER (ok IS NULL AND NOT finalizer) AS n_open FROM st GROUP BY run_id),
-cand AS (SELECT st.*, n_busy FROM st JOIN rs USING (run_id)
-  WHERE ok IS NULL AND NOT running
-  AND CASE WHEN finalizer THEN CASE WHEN stopping IS TRUE THEN n_norm = 0 ELSE n_open = 0 END
-    ELSE stopping IS NOT TRUE END
+  LEFT JOIN v_grun g ON g.run_id = r.run_id AND g.task_id = m.task_id AND g.state = 'active'),
+rs AS (SELECT run_id, coalesce(bool_or(NOT ok), false) AS failed,
+    count(*) FILTER (ok IS NULL AND NOT finalizer) AS n_open FROM st GROUP BY run_id)
+SELECT run_id, task_id, finalizer FROM st JOIN rs USING (run_id)
+WHERE ok IS NULL AND NOT started AND CASE WHEN finalizer THEN failed OR n_open = 0 ELSE NOT failed END
   AND NOT EXISTS (SELECT 1 FROM v_edge e LEFT JOIN done d ON d.run_id = st.run_id
     AND d.task_id = e.dep_id WHERE e.project_id = st.project_id AND e.task_id = st.task_id
-    AND (d.ok IS NULL OR (NOT d.ok AND NOT st.finalizer)))
-  AND NOT EXISTS (SELECT 1 FROM st s2 WHERE s2.run_id = st.run_id AND s2.running
-    AND s2.resource_group = st.resource_group)),
-one AS (SELECT run_id, n_busy, task_id FROM (SELECT *, row_number() OVER (
-    PARTITION BY run_id, resource_group ORDER BY task_id) AS g FROM cand)
-  WHERE resource_group IS NULL OR g = 1)
-SELECT run_id, task_id, slot FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY task_id)
-  AS slot FROM one) WHERE slot <= {JOBS} - n_busy""", True),
+    AND (d.ok IS NULL OR (NOT d.ok AND NOT st.finalizer)))""", True),
     "p13_blocked": with_views(["v_edge", "v_root", "v_fin", "v_grun"], _MEMBERS + """,
 walk AS (
   SELECT run_id, project_id, task_id AS failed_task, task_id, 0 AS hops FROM v_grun

@@ -49,28 +49,22 @@ def encode_output(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("bytes", pairs).drop("data")
 
 
-def classify_attempts(observations: DataFrame) -> DataFrame:
-    """What one observation of a running attempt means.
+def classify_attempts(attempts: DataFrame) -> DataFrame:
+    """How each recorded attempt ended, where several reasons may hold at once.
 
-    Input: cancelled, exceeded_stream, wait (exited/running/failed),
-    readers_done, elapsed_ms, timeout_ms, exit_code, late_exceeded_stream (a
-    limit found only once the pipes were drained).
+    Input: cancelled, exceeded_stream, exit_code (null if it never exited),
+    elapsed_ms, timeout_ms. Cancelling outranks a passed output limit, which
+    outranks the exit code, which outranks the time limit.
     """
-    exited = F.col("wait") == "exited"
     outcome = (
         F.when(F.col("cancelled"), "cancelled")
         .when(F.col("exceeded_stream").isNotNull(), "output_limit")
-        .when(exited & F.col("late_exceeded_stream").isNotNull(), "output_limit")
-        .when(exited & (F.coalesce("exit_code", F.lit(-1)) != 0), "failed")
-        .when(exited, "completed")
-        .when(F.col("wait") == "failed", "wait_failed")
+        .when(F.col("exit_code") != 0, "failed")
+        .when(F.col("exit_code") == 0, "completed")
         .when(F.col("elapsed_ms") >= F.col("timeout_ms"), "timed_out")
         .otherwise("running")
     )
-    return observations.withColumn("outcome", outcome).withColumn(
-        "descendants_may_hold_pipes",
-        F.col("outcome").isin("failed", "completed") & (F.col("readers_done") < 2),
-    )
+    return attempts.withColumn("outcome", outcome)
 
 
 def _lookup(pairs: list[tuple[str, str]], key: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runledger import schemas
 
@@ -16,7 +17,8 @@ def read_run_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Events and error documents found below ``path``.
 
     Both shapes share the files. Events carry ``event``; error documents carry
-    ``kind`` instead and name no run, so both keep their source file.
+    ``kind`` instead and name no run, so both keep their source file. Lines that
+    are neither are found by :func:`runledger.sources.rejects.malformed_lines`.
     """
     raw = _with_origin(
         spark.read.schema(schemas.RUN_LOG).option("recursiveFileLookup", True).json(path)
@@ -28,7 +30,7 @@ def read_run_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _event_columns(events: DataFrame) -> list[str]:
-    names = [f.split()[0] for f in schemas.RUN_LOG.replace("20,0", "20").replace("38,0", "38").split(",")]
+    names = T.StructType.fromDDL(schemas.RUN_LOG).names
     return [n for n in names if n in events.columns and n not in ("kind", "code", "message")]
 
 

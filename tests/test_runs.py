@@ -125,34 +125,20 @@ def test_normalize_rejects_unknown_tokens(spark, rows):
     assert rows(bad, "sequence") == [(10,), (11,), (12,), (13,)]
 
 
-def observation(**changes):
-    base = {
-        "cancelled": False, "exceeded_stream": None, "wait": "running", "readers_done": 0,
-        "elapsed_ms": 1, "timeout_ms": 10, "exit_code": None, "late_exceeded_stream": None,
-    }
-    return {**base, **changes}
-
-
 @pytest.mark.parametrize(
-    "changes, outcome",
+    "attempt, outcome",
     [
-        ({"cancelled": True, "exceeded_stream": "stdout", "wait": "exited"}, "cancelled"),
-        ({"exceeded_stream": "stdout", "wait": "exited", "exit_code": 0}, "output_limit"),
-        ({"wait": "exited", "exit_code": 0, "elapsed_ms": 99}, "completed"),
-        ({"wait": "exited", "exit_code": 0, "late_exceeded_stream": "stderr"}, "output_limit"),
-        ({"wait": "exited", "exit_code": 3}, "failed"),
-        ({"wait": "exited"}, "failed"),
-        ({"elapsed_ms": 10}, "timed_out"),
-        ({"elapsed_ms": 9}, "running"),
-        ({"wait": "failed", "elapsed_ms": 99}, "wait_failed"),
+        ((True, "stdout", 0, 1), "cancelled"),
+        ((False, "stdout", 0, 1), "output_limit"),
+        ((False, None, 0, 99), "completed"),
+        ((False, None, 3, 99), "failed"),
+        ((False, None, None, 10), "timed_out"),
+        ((False, None, None, 9), "running"),
     ],
 )
-def test_attempt_precedence(spark, changes, outcome):
-    schema = (
-        "cancelled boolean, exceeded_stream string, wait string, readers_done bigint, "
-        "elapsed_ms bigint, timeout_ms bigint, exit_code bigint, late_exceeded_stream string"
-    )
-    table = spark.createDataFrame([tuple(observation(**changes).values())], schema)
+def test_attempt_precedence(spark, attempt, outcome):
+    schema = "cancelled boolean, exceeded_stream string, exit_code bigint, elapsed_ms bigint, timeout_ms bigint"
+    table = spark.createDataFrame([(*attempt, 10)], schema)
     assert ev.classify_attempts(table).first()["outcome"] == outcome
 
 
