@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.text import folded_words, map_batches, texts_of
+from runledger.llm.text import folded_words, map_batches, small_batches, texts_of
 from runledger.session import settle
 
 #: Words of a passage; passages start every half, so a run of half as many words lies inside one.
@@ -267,7 +267,7 @@ def find_leaks(
         def run(batches, sent=sent):
             items, df, n_all, mean = sent.value
             searcher = Searcher(BlockMaxIndex(items, passage_words, df, n_all, mean), passage_words, threshold)
-            for batch in batches:
+            for batch in small_batches(batches):
                 ids = batch.column(0).to_pylist()
                 out = [
                     (doc_id, *hit)

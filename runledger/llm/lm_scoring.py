@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.text import WordHashes, folded_words, id_and_text, map_batches, mix, texts_of
+from runledger.llm.text import WordHashes, folded_words, id_and_text, map_batches, mix, small_batches, texts_of
 
 #: Binary logarithms of the number of word cells and of word pair cells.
 WORD_BITS = 17
@@ -49,7 +49,7 @@ def count_cells(marked: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
     def run(batches):
         memory, shape = WordHashes(), (1 << word_bits) + (1 << pair_bits)
         total, target = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             for data, chosen in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 one, pair = cells(folded_words(data), memory, word_bits, pair_bits)
                 both = np.concatenate([one, pair + (1 << word_bits)])

@@ -23,7 +23,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.text import WordHashes, folded_words, map_batches, mix, shingle_hashes, texts_of
@@ -123,23 +123,41 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketch_documents(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, copy, keys``: 128 bits that stand for the words of a text, and its band keys."""
+    """``doc_id, copy, distinct, total, keys``.
+
+    128 bits that stand for the words of a text, how many distinct shingles it
+    has and how many at all, and its band keys.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        copies, keys = [], []
+        copies, keys, sizes = [], [], []
         for data in texts_of(batch.column(1)):
             words = folded_words(data)
             copies.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-            hashes = memory.of(words)
-            keys.append(band_keys(dart_sketch(*weighted_set(hashes, width), bands * rows), bands, rows))
+            elements, weights = weighted_set(memory.of(words), width)
+            sizes.append((len(elements), int(weights.sum())))
+            keys.append(band_keys(dart_sketch(elements, weights, bands * rows), bands, rows))
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
+        distinct, total = (pa.array([s[k] for s in sizes], pa.int64()) for k in (0, 1))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(copies, pa.binary()), lists], ["doc_id", "copy", "keys"]
+            [batch.column(0), pa.array(copies, pa.binary()), distinct, total, lists],
+            ["doc_id", "copy", "distinct", "total", "keys"],
         )
 
     memory = WordHashes()
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, copy binary, keys array<long>")
+    schema = "doc_id long, copy binary, distinct long, total long, keys array<long>"
+    return map_batches(docs.select("doc_id", "text"), work, schema)
+
+
+def _may_link(least: float) -> Column:
+    """Whether two sets are near enough in size: a similarity is at most the ratio of the sizes."""
+
+    def near(name: str) -> Column:
+        a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
+        return F.least(a, b) >= least * F.greatest(a, b)
+
+    return near("distinct") | near("total")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -209,16 +227,29 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int = WIDTH, least:
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = shared.where("low < high").select("key", "low")
     rows = settle(rows.join(shared, "key"), "near-buckets")  # key, node, low
+    # An id with several texts has several sizes, and so several rows here.
+    sizes = settle(
+        sketches.select(F.col("doc_id").alias("node"), "distinct", "total").join(
+            rows.select("node").distinct(), "node", "left_semi"
+        ).distinct(),
+        "near-sizes",
+    )
+
+    def sized(side: str) -> DataFrame:
+        return sizes.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in sizes.columns])
+
+    def near_in_size(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sized("a"), "a").join(sized("b"), "b")
+        return both.where(_may_link(least)).select("a", "b").distinct()
+
     texts = settle(
         docs.select(F.col("doc_id").alias("node"), "text").join(
             rows.select("node").distinct(), "node", "left_semi"
         ),
         "near-texts",
     )
-    pairs = settle(
-        rows.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(),
-        "near-pairs",
-    )
+    pairs = rows.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = settle(near_in_size(pairs), "near-pairs")
     links = settle(_verify(pairs, texts, width, least), "near-links")
     tried, rows = pairs, rows.select("key", "node")
     for round_no in range(1, HUB_ROUNDS + 2):
@@ -241,15 +272,17 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int = WIDTH, least:
             apart = open_rows.where("root <> hub.root").select(
                 F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")
             )
+            apart = near_in_size(apart.distinct())
         else:
+            one = open_rows.select("key", F.col("node").alias("a"), "root").join(sized("a"), "a")
             other = open_rows.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
             apart = (
-                open_rows.select("key", F.col("node").alias("a"), "root")
-                .join(other, "key")
-                .where("a < b AND root <> root_b")
+                one.join(other.join(sized("b"), "b"), "key")
+                .where(F.expr("a < b AND root <> root_b") & _may_link(least))
                 .select("a", "b")
+                .distinct()
             )
-        pairs = settle(apart.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = settle(apart.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         links = settle(links.union(_verify(pairs, texts, width, least)), "near-links")
         tried = tried.union(pairs)
         rows = open_rows.select("key", "node")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only white space that the operators know.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Rows that are worked on at a time.
+SLICE_ROWS = 500
+
 #: Bytes of a text with A-Z lower-cased and every ASCII byte that is no letter or digit made a space.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -28,7 +31,7 @@ def folded_words(data: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, computed once per distinct word and forgotten when too many."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -69,15 +72,21 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def map_batches(
     df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
     """``work`` on every Arrow batch; ``work`` may hold caches, each task has its own copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+        for batch in small_batches(batches):
+            yield work(batch)
 
     return df.mapInArrow(run, schema)
 
