@@ -117,12 +117,19 @@ class BlockMaxIndex:
         cells = np.repeat(first, counts) * self.blocks + self.block_of[at]
         return np.bincount(cells, self.block_max[at], passages * self.blocks).reshape(passages, self.blocks)
 
-    def search(self, ids: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All segments whose score for these distinct words reaches the threshold (block-max WAND)."""
+    def search(
+        self, ids: list[int], threshold: float, live: list[int] | None = None
+    ) -> list[tuple[int, float]]:
+        """All segments whose score for these distinct words reaches the threshold (block-max WAND).
+
+        ``live``: the only blocks whose bounds for these words allow it, in order.
+        """
         slack = 1e-9
+        live = list(range(self.blocks)) if live is None else live
         cursors = [[self.lists[i][0][0], 0, i] for i in ids]
+        self._advance(cursors, live[0] * BLOCK if live else -1)
         found = []
-        while True:
+        while live:
             cursors = [c for c in cursors if c[0] >= 0]
             cursors.sort()
             # The pivot: the first segment that the lists up to it can lift over the threshold.
@@ -138,6 +145,12 @@ class BlockMaxIndex:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == target:
                 pivot += 1
             block = target // BLOCK
+            ahead = bisect_left(live, block)
+            if ahead == len(live):
+                return found
+            if live[ahead] != block:
+                self._advance(cursors, live[ahead] * BLOCK)
+                continue
             near = sum(self.maxima[c[2]].get(block, 0.0) for c in cursors[: pivot + 1])
             if near + slack < threshold:
                 # Nothing in this block before the next list begins: skip to there.
@@ -152,11 +165,16 @@ class BlockMaxIndex:
                 goal = target + 1
             else:
                 goal = target
-            for cursor in cursors[: pivot + 1]:
-                if cursor[0] < goal:
-                    entries = self.lists[cursor[2]]
-                    at = bisect_left(entries, (goal,), cursor[1])
-                    cursor[0], cursor[1] = (entries[at][0], at) if at < len(entries) else (-1, at)
+            self._advance(cursors[: pivot + 1], goal)
+        return found
+
+    def _advance(self, cursors: list[list[int]], goal: int) -> None:
+        """Move cursors on to their first entry at or behind ``goal``; -1 where there is none."""
+        for cursor in cursors:
+            if cursor[0] < goal:
+                entries = self.lists[cursor[2]]
+                at = bisect_left(entries, (goal,), cursor[1])
+                cursor[0], cursor[1] = (entries[at][0], at) if at < len(entries) else (-1, at)
 
 
 def run_overlap(item: list[bytes], before: int, text: list[bytes]) -> tuple[float, float]:
@@ -193,9 +211,11 @@ class Searcher:
         passage_of, words_of = cells // width, cells % width
         bounds = index.bounds(words_of, passage_of)
         best: dict[int, tuple[float, int]] = {}
-        for passage in np.flatnonzero((bounds + 1e-9 >= self.threshold).any(axis=1)).tolist():
+        live = bounds + 1e-9 >= self.threshold
+        for passage in np.flatnonzero(live.any(axis=1)).tolist():
             low, high = np.searchsorted(passage_of, [passage, passage + 1])
-            for number, score in index.search(words_of[low:high].tolist(), self.threshold):
+            own = np.flatnonzero(live[passage]).tolist()
+            for number, score in index.search(words_of[low:high].tolist(), self.threshold, own):
                 item = index.segments[number].item
                 if score > best.get(item, (0.0, 0))[0]:
                     best[item] = (score, passage)
