@@ -53,8 +53,9 @@ ALLOWED = [
     "(?i)0123456789|123456789|abcdefghij|qwerty",
 ]
 
-#: c * log2(c) in millionths, by c: whole numbers, so that sums carried along stay exact.
-_SURPRISE = [0] + [round(c * math.log2(c) * 1e6) for c in range(1, WINDOW + 1)]
+#: c * log2(c) in millionths, by c, also for one more than a window holds (a character enters before one leaves).
+#: Whole numbers, so that sums carried along stay exact.
+_SURPRISE = [0] + [round(c * math.log2(c) * 1e6) for c in range(1, WINDOW + 2)]
 
 
 def located(text: Column, pattern: str) -> Column:
