@@ -11,7 +11,8 @@ from runledger.operators import graph
 
 
 def p5_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dependency_closure(views.edges(spark, sf_dir), views.graph_nodes(spark, sf_dir))
+    roots, _ = views.pipeline_roots(spark, sf_dir)
+    return graph.dependency_closure(views.edges(spark, sf_dir), roots)
 
 
 def p6_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +95,8 @@ residue AS (SELECT project_id, task_id FROM looped
     ON l.project_id = r.project_id AND l.task_id = r.dst)"""
 
 ORACLE = {
-    "p5_closure": with_views(["v_edge"], """, walk AS (
-  SELECT project_id, task_id AS root, task_id, 0 AS hops FROM v_node
+    "p5_closure": with_views(["v_edge", "v_root"], """, walk AS (
+  SELECT project_id, task_id AS root, task_id, 0 AS hops FROM v_root
   UNION SELECT e.project_id, w.root, e.dep_id, w.hops + 1 FROM walk w
     JOIN v_edge e ON e.project_id = w.project_id AND e.task_id = w.task_id)
 SELECT project_id, root, task_id, min(hops)::BIGINT AS hops FROM walk GROUP BY ALL""", True),

@@ -239,6 +239,54 @@ def _deletions(name: Column, depth: int) -> Column:
     return F.array_distinct(found)
 
 
+# Names of at most so many bytes are found by shortened texts, longer ones by segments.
+_SHORT_NAME = 24
+_SEGMENTS = 3
+
+
+def _segment_start(length: Column, number: Column | int) -> Column:
+    return F.floor(length * number / _SEGMENTS).cast("int")
+
+
+def _segment_key(length: Column, number: Column, segment: Column) -> Column:
+    return F.concat_ws(":", length, number, segment)
+
+
+def _segments(name: Column) -> Column:
+    """The thirds of a candidate, with its length and their number."""
+    length = F.length(name)
+
+    def key(k: Column) -> Column:
+        start, end = _segment_start(length, k), _segment_start(length, k + 1)
+        return _segment_key(length, k, F.substr(name, start + 1, end - start))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(_SEGMENTS - 1)), key)
+
+
+def _possible_segments(name: Column) -> Column:
+    """The keys of all candidates within two edits: one of three segments is untouched,
+    and stands at most two bytes from its place in the candidate."""
+    around = F.sequence(F.lit(-2), F.lit(2))
+
+    def of_length(change: Column) -> Column:
+        length = F.length(name) + change
+
+        def of_segment(k: Column) -> Column:
+            start, end = _segment_start(length, k), _segment_start(length, k + 1)
+
+            def at(shift: Column) -> Column:
+                fits = (start + shift >= 0) & (end + shift <= F.length(name))
+                return F.when(
+                    fits, _segment_key(length, k, F.substr(name, start + shift + 1, end - start))
+                )
+
+            return F.transform(around, at)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_SEGMENTS - 1)), of_segment))
+
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(around, of_length))))
+
+
 def suggest_names(unknown: DataFrame, candidates: DataFrame) -> DataFrame:
     """Nearest candidate within the project: project_id, name, suggestion.
 
@@ -246,7 +294,8 @@ def suggest_names(unknown: DataFrame, candidates: DataFrame) -> DataFrame:
     the smaller name, and the name itself never counts. Two texts within that
     distance share a text that arises by deleting as many bytes from each, so
     an equality join on those shortened texts finds every pair without ever
-    pairing up a whole project.
+    pairing up a whole project. Long names have very many shortened texts; they
+    are joined by thirds of the candidate, of which two edits leave one intact.
     """
     typed = unknown.select("project_id", "name").distinct()
     name_bytes = text.bytes_as_chars(F.col("name"))
@@ -254,13 +303,22 @@ def suggest_names(unknown: DataFrame, candidates: DataFrame) -> DataFrame:
     wanted = explode_rows(
         typed.withColumn("allowed", allowed),
         ["project_id", "name", "allowed"],
-        F.when(allowed == 1, _deletions(name_bytes, 1)).otherwise(_deletions(name_bytes, 2)),
+        F.when(allowed == 1, _deletions(name_bytes, 1))
+        .when(F.length(name_bytes) <= _SHORT_NAME, _deletions(name_bytes, 2))
+        .otherwise(_possible_segments(name_bytes)),
         "short",
     )
+    # Lengths differ by two at most, so around the limit a candidate is offered both ways.
+    none = F.array().cast("array<string>")
+    offered_bytes = text.bytes_as_chars(F.col("candidate"))
+    offered_length = F.length(offered_bytes)
     offered = explode_rows(
         candidates.select("project_id", "candidate").distinct(),
         ["project_id", "candidate"],
-        _deletions(text.bytes_as_chars(F.col("candidate")), 2),
+        F.concat(
+            F.when(offered_length <= _SHORT_NAME + 2, _deletions(offered_bytes, 2)).otherwise(none),
+            F.when(offered_length > _SHORT_NAME - 2, _segments(offered_bytes)).otherwise(none),
+        ),
         "short",
     )
     distance = text.byte_distance(F.col("name"), F.col("candidate"))

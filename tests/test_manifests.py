@@ -1,6 +1,7 @@
 """Matrix, references, planning, lint and sources of manifests."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +180,17 @@ def test_lint_patterns_and_matrix(spark, rows):
 def test_suggestions_equal_brute_force(spark, rows):
     known = ["test", "build", "lint", "deploy", "deploys", "é", "ab", "abcd", "abcde", "", "builds"]
     typed = ["tests", "biuld", "lintt", "dep", "e", "b", "abc", "zzz", "test", "buildxx", "abcdefg"]
+    # Lengths around and above the one from which names are found by segments.
+    pick = random.Random(7)
+    for length in [*range(20, 31), 60, 299]:
+        word = "".join(pick.choice("abcé") for _ in range(length))
+        known.append(word)
+        for edits in (1, 2, 2, 3):
+            letters = list(word)
+            for _ in range(edits):
+                at = pick.randrange(len(letters))
+                letters[at : at + pick.randrange(2)] = pick.choice(["", "x", "yz"[: pick.randrange(2)]])
+            typed.append("".join(letters))
 
     def distance(a, b):
         a, b = a.encode(), b.encode()
