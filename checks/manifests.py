@@ -10,6 +10,7 @@ from checks.views import with_views
 from runledger.operators import events as ev
 from runledger.operators import graph, lint, planning
 from runledger.operators import matrix as mx
+from runledger.plans import project_plan
 from runledger.session import scratch_path, settle
 from runledger.sources import documents, manifests
 
@@ -145,6 +146,13 @@ def l4_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def l7_check_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: all problems of all projects."""
+    return project_plan.check_projects(
+        views.projects(spark, sf_dir), views.tasks(spark, sf_dir), views.pipelines(spark, sf_dir)
+    )
+
+
 def l5_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed, known = views.names(spark, sf_dir)
     return lint.suggest_names(typed, known)
@@ -167,7 +175,7 @@ QUERIES = {
     for f in [
         s2_manifests, s3_documents, e6_redact, p1_refs, p2_matrix, p2_rejects, p3_interpolate, p4_edges, p9_plan,
         p10_list, p14_nearest_root, l1_fields, l2_patterns, l3_matrix, l4_references, l5_suggest,
-        l6_unknown,
+        l6_unknown, l7_check_projects,
     ]
 }
 
@@ -401,3 +409,8 @@ UNION ALL SELECT project_id, project_id, 'unknown project field', 'k' FROM e
 UNION ALL SELECT project_id, 'a', 'unknown task field', 'k' FROM e
 UNION ALL SELECT project_id, 'ci', 'unknown pipeline field', 'k' FROM e""",
 }
+
+ORACLE["l7_check_projects"] = " UNION ALL ".join(
+    f"SELECT project_id, subject, rule, detail FROM ({ORACLE[name]})"
+    for name in ("l1_fields", "l2_patterns", "l3_matrix", "l4_references")
+)
