@@ -34,9 +34,31 @@ def s2_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "timeout_seconds", "max_output_bytes", "retries",
         F.size("matrix").cast("bigint").alias("n_dims"),
         F.col("env")["LEVEL"].alias("env_level"),
+        *[_text(c).alias(c) for c in ("depends_on", "inputs", "outputs", "cache_env")],
+        "resource_group", "retry_backoff_seconds",
+        _text(F.transform(
+            F.array_sort(F.map_entries("matrix")),
+            lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ",")),
+        )).alias("matrix"),
     )
 
 
+def s2_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads and pipelines of the manifests, read back."""
+    path = scratch_path(spark, "manifests")
+    manifests.write_manifests(
+        views.projects(spark, sf_dir), views.tasks(spark, sf_dir), views.pipelines(spark, sf_dir), path
+    )
+    projects, _, pipelines = manifests.read_manifests(spark, path)
+    return projects.select(
+        "project_id", F.lit("project").alias("part"), F.col("project_name").alias("name"),
+        F.col("schema").cast("string").alias("first"), F.col("default_pipeline").alias("second"),
+    ).unionByName(pipelines.select(
+        "project_id", F.lit("pipeline").alias("part"), F.col("pipeline").alias("name"),
+        _text("tasks").alias("first"), _text("finally").alias("second"),
+    ))
+
+
 def s3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "documents")
     documents.write_graph_documents(
@@ -173,7 +195,7 @@ def l6_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        s2_manifests, s3_documents, e6_redact, p1_refs, p2_matrix, p2_rejects, p3_interpolate, p4_edges, p9_plan,
+        s2_manifests, s2_projects, s3_documents, e6_redact, p1_refs, p2_matrix, p2_rejects, p3_interpolate, p4_edges, p9_plan,
         p10_list, p14_nearest_root, l1_fields, l2_patterns, l3_matrix, l4_references, l5_suggest,
         l6_unknown, l7_check_projects,
     ]
@@ -244,7 +266,17 @@ ORACLE = {
     "s2_manifests": with_views(["v_task", "v_proj"], """
 SELECT project_id, base, array_to_string(command, '|') AS command, cwd, stdin, cache,
   timeout_seconds::BIGINT AS timeout_seconds, max_output_bytes::BIGINT AS max_output_bytes,
-  retries, len(matrix) AS n_dims, env_level FROM v_task"""),
+  retries, len(matrix) AS n_dims, env_level, array_to_string(depends_on, '|') AS depends_on,
+  array_to_string(inputs, '|') AS inputs, array_to_string(outputs, '|') AS outputs,
+  array_to_string(cache_env, '|') AS cache_env, resource_group,
+  retry_backoff_seconds::BIGINT AS retry_backoff_seconds,
+  array_to_string(list_transform(matrix, lambda m: m.k || '=' || array_to_string(m.vs, ',')), '|') AS matrix
+FROM v_task"""),
+    "s2_projects": with_views(["v_lane", "v_proj"], """
+SELECT project_id, 'project' AS part, project_name AS name, schema::VARCHAR AS first,
+  default_pipeline AS second FROM v_proj
+UNION ALL SELECT project_id, 'pipeline', pipeline, array_to_string(tasks, '|'), array_to_string(fins, '|')
+FROM v_lane"""),
     "s3_documents": with_views(["v_edge"], """
 SELECT n.project_id AS project, n.task_id AS task, (row_number() OVER (
     PARTITION BY n.project_id, n.task_id ORDER BY dep_pos) - 1
