@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.text import WordHashes, folded_words, id_and_text, map_batches, mix, small_batches, texts_of
+from runledger.session import settle
 
 #: Binary logarithms of the number of word cells and of word pair cells.
 WORD_BITS = 17
 PAIR_BITS = 20
+#: Target ids that are broadcast at most; more are joined by key, with the same result.
+BROADCAST_IDS = 1_000_000
 #: Pseudo-count that a model lends to the next coarser one.
 BACKING = 4.0
 
@@ -106,7 +109,10 @@ def score_documents(
     """
     spark = docs.sparkSession
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    marked = id_and_text(docs).join(good.withColumn("target", F.lit(True)), "doc_id", "left")
+    good = settle(good.withColumn("target", F.lit(True)), "lm-target")
+    # Texts are not shuffled as long as the ids have a known small size.
+    sent_ids = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
+    marked = id_and_text(docs).join(sent_ids, "doc_id", "left")
     size = (1 << word_bits) + (1 << pair_bits)
     total, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
     # The models have a fixed number of cells, whatever the corpus.

@@ -44,7 +44,9 @@ def close(got, want):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
 
 
-def test_against_brute_force(spark, edge_rows):
+@pytest.mark.parametrize("broadcast_ids", [lm.BROADCAST_IDS, 0])
+def test_against_brute_force(spark, edge_rows, monkeypatch, broadcast_ids):
+    monkeypatch.setattr(lm, "BROADCAST_IDS", broadcast_ids)
     rows = [(k, prose(k, 80, 50 if k % 2 else 500)) for k in range(60)] + [(i + 500 if i else i, t) for i, t in edge_rows]
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] * 2 + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     got = lm.score_documents(documents(spark, rows), labels, 10, 12).collect()
