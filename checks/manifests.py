@@ -68,6 +68,17 @@ def s3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("project", "task", F.col("dep_pos").cast("string").alias("dep_pos"), "dep_id")
 
 
+def s3_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List documents, written and read back."""
+    path = scratch_path(spark, "lists")
+    documents.write_list_documents(
+        views.projects(spark, sf_dir), views.tasks(spark, sf_dir), views.pipelines(spark, sf_dir), path
+    )
+    return documents.read_documents(spark, path)["list"].select(
+        "project", "root", "default_pipeline", "id", _text("command").alias("command"), "stdin"
+    )
+
+
 def p2_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.matrix_rejects(views.tasks(spark, sf_dir))
 
@@ -195,7 +206,7 @@ def l6_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        s2_manifests, s2_projects, s3_documents, e6_redact, p1_refs, p2_matrix, p2_rejects, p3_interpolate, p4_edges, p9_plan,
+        s2_manifests, s2_projects, s3_documents, s3_lists, e6_redact, p1_refs, p2_matrix, p2_rejects, p3_interpolate, p4_edges, p9_plan,
         p10_list, p14_nearest_root, l1_fields, l2_patterns, l3_matrix, l4_references, l5_suggest,
         l6_unknown, l7_check_projects,
     ]
@@ -282,6 +293,10 @@ SELECT n.project_id AS project, n.task_id AS task, (row_number() OVER (
     PARTITION BY n.project_id, n.task_id ORDER BY dep_pos) - 1
     + CASE WHEN dep_id IS NULL THEN NULL ELSE 0 END)::VARCHAR AS dep_pos, dep_id
 FROM v_node n LEFT JOIN v_edge e ON e.project_id = n.project_id AND e.task_id = n.task_id"""),
+    "s3_lists": with_views(["v_proj"], """
+SELECT project_name AS project, '/' || project_id AS root, default_pipeline, base AS id,
+  array_to_string(command, '|') AS command, stdin
+FROM v_proj JOIN v_task USING (project_id)"""),
     "e6_redact": with_views(["v_task"], """
 SELECT project_id, base, 'LEVEL|OS' AS env_names, 'LEVEL=<redacted> OS=<redacted>' AS env_text
 FROM v_task"""),

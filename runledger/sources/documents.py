@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import schemas
@@ -60,3 +60,65 @@ def write_graph_documents(edges: DataFrame, tasks: DataFrame, path: str) -> None
         F.array(F.struct(F.col("task_id").alias("task"), "depends_on")).alias("edges"),
     )
     document.write.json(path)
+
+
+def _head(kind: str, project: Column) -> list[Column]:
+    return [
+        F.lit(schemas.EVENT_SCHEMA_VERSION).alias("schema"),
+        F.lit(kind).alias("kind"),
+        project.alias("project"),
+        F.concat(F.lit("/"), "project_id").alias("root"),
+    ]
+
+
+def write_plan_documents(plan: DataFrame, edges: DataFrame, path: str) -> None:
+    """Plan documents, one JSON line per project and pipeline, tasks in plan order.
+
+    ``plan`` comes from ``build_plan``. A document lists the tasks of one
+    manifest, which is itself one document, so its size has the same bound.
+    Tasks without a level have no place in an order and are left out.
+    """
+    node = ["project_id", "task_id"]
+    needs = edges.groupBy(*node).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("dep_pos", "dep_id"))), lambda d: d["dep_id"]
+        ).alias("depends_on")
+    )
+    fields = [
+        "command", "cwd", "stdin", "cache", "inputs", "outputs", "cache_env", "timeout_seconds",
+        "max_output_bytes", "resource_group", "retries", "retry_backoff_seconds", "finalizer",
+    ]
+    task = F.struct(
+        F.col("task_id").alias("id"),
+        *fields,
+        F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"),
+        F.col("env_names").alias("env"),
+    )
+    rows = plan.where(F.col("level").isNotNull()).join(needs, node, "left")
+    documents = rows.groupBy("project_id", "pipeline").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("level", F.col("task_id").alias("key"), task.alias("task")))),
+            lambda t: t["task"],
+        ).alias("tasks")
+    )
+    documents.select(*_head("plan", F.col("project_id")), "tasks").write.json(path)
+
+
+def write_list_documents(
+    projects: DataFrame, tasks: DataFrame, pipelines: DataFrame, path: str
+) -> None:
+    """List documents, one JSON line per project: its pipelines, tasks and commands."""
+    listed = tasks.groupBy("project_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("base").alias("id"), "command", "stdin"))).alias("tasks")
+    )
+    lanes = pipelines.groupBy("project_id").agg(
+        F.array_sort(
+            F.collect_list(F.struct(F.col("pipeline").alias("name"), "tasks", "finally"))
+        ).alias("pipelines")
+    )
+    documents = projects.join(listed, "project_id", "left").join(lanes, "project_id", "left")
+    documents.select(
+        *_head("list", F.col("project_name")),
+        "default_pipeline",
+        *[F.col(c) for c in ("pipelines", "tasks")],
+    ).write.json(path)

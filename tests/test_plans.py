@@ -5,7 +5,7 @@ import json
 import pytest
 
 from runledger.plans import project_plan as pp
-from runledger.sources import manifests
+from runledger.sources import documents, manifests
 
 TASK = {"command": ["make"], "timeout_seconds": 60}
 MANIFEST = {
@@ -54,6 +54,18 @@ def test_plan_of_a_project(fleet):
     assert plan["report"].line.startswith("would run report in .: echo 'a b'")
 
 
+def test_plan_document_round_trip(spark, fleet, tmp_path):
+    projects, tasks, pipelines, built = fleet
+    path = str(tmp_path / "plans")
+    documents.write_plan_documents(pp.plan_projects(built, tasks, pipelines), built.edges, path)
+    read = documents.read_documents(spark, path)["plan"].orderBy("plan_pos").collect()
+    assert [(r.plan_pos, r.id, r.depends_on) for r in read] == [
+        (0, "build[os=linux]", []), (1, "build[os=mac]", []), (2, "report", []),
+        (3, "test", ["build[os=linux]", "build[os=mac]"]),
+    ]
+    assert read[0].outputs == ["out/linux/**"] and read[2].finalizer and read[3].timeout_seconds == 60
+
+
 def test_problems_of_a_project(fleet):
     projects, tasks, pipelines, built = fleet
     found = {(r.subject, r.rule, r.detail) for r in pp.check_projects(projects, tasks, pipelines).collect()}
