@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runledger.llm.text import SPACES, map_batches, texts_of
 from runledger.session import settle
@@ -326,7 +327,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     lost = settle(dropped_keys(index), "line-lost")
     rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
     joined = rows.join(lost, "doc_id", "left").select("row", "text", "keys")
-    schema = f"row {_ddl(docs)}, kept string, n_lines long, n_dropped long"
+    schema = T.StructType(
+        [
+            T.StructField("row", rows.schema["row"].dataType),
+            T.StructField("kept", T.StringType()),
+            T.StructField("n_lines", T.LongType()),
+            T.StructField("n_dropped", T.LongType()),
+        ]
+    )
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts, drops = [], [], []
@@ -358,11 +366,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return map_batches(joined, work, schema)
 
 
-def _ddl(docs: DataFrame) -> str:
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return f"struct<{fields}>"
-
-
 def digests(deduped: DataFrame) -> DataFrame:
     """Counts and a digest of what :func:`dedup_lines` returned."""
     return deduped.select(
