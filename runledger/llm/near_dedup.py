@@ -11,9 +11,11 @@ equal to their weighted Jaccard similarity, and a sketch costs little more than
 reading the set once.
 
 Sketches are joined by bands. Members of a bucket are compared with one hub, not
-with each other; what is left apart is compared in further rounds with other
-hubs, and at last pair by pair between groups, until every pair of texts that
-share a bucket is linked, directly or through others, or known to be no link.
+with each other; what is left apart is compared in further rounds with more
+hubs, the same in all buckets where they occur. The few that no hub has joined
+are at last compared with all members of other groups, so that every pair of
+texts that share a bucket is linked, directly or through others, or known to be
+no link.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.text import WordHashes, folded_words, map_batches, mix, shingle_hashes, texts_of
@@ -35,8 +37,8 @@ SIMILARITY = 0.8
 #: At a similarity of 0.8 a pair shares a bucket of one of the bands with probability 0.9999.
 BANDS = 32
 ROWS = 6
-#: Rounds in which buckets are compared with a hub before the rest is compared in pairs.
-HUB_ROUNDS = 2
+#: Hubs of a bucket in each further round, before the rest is compared in pairs.
+HUBS = (4, 16, 64)
 
 _U = np.uint64
 _TO_UNIT = 2.0**-53
@@ -252,25 +254,29 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int = WIDTH, least:
     pairs = settle(near_in_size(pairs), "near-pairs")
     links = settle(_verify(pairs, texts, width, least), "near-links")
     tried, rows = pairs, rows.select("key", "node")
-    for round_no in range(1, HUB_ROUNDS + 2):
+    for hubs in (*HUBS, None):
         roots = components(links)
         labelled = rows.join(roots, "node", "left").select(
             "key", "node", F.coalesce("root", "node").alias("root")
         )
         # Buckets that lie in one group are done.
         spread = labelled.groupBy("key").agg(
-            F.min("root").alias("r0"),
-            F.max("root").alias("r1"),
-            F.max_by(F.struct("root", "node"), F.xxhash64("node", F.lit(round_no))).alias("hub"),
+            F.min("root").alias("r0"), F.max("root").alias("r1")
         )
         open_rows = settle(
-            labelled.join(spread.where("r0 < r1").select("key", "hub"), "key"), "near-buckets"
+            labelled.join(spread.where("r0 < r1").select("key"), "key"), "near-buckets"
         )
         if open_rows.isEmpty():
             break
-        if round_no <= HUB_ROUNDS:
-            apart = open_rows.where("root <> hub.root").select(
-                F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")
+        if hubs:
+            # Texts rank alike in all buckets, so that few of them are hubs.
+            rank = F.row_number().over(
+                Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(hubs)), "node")
+            )
+            chosen = open_rows.withColumn("rank", rank).where(F.col("rank") <= hubs)
+            chosen = chosen.select("key", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+            apart = open_rows.join(chosen, "key").where("root <> hub_root").select(
+                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
             )
             apart = near_in_size(apart.distinct())
         else:

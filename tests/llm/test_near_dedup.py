@@ -78,7 +78,7 @@ def test_keep_one_keeps_columns_and_rows_without_id(spark):
 
 
 def test_hub_rounds_leave_nothing_out(spark, monkeypatch):
-    monkeypatch.setattr(nd, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(nd, "HUBS", ())
     rows = corpus()
     got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(documents(spark, rows)).collect()}
     assert got == classes_of(rows)
