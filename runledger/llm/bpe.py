@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runledger.llm.text import id_and_text, texts_of
+from runledger.llm.text import id_and_text, small_batches, texts_of
 
 #: Distinct fragments remembered by a task before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
@@ -123,6 +123,10 @@ class FragmentCoder:
         parts = self.split_added(text)
         return [f for k, part in enumerate(parts) for f in ([part] if k % 2 else self.find(part))]
 
+    def forget(self) -> None:
+        self.ids_of.clear()
+        self.text_of.clear()
+
     def _pieces(self, fragments: list[bytes]) -> list[list[bytes]]:
         """Each fragment cut between letters."""
         data = np.frombuffer(b"".join(fragments), np.uint8)
@@ -157,8 +161,7 @@ class FragmentCoder:
     def code(self, texts: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         """Packed ids and decoded UTF-8 of each text."""
         if len(self.ids_of) > REMEMBERED:
-            self.ids_of.clear()
-            self.text_of.clear()
+            self.forget()
         split = [self.fragments(text) for text in texts]
         new = set().union(*split).difference(self.ids_of)
         if new:
@@ -184,7 +187,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         coder = _coder(tokenizer_path)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = texts_of(batch.column(1))
             # Small groups keep the ids of a batch of long texts from piling up.
             start = 0
@@ -207,6 +210,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
                 start = end
+        # The worker may go on to other work and keeps no fragments meanwhile.
+        coder.forget()
 
     return id_and_text(docs).mapInArrow(run, SCHEMA)
 
