@@ -76,3 +76,39 @@ def test_empty_tables(spark):
     assert lm.score_documents(documents(spark, []), labels).count() == 0
     got = lm.score_documents(documents(spark, [(1, "a b c")]), labels).collect()
     assert got[0]["n_tokens"] == 3 and got[0]["target_loss"] == pytest.approx(lm.WORD_BITS, abs=1e-6)
+
+
+def brute_words(rows, good):
+    """Counts of real words and of pairs of them."""
+    split = [folded_words((text or "").encode()) for _, text in rows]
+    counts = [Counter(), Counter()], [Counter(), Counter()]
+    for (doc_id, _), words in zip(rows, split, strict=True):
+        for model in (0, 1):
+            if model == 1 or doc_id in good:
+                counts[model][0].update(words)
+                counts[model][1].update(zip(words, words[1:], strict=False))
+    uniform, out = 1 / max(2**lm.WORD_BITS, len(counts[1][0])), []
+    for (doc_id, _), words in zip(rows, split, strict=True):
+        losses = []
+        for one, pair in counts:
+            tokens, total = sum(one.values()), 0.0
+            for i, w in enumerate(words):
+                alone = (one[w] + lm.BACKING * uniform) / (tokens + lm.BACKING)
+                context, held = (one[words[i - 1]], pair[words[i - 1], w]) if i else (0, 0)
+                total -= math.log2((held + lm.BACKING * alone) / (context + lm.BACKING))
+            losses.append(total / len(words) if words else 0.0)
+        out.append((doc_id, len(words), *losses, losses[0] - losses[1]))
+    return out
+
+
+def test_exact_counts_of_real_words(spark, edge_rows, monkeypatch):
+    """More distinct words than 2^17, in several chunks and buckets, some of them frequent."""
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 50_000)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 20_000)
+    monkeypatch.setattr(lm, "HOT_WORDS", 500)
+    rows = [(k, prose(k, 80, 50 if k % 2 else 500)) for k in range(60)]
+    rows += [(k, prose(k, 2500, 10**7)) for k in range(100, 180)]
+    rows += [(i + 500 if i else i, t) for i, t in edge_rows]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(140)] * 2 + [(None, 1)], "doc_id long, quality int")
+    got = lm.score_documents(documents(spark, rows), labels).collect()
+    close(got, brute_words(rows, {k for k in range(140) if k % 2}))
