@@ -7,7 +7,8 @@ kind it is closer to. A logistic curve over it and the compressed share, fitted
 labelled texts that no dictionary has seen, gives a calibrated probability.
 
 Fitting uses a bounded sample of labelled rows (:data:`SAMPLE_ROWS`
-of each label); every text is scored as a whole.
+of each label), weighed by how many rows of its label a sampled row stands for;
+every text is scored as a whole.
 """
 
 from __future__ import annotations
@@ -99,29 +100,38 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _calibrate(fitted: Fitted, x: np.ndarray, y: np.ndarray) -> None:
-    """The logistic curve of greatest likelihood, with a weak prior (Newton)."""
-    center, scale = x.mean(axis=0), x.std(axis=0)
+def _calibrate(fitted: Fitted, x: np.ndarray, y: np.ndarray, standing: np.ndarray) -> None:
+    """The logistic curve of greatest likelihood, with a weak prior (Newton).
+
+    ``standing`` is how many labelled rows each row stands for.
+    """
+    center = np.average(x, axis=0, weights=standing)
+    scale = np.sqrt(np.average((x - center) ** 2, axis=0, weights=standing))
     scale[scale == 0] = 1.0
     design = np.column_stack([(x - center) / scale, np.ones(len(x))])
     beta = np.zeros(design.shape[1])
     ridge = np.diag([1e-2] * x.shape[1] + [1e-6])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + ridge
-        beta = beta + np.linalg.solve(hessian, design.T @ (y - p) - ridge @ beta)
+        hessian = (design * (standing * p * (1 - p))[:, None]).T @ design + ridge
+        beta = beta + np.linalg.solve(hessian, design.T @ (standing * (y - p)) - ridge @ beta)
     fitted.center, fitted.scale = center.tolist(), scale.tolist()
     fitted.weights, fitted.offset = beta[:-1].tolist(), float(beta[-1])
 
 
-def _label_sample(labels: DataFrame) -> DataFrame:
-    """``doc_id, quality, role`` of the labelled rows to learn from: at most :data:`SAMPLE_ROWS` of each label."""
+def _label_sample(labels: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``doc_id, quality, role`` of the labelled rows to learn from, and how many there are of label 0 and 1.
+
+    At most :data:`SAMPLE_ROWS` of each label are drawn; the counts are of all.
+    """
     order = F.xxhash64("doc_id")
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(fold(F.col("doc_id")) != 0)
     one = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = [one.where(f"quality = {k}").orderBy(order, "doc_id").limit(SAMPLE_ROWS) for k in (0, 1)]
+    counted = {r["quality"]: r["count"] for r in one.groupBy("quality").count().collect()}
     role = F.when(F.pmod(F.xxhash64("doc_id", F.lit("role")), F.lit(2)) == 0, "words").otherwise("curve")
-    return settle(drawn[0].unionByName(drawn[1]).select("doc_id", "quality", role.alias("role")), "quality-sample")
+    sample = drawn[0].unionByName(drawn[1]).select("doc_id", "quality", role.alias("role"))
+    return settle(sample, "quality-sample"), [counted.get(0, 0), counted.get(1, 0)]
 
 
 def _dictionaries(rows: DataFrame) -> list[bytes]:
@@ -169,15 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
     """Dictionaries and curve from a bounded sample of labelled rows outside fold 0.
 
     One half of the sample builds the dictionaries, the other the curve, both
-    from whole texts. Ids without a label, labels other than 0 and 1, and labels
+    from whole texts. Prior and curve hold for the labels' true counts, whatever
+    the sample. Ids without a label, labels other than 0 and 1, and labels
     of unknown ids are left out; an id labelled both counts as 1. With one class
     or none the score is the share of label 1, by Laplace.
     """
     # The sample has a fixed greatest number of rows, so it may be broadcast.
-    sample = _label_sample(labels)
+    sample, n = _label_sample(labels)
     rows = settle(id_and_text(docs).join(F.broadcast(sample), "doc_id"), "quality-rows")
-    counted = {r["quality"]: r["n"] for r in sample.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    n = [counted.get(0, 0), counted.get(1, 0)]
     prior = (n[1] + 1) / (n[0] + n[1] + 2)
     bad, good = _dictionaries(rows.where("role = 'words'"))
     fitted = Fitted(good, bad, [], [], [], math.log(prior / (1 - prior)), prior)
@@ -194,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
     measured = map_batches(curve, compare, "quality int, features array<double>")
     points = sorted(tuple(r) for r in measured.where("features IS NOT NULL").collect())
     if len({label for label, _ in points}) == 2:
-        _calibrate(fitted, np.array([x for _, x in points]), np.array([float(y) for y, _ in points]))
+        standing = np.array([n[y] / min(n[y], SAMPLE_ROWS) for y, _ in points])
+        _calibrate(fitted, np.array([x for _, x in points]), np.array([float(y) for y, _ in points]), standing)
     return fitted
 
 

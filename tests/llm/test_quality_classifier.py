@@ -49,3 +49,16 @@ def test_without_labels(spark):
     assert {r["score"] for r in qc.score_quality(documents(spark, rows), none).collect()} == {0.5}
     ones = labels.where("quality = 1")
     assert len({r["score"] for r in qc.score_quality(documents(spark, rows), ones).collect()}) == 1
+
+
+def test_a_capped_sample_keeps_the_ratio_of_labels(spark, monkeypatch):
+    rows = [(k, prose(k, 60, 300)) for k in range(900)]
+    labels = spark.createDataFrame([(k, int(k % 7 != 0)) for k in range(900)], "doc_id long, quality int")
+    docs = documents(spark, [*rows, (1000, "")])
+    whole = qc.fit(docs, labels)
+    monkeypatch.setattr(qc, "SAMPLE_ROWS", 80)
+    capped = qc.fit(docs, labels)
+    assert capped.prior == whole.prior > 0.8
+    # Labels say nothing of these texts: scores lie about the share of label 1.
+    means = [sum(qc.Scorer(f).score(t.encode()) for _, t in rows) / len(rows) for f in (whole, capped)]
+    assert abs(means[0] - 6 / 7) < 0.06 and abs(means[1] - 6 / 7) < 0.06
