@@ -8,7 +8,9 @@ slabs that double in width, and ranks are thrown only up to a bound at which a
 text gets about ``t ln t + 2 t`` darts for its ``t`` coordinates. A coordinate
 keeps its earliest dart. Two texts agree in a coordinate with a probability
 equal to their weighted Jaccard similarity, and a sketch costs little more than
-reading the set once.
+reading the set once. A text that repeats shingles has a second sketch, of the
+same set with weights of 1, for the similarity without weights; both are the same
+for other texts, so one key space of bands serves both.
 
 Sketches are joined by bands. Members of a bucket are compared with one hub, not
 with each other; what is left apart is compared in further rounds with more
@@ -34,7 +36,8 @@ from runledger.session import settle
 #: Words of a shingle and the similarity of a link.
 WIDTH = 5
 SIMILARITY = 0.8
-#: At a similarity of 0.8 a pair shares a bucket of one of the bands with probability 0.9999.
+#: At a similarity of 0.8, with or without weights, a pair shares a bucket of one of the bands
+#: with probability 0.9999.
 BANDS = 32
 ROWS = 6
 #: Hubs of a bucket in each further round, before the rest is compared in pairs.
@@ -124,6 +127,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(len(common) / plain if plain else 0.0, float(least / whole) if whole else 0.0)
 
 
+def link_keys(elements: np.ndarray, weights: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys of a set with its weights, and of the same set without."""
+    keys = band_keys(dart_sketch(elements, weights, bands * rows), bands, rows)
+    if (weights == 1.0).all():
+        return keys
+    plain = dart_sketch(elements, np.ones(len(elements)), bands * rows)
+    return np.unique(np.concatenate([keys, band_keys(plain, bands, rows)]))
+
+
 def sketch_documents(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, copy, distinct, total, keys``.
 
@@ -138,7 +150,7 @@ def sketch_documents(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, ro
             copies.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
             elements, weights = weighted_set(memory.of(words), width)
             sizes.append((len(elements), int(weights.sum())))
-            keys.append(band_keys(dart_sketch(elements, weights, bands * rows), bands, rows))
+            keys.append(link_keys(elements, weights, bands, rows))
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
         distinct, total = (pa.array([s[k] for s in sizes], pa.int64()) for k in (0, 1))

@@ -107,3 +107,12 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r["node"]: r["root"] for r in nd.components(edges).collect()}
     assert got == {**dict.fromkeys(range(301), 0), 1000: 1000, 1001: 1000}
+
+
+def test_doubled_and_single_texts_are_linked(spark):
+    rows = []
+    for k in range(30):
+        text = prose(k, 150)
+        rows += [(2 * k, text), (2 * k + 1, f"{text} {text}" if k % 2 else f"{text} " * 3)]
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(documents(spark, rows)).collect()}
+    assert got == classes_of(rows) == {d: d - d % 2 for d, _ in rows}
