@@ -180,7 +180,9 @@ def _filters(counts: DataFrame, shards: int, min_docs: int) -> DataFrame:
 
 def build_index(docs: DataFrame, min_docs: int = MIN_DOCS) -> LineIndex:
     """The index of a whole table. Rows without id are no documents of the index."""
-    postings = settle(line_postings(docs.where(F.col("doc_id").isNotNull())), "line-postings")
+    # Rows of one id may hold the same key.
+    postings = line_postings(docs.where(F.col("doc_id").isNotNull())).distinct()
+    postings = settle(postings, "line-postings")
     return _indexed(postings, min_docs)
 
 

@@ -91,3 +91,12 @@ def test_filters_in_several_groups(spark, monkeypatch):
     monkeypatch.setattr(ld, "SHARD_KEYS", 2)
     monkeypatch.setattr(ld, "FILTER_BYTES", 64)
     assert sorted(map(repr, map(tuple, ld.digests(ld.dedup_lines(docs)).collect()))) == brute(rows)
+
+
+def test_repeated_rows_of_one_id_count_once(spark):
+    line = "a line of more than twenty characters"
+    rows = [(5, line), (5, line), (6, line)]
+    docs = documents(spark, rows)
+    index = ld.build_index(docs)
+    assert [r["docs"] for r in index.counts.collect()] == [2] and index.postings.count() == 2
+    assert sorted(repr(tuple(r)) for r in ld.digests(ld.dedup_lines(docs)).collect()) == brute(rows)
