@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from runledger.llm import chat_format as chat
 from runledger.llm import quality_rules as rules
 from runledger.llm import secrets
 
@@ -145,8 +146,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 
+_ESCAPED = "regexp_replace(coalesce({}, ''), '([<\\[])(\\\\*)(/?s>|/?INST\\])', '\\1\\\\\\2\\3', 'g')"
+
+_CHAT = f"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    {_ESCAPED.format('role')} AS r, {_ESCAPED.format('text')} AS x FROM c),
+w AS (
+  SELECT *, row_number() OVER o AS n, count(*) OVER (PARTITION BY conv_id) AS n_all,
+    sum(length(r) + length(x) + {len(chat.OPEN + chat.HEAD + chat.TAIL + chat.CLOSE)}) OVER (o ROWS UNBOUNDED PRECEDING) AS stop
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, x))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = '{chat.TRAINED}'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = '{chat.TRAINED}'), '')) AS loss_sha256,
+  sum(stop) FILTER (role = '{chat.TRAINED}' OR n = n_all)::BIGINT AS formatted_chars,
+  count(*) FILTER (role = '{chat.TRAINED}' OR n = n_all) AS n_examples
+FROM w GROUP BY conv_id"""
+
+
 ORACLE = {
     "op1_secrets": _secrets(),
     "op6_line_dedup": _LINE_DEDUP,
     "op10_quality_rules": _QUALITY_RULES,
+    "op12_chat_format": _CHAT,
 }
