@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from runledger.llm import chat_format as chat
+from runledger.llm import periodic_runs as periodic
 from runledger.llm import quality_rules as rules
 from runledger.llm import secrets
 
@@ -167,9 +168,50 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM w GROUP BY conv_id"""
 
 
+#: The checksum of a decimal id: every digit, then eight shifts of one bit.
+_CRC32 = """xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+  string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h % 2 = 1 THEN xor(h // 2, 3988292384::BIGINT) ELSE h // 2 END))"""
+
+_RUN_WORDS = f"""
+h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {_CRC32} AS h FROM documents),
+a AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
+    lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE ws END AS ws FROM p)"""
+
+_PERIODIC = f"""
+WITH {_RUN_WORDS},
+w AS (SELECT doc_id, n, unnest(ws) AS w, unnest(range(n)) AS i FROM d),
+pairs AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y
+  ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND {periodic.MIN_PERIODS} * (y.i - x.i) <= x.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island
+  HAVING count(*) + q >= greatest({periodic.MIN_WORDS}, {periodic.MIN_PERIODS} * q)),
+runs AS (
+  SELECT * FROM stretches s WHERE NOT EXISTS (
+    SELECT 1 FROM stretches t WHERE t.doc_id = s.doc_id AND t.q < s.q AND s.q % t.q = 0
+    AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+found AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': q}}, [-length, start, q]) AS longest,
+    string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS told FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM w WHERE NOT EXISTS (
+    SELECT 1 FROM runs r WHERE r.doc_id = w.doc_id AND w.i >= r.start + r.q AND w.i < r.start + r.length)
+  GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, longest.start AS start, longest.length AS length,
+  longest.period AS period, 1000 * longest.length // longest.period AS exponent_milli,
+  sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 ORACLE = {
     "op1_secrets": _secrets(),
     "op6_line_dedup": _LINE_DEDUP,
     "op10_quality_rules": _QUALITY_RULES,
     "op12_chat_format": _CHAT,
+    "op13_periodic_runs": _PERIODIC,
 }

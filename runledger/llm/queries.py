@@ -16,6 +16,7 @@ from runledger.llm import (
     line_dedup,
     lm_scoring,
     near_dedup,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secrets,
@@ -92,6 +93,11 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.expand_examples(turns))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.plant_periods(_table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,5 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_decontaminate,
         op10_quality_rules,
         op12_chat_format,
+        op13_periodic_runs,
     )
 }
