@@ -6,6 +6,7 @@ from runledger.llm import chat_format as chat
 from runledger.llm import periodic_runs as periodic
 from runledger.llm import quality_rules as rules
 from runledger.llm import secrets
+from runledger.llm import source_audit as audit
 
 
 def _either_case(words: list[str]) -> str:
@@ -208,10 +209,49 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, longest.start AS start, longest.
 FROM d LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+_SHARE = "1 + (1000000000::HUGEINT * ({} + 1)) // ({} + v)"
+
+_AUDIT = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x80-\\x{{10FFFF}}]+') AS ts FROM documents),
+w AS (SELECT row_no, lang, source, translate(unnest(ts), '{_UPPER}', '{_LOWER}') AS term FROM d),
+kept AS (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row_no) >= {audit.MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (
+  SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang)),
+lt AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+ls AS (SELECT lang, sum(total) AS total FROM g GROUP BY lang),
+p AS (
+  SELECT g.lang, g.source, term, coalesce(n, 0) AS n, v, {_SHARE.format("coalesce(n, 0)", "total")} AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s, 0) AS value FROM g a
+  JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // y.p) AS s
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) q
+  ON q.lang = a.lang AND q.source = a.source AND q.other = b.source),
+terms AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM (
+    SELECT p.*, {_SHARE.format("lt.n", "ls.total")} AS q FROM p JOIN lt USING (lang, term) JOIN ls USING (lang))
+  WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM ranked)
+WHERE part = 'pair' OR rank <= {audit.TOP_TERMS}"""
+
+
 ORACLE = {
     "op1_secrets": _secrets(),
     "op6_line_dedup": _LINE_DEDUP,
     "op10_quality_rules": _QUALITY_RULES,
+    "op11_source_audit": _AUDIT,
     "op12_chat_format": _CHAT,
     "op13_periodic_runs": _PERIODIC,
 }

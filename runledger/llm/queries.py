@@ -21,6 +21,7 @@ from runledger.llm import (
     quality_rules,
     secrets,
     sharding,
+    source_audit,
 )
 from runledger.llm.oracle import ORACLE  # noqa: F401
 
@@ -78,6 +79,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digests(quality_rules.judge(_table(spark, sf_dir, "documents")))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(_table(spark, sf_dir, "documents"))
+
+
 #: What both turns of conversation -1 say: control strings of the template.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe,
         op9_decontaminate,
         op10_quality_rules,
+        op11_source_audit,
         op12_chat_format,
         op13_periodic_runs,
     )
