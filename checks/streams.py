@@ -9,49 +9,51 @@ from checks import views
 from checks.run_log import _COUNTS_SQL, _FRAMED, _STATES
 from checks.views import with_views
 from runledger.operators import events as ev
-from runledger.session import scratch_path
+from runledger.session import scratch_path, settle
 from runledger.sources import run_log
+from runledger.streaming import frame_stream as fs
 from runledger.streaming import run_stream as rs
 
-# The log arrives in this many files, read one after the other.
+# The log is dealt to this many folders of files, of which a trigger reads two files.
 FILES = 3
 
 
-def _log(spark: SparkSession, events: DataFrame, repeated: bool = False) -> str:
-    """Write the events as a log of several files in sequence order."""
+def _log(spark: SparkSession, events: DataFrame) -> str:
+    """Write the events as a log of several files, dealt to them without any order."""
     path = scratch_path(spark, "live-log")
-    ordered = events.withColumn("run_date", F.lit("all")).repartitionByRange(FILES, "sequence")
-    run_log.write_run_log(ordered, path)
-    if repeated:
-        run_log.write_run_log(ordered.withColumn("run_date", F.lit("again")), path + "/more")
+    dealt = F.pmod(F.xxhash64("run_id", "sequence"), F.lit(FILES))
+    run_log.write_run_log(events.withColumn("run_date", F.concat(F.lit("part-"), dealt)), path)
     return path
 
 
-def _stream(spark: SparkSession, events: DataFrame, **options) -> DataFrame:
+def _stream(spark: SparkSession, path: str, **options) -> DataFrame:
     rs.use_rocksdb(spark)
-    repeated = options.pop("repeated", False)
-    path = _log(spark, events, repeated)
-    pattern = f"{path}/{{*,*/*}}/*.txt" if repeated else f"{path}/*/*.txt"
-    return rs.stream_run_log(spark, pattern, **{"files_per_trigger": 2, **options})
+    return rs.stream_run_log(spark, f"{path}/*/*.txt", **{"files_per_trigger": 2, "distinct": False, **options})
 
 
-def _finished(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    return rs.run_to_table(
-        stream, scratch_path(spark, label), scratch_path(spark, f"{label}-state"), mode
-    )
+def _finished(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
+    return rs.run_to_table(stream, scratch_path(spark, label), scratch_path(spark, f"{label}-state"))
+
+
+def _plain(table: DataFrame) -> DataFrame:
+    return table.withColumn("run_id", F.col("run_id").cast("bigint"))
 
 
 def t1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _stream(spark, views.events(spark, sf_dir), repeated=True)
-    return _finished(spark, stream, "t1").select(
-        F.col("run_id").cast("bigint").alias("run_id"), "sequence", "event", "task", "status"
-    )
+    """A log delivered twice, the second time in other files."""
+    events = views.events(spark, sf_dir)
+    path = _log(spark, events)
+    again = F.concat(F.lit("again-"), F.pmod(F.xxhash64("sequence"), F.lit(FILES)))
+    run_log.write_run_log(events.withColumn("run_date", again), path, mode="append")
+    stream = _stream(spark, path, distinct=True)
+    return _plain(_finished(spark, stream, "t1").select("run_id", "sequence", "event", "task", "status"))
 
 
 def t2_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _stream(spark, views.events(spark, sf_dir), distinct=False)
-    states = _finished(spark, rs.stream_task_states(stream), "t2", "update")
-    return rs.progress_of(states).withColumn("run_id", F.col("run_id").cast("bigint"))
+    changes = rs.progress_changes(rs.stream_transitions(_stream(spark, _log(spark, views.events(spark, sf_dir)))))
+    header = rs.header_table(spark, scratch_path(spark, "header"), fold_every=2)
+    header.follow(changes, scratch_path(spark, "header-state"))
+    return _plain(rs.progress_of(header.read()))
 
 
 def t3_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,22 +66,16 @@ def t3_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = output.groupBy("run_id", "task").agg((F.max("sequence") + 2).alias("sequence")).withColumn(
         "event", F.lit("task_finished")
     )
-    log = encoded.unionByName(retries, True).unionByName(ends, True)
-    # Framing needs the chunks in order, which files of one second do not keep.
-    stream = _stream(spark, log, distinct=False, files_per_trigger=None)
-    digits = F.transform(F.col("bytes"), lambda b: F.lpad(F.hex(b.cast("bigint")), 2, "0"))
-    chunks = stream.where(
-        F.col("event").isin("task_output", "task_finished") | (F.col("attempt") > 1)
-    ).withColumn("data", F.unhex(F.array_join(digits, "")))
-    return _finished(spark, rs.stream_frame_lines(chunks), "t3").withColumn(
-        "run_id", F.col("run_id").cast("bigint")
-    )
+    events = encoded.unionByName(retries, True).unionByName(ends, True)
+    path = _log(spark, fs.number_steps(settle(events, "live-events")))
+    stream = _stream(spark, path).withColumn("data", ev.output_bytes())
+    return _plain(_finished(spark, fs.stream_frame_lines(stream), "t3"))
 
 
 def t4_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _stream(spark, views.events(spark, sf_dir), distinct=False)
-    states = _finished(spark, rs.stream_task_states(stream), "t4", "update")
-    return rs.finished_runs(states).withColumn("run_id", F.col("run_id").cast("bigint"))
+    stream = _stream(spark, _log(spark, views.events(spark, sf_dir)))
+    summaries = rs.stream_run_finish(rs.stream_transitions(stream))
+    return _plain(rs.latest_summaries(_finished(spark, summaries, "t4")))
 
 
 QUERIES = {f.__name__: f for f in [t1_stream, t2_progress, t3_frame, t4_finish]}

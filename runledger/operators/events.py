@@ -30,13 +30,18 @@ def normalize_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.where(valid), events.where(~valid)
 
 
-def decode_output(events: DataFrame) -> DataFrame:
-    """Turn the integer arrays of output events into binary chunks, losslessly."""
+def output_bytes() -> Column:
+    """The integer array ``bytes`` of an output event as binary."""
     digits = F.transform(
         F.col("bytes"), lambda byte: F.lpad(F.hex(byte.cast("bigint")), 2, "0")
     )
+    return F.unhex(F.array_join(digits, ""))
+
+
+def decode_output(events: DataFrame) -> DataFrame:
+    """Turn the integer arrays of output events into binary chunks, losslessly."""
     return events.where(F.col("event") == "task_output").select(
-        "run_id", "sequence", "task", "stream", F.unhex(F.array_join(digits, "")).alias("data")
+        "run_id", "sequence", "task", "stream", output_bytes().alias("data")
     )
 
 

@@ -66,7 +66,7 @@ RUN_LOG = """
     attempt BIGINT, max_attempts BIGINT,
     status STRING, elapsed_ms DECIMAL(38,0),
     completed BIGINT, cached BIGINT, failed BIGINT, cancelled BIGINT, blocked BIGINT,
-    kind STRING, code BIGINT, message STRING
+    kind STRING, code BIGINT, message STRING, step BIGINT
 """
 
 _TASK = """

@@ -34,10 +34,10 @@ def _event_columns(events: DataFrame) -> list[str]:
     return [n for n in names if n in events.columns and n not in ("kind", "code", "message")]
 
 
-def write_run_log(events: DataFrame, path: str) -> None:
+def write_run_log(events: DataFrame, path: str, mode: str = "error") -> None:
     """One JSON object per event and line, in folders by ``run_date``.
 
     Null fields are left out, so every event only shows its own payload.
     """
     line = F.to_json(F.struct(*_event_columns(events)))
-    events.select("run_date", line.alias("value")).write.partitionBy("run_date").text(path)
+    events.select("run_date", line.alias("value")).write.mode(mode).partitionBy("run_date").text(path)

@@ -1,16 +1,17 @@
-"""Live run logs.
+"""Live run logs: events without repeats, task transitions, run summaries.
 
 Events carry no time of their own, so the ingestion time of their file stands
-in for it. Every job here gives the result of its batch twin once all input
-has been read, in whatever order its files arrive; line framing alone needs the
-chunks of a task in the order of their sequence.
+in for it. Every job gives the result of its batch twin, in whatever order files
+arrive and however often: state follows the greatest sequence seen, and each
+correction is a row of its own.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from runledger import schemas
 from runledger.operators import runs
+from runledger.streaming.count_table import CountTable
 
 # The state processors below travel with their query, so that workers need no
 # copy of this package. They only use what this module itself defines.
@@ -26,12 +28,55 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Consecutive sequence numbers of a run whose state is one entry.
+BLOCK_NUMBERS = 1 << 16
+#: State of a task that has been seen and has not finished; a word no log uses.
+RUNNING = "running"
+#: States of the run itself, which has no task.
+STARTED, FINISHED = "run started", "run finished"
+
 
 def use_rocksdb(spark: SparkSession) -> None:
     """Keep streaming state in RocksDB, which the stateful jobs need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
+class _FirstSeen(StatefulProcessor):
+    """Passes the rows on whose sequence number is new; keeps the numbers as spans."""
+
+    OUTPUT = "run_id DECIMAL(20,0), sequence BIGINT, value STRING, ingested BIGINT"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.spans = handle.getValueState("spans", "spans BINARY")
+
+    def handleInputRows(self, key, rows, timerValues):
+        # [start, stop) pairs, sorted and apart from each other.
+        stored = self.spans.get() if self.spans.exists() else None
+        spans = np.frombuffer(stored[0], np.int64).reshape(-1, 2) if stored else np.empty((0, 2), np.int64)
+        for frame in rows:
+            numbers = frame["sequence"].to_numpy(np.int64)
+            at = np.searchsorted(spans[:, 0], numbers, side="right") - 1
+            known = (at >= 0) & (numbers < spans[at, 1]) if len(spans) else np.zeros(len(numbers), bool)
+            fresh = ~known & ~frame["sequence"].duplicated().to_numpy()
+            if not fresh.any():
+                continue
+            added = np.sort(numbers[fresh])
+            spans = self._merged(np.concatenate([spans, np.stack([added, added + 1], 1)]))
+            yield frame.loc[fresh, ["run_id", "sequence", "value", "ingested"]]
+        self.spans.update((spans.tobytes(),))
+
+    @staticmethod
+    def _merged(spans: np.ndarray) -> np.ndarray:
+        """The same numbers as few spans; none overlap, some touch."""
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        opens = np.concatenate(([True], spans[1:, 0] > spans[:-1, 1]))
+        last = np.concatenate((np.flatnonzero(opens)[1:] - 1, [len(spans) - 1]))
+        return np.stack([spans[opens, 0], spans[last, 1]], 1)
+
+    def close(self) -> None:
+        pass
+
+
 def stream_run_log(
     spark: SparkSession,
     path: str,
@@ -41,222 +86,216 @@ def stream_run_log(
 ) -> DataFrame:
     """Events of the logs below ``path`` with their ingestion time.
 
-    With ``distinct`` an event delivered again is dropped, however late; the
-    state keeps the number of every event. A ``delay`` bounds the state, at a
-    price: what is repeated later than that is no longer known, and rows of files
-    that are older by more than ``delay`` than the newest one are dropped.
+    With ``distinct`` an event delivered again is dropped, however late. State is
+    kept by run and block of :data:`BLOCK_NUMBERS` sequence numbers, as spans: it grows
+    with the gaps in the numbers seen, not with the events, and a long run is spread
+    over its blocks. Events without a number cannot be told apart and all stay. With
+    a ``delay`` state is dropped once the watermark has passed it, at a price: what is
+    repeated later than that is no longer known, and rows of files that are older by
+    more than ``delay`` than the newest one are dropped.
     """
     # A file counts by being new, not by its age: the reader would pass over old ones.
-    reader = spark.readStream.schema(schemas.RUN_LOG).option("maxFileAge", "36500d")
+    reader = spark.readStream.option("maxFileAge", "36500d")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    events = (
-        reader.json(path)
-        .where(F.col("event").isNotNull())
-        .withColumn("ingested", F.col("_metadata.file_modification_time"))
-    )
+    ingested = F.col("_metadata.file_modification_time").alias("ingested")
+    lines = reader.text(path).select("value", ingested)
+    if distinct and delay is None:
+        head = F.from_json("value", "run_id DECIMAL(20,0), sequence BIGINT, event STRING")
+        told = lines.select(head.alias("h"), "value", F.unix_micros("ingested").alias("ingested")).where("h.event is not null")
+        numbered = F.col("h.run_id").isNotNull() & F.col("h.sequence").isNotNull()
+        known = (
+            told.where(numbered)
+            .select("h.run_id", "h.sequence", "value", "ingested", F.expr(f"h.sequence div {BLOCK_NUMBERS}").alias("block"))
+            .groupBy("run_id", "block")
+            .transformWithStateInPandas(
+                statefulProcessor=_FirstSeen(), outputStructType=_FirstSeen.OUTPUT, outputMode="Append", timeMode="None"
+            )
+            .select("value", "ingested")
+        )
+        lines = known.unionByName(told.where(~numbered).select("value", "ingested")).select(
+            "value", F.timestamp_micros("ingested").alias("ingested")
+        )
+    events = lines.select(F.from_json("value", schemas.RUN_LOG).alias("e"), "ingested").select("e.*", "ingested")
+    events = events.where(F.col("event").isNotNull())
     if delay is None:
-        return events.dropDuplicates(["run_id", "sequence"]) if distinct else events
+        return events
     events = events.withWatermark("ingested", delay)
     return events.dropDuplicatesWithinWatermark(["run_id", "sequence"]) if distinct else events
 
 
-def stream_task_states(events: DataFrame, window: str | None = None) -> DataFrame:
-    """What is known of each task so far, for output mode ``update``.
+class _Transitions(StatefulProcessor):
+    """Follows one task of a run, or the run itself, and tells every change."""
+
+    OUTPUT = "run_id DECIMAL(20,0), task STRING, before STRING, after STRING"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "sequence BIGINT, state STRING")
+
+    def handleInputRows(self, key, rows, timerValues):
+        run_id, task = key
+        before = self.state.get() if self.state.exists() else (-1, None)
+        number, state = before
+        for frame in rows:
+            if task is None:
+                if state != FINISHED:
+                    state = FINISHED if (frame["event"] == "run_finished").any() else STARTED
+                continue
+            state = state or RUNNING
+            finishes = frame[(frame["event"] == "task_finished") & (frame["sequence"] > number)]
+            if len(finishes):
+                last = finishes.loc[finishes["sequence"].idxmax()]
+                number, state = int(last["sequence"]), last["status"] or RUNNING
+        if (number, state) != tuple(before):
+            self.state.update((number, state))
+        if state != before[1]:
+            yield pd.DataFrame({"run_id": [run_id], "task": [task], "before": [before[1]], "after": [state]})
 
-    State is one row per task. Rows are maxima, so the order in which events
-    arrive does not matter, and :func:`progress_of` and :func:`finished_runs` may
-    see a row twice and still be exact. A run of any size is spread over its
-    tasks. With ``window``, and a ``delay`` of the stream, state is kept by
-    ingestion window and dropped once the watermark has passed it.
+    def close(self) -> None:
+        pass
+
+
+def stream_transitions(events: DataFrame) -> DataFrame:
+    """``run_id, task, before, after``: every change of a task's state, as it becomes known.
+
+    ``before`` is null when a task is first seen, ``after`` is its status or
+    :data:`RUNNING`. The last finish by sequence counts, so a late older one changes
+    nothing, and an event that comes again neither. The run itself is a row without
+    task that goes to :data:`STARTED` and :data:`FINISHED`. State is one entry a task, spread
+    over all tasks of a run.
     """
-    event = F.col("event")
-    finish = F.when(event == "task_finished", F.struct("sequence", "status"))
-    keys = [F.col("run_id"), F.col("task"), *([F.window("ingested", window)] if window else [])]
     return (
-        events.groupBy(*keys)
-        .agg(
-            F.max(finish).alias("finish"),
-            F.max(F.when(event == "run_finished", F.lit(1)).otherwise(0)).alias("run_finished"),
-            F.max("ingested").alias("last_ingested"),
+        events.where(F.col("run_id").isNotNull())
+        .select(
+            F.col("run_id").cast("decimal(20,0)").alias("run_id"),
+            "task",
+            "event",
+            F.coalesce("sequence", F.lit(0).cast("bigint")).alias("sequence"),
+            "status",
+        )
+        .groupBy("run_id", "task")
+        .transformWithStateInPandas(
+            statefulProcessor=_Transitions(), outputStructType=_Transitions.OUTPUT, outputMode="Append", timeMode="None"
         )
-        .drop("window")
     )
 
 
-def _latest(states: DataFrame) -> DataFrame:
-    """One row per task of the rows that a stream of states emitted."""
-    return states.groupBy("run_id", "task").agg(
-        F.max("finish").alias("finish"),
-        F.max("run_finished").alias("run_finished"),
-        F.max("last_ingested").alias("last_ingested"),
-    )
+def progress_changes(transitions: DataFrame) -> DataFrame:
+    """The transitions as additions and retractions of the header's counts.
 
+    Summed by run over any number of transitions they give the counts at that time.
+    """
 
-def finished_runs(states: DataFrame, silent_before: Column | None = None) -> DataFrame:
-    """Summary of every run that has finished, out of the rows :func:`stream_task_states` emitted.
+    def moved(holds: Callable[[str], Column]) -> Column:
+        return F.coalesce(holds("after").cast("bigint"), F.lit(0)) - F.coalesce(holds("before").cast("bigint"), F.lit(0))
 
-    The counts are those of the batch summary of the same events: a task without
-    a finish counts as blocked. Asked again after more input, a summary takes in
-    finishes that arrived late. With ``silent_before`` a run that is not finished,
-    and of which nothing was ingested since that time, is reported as abandoned.
-    """
-    # The row of the run itself has no task and belongs to none of the counts.
-    status = F.when(F.col("task").isNull(), F.lit("run")).otherwise(F.col("finish.status"))
-    totals = (
-        _latest(states)
-        .withColumn("status", status)
-        .groupBy("run_id")
-        .agg(
-            *runs.summary_counts(),
-            (F.max("run_finished") == 1).alias("finished"),
-            F.max("last_ingested").alias("last_ingested"),
-        )
+    return transitions.select(
+        "run_id",
+        moved(lambda c: F.col(c) == RUNNING).alias("running"),
+        moved(lambda c: F.col(c) == "completed").alias("completed"),
+        moved(lambda c: F.col(c).isin(schemas.FAILED_STATUSES)).alias("failed"),
+        moved(lambda c: F.col(c) == FINISHED).alias("finished"),
     )
-    told = F.col("finished")
-    if silent_before is not None:
-        told = told | (F.col("last_ingested") < silent_before)
-    return totals.where(told).select("run_id", *runs.COUNTS, (~F.col("finished")).alias("abandoned"))
 
 
-def progress_of(states: DataFrame) -> DataFrame:
-    """Live header per run out of the rows :func:`stream_task_states` emitted."""
-    status = F.col("finish.status")
-    is_task = F.col("task").isNotNull()
-    return (
-        _latest(states)
-        .groupBy("run_id")
-        .agg(
-            F.count_if(is_task & F.col("finish").isNull()).alias("running"),
-            F.count_if(is_task & (status == "completed")).alias("completed"),
-            F.count_if(is_task & status.isin(schemas.FAILED_STATUSES)).alias("failed"),
-            (F.max("run_finished") == 1).alias("finished"),
-        )
-    )
+def header_table(spark: SparkSession, path: str, fold_every: int = 16) -> CountTable:
+    """The table that follows :func:`progress_changes`; read it with :func:`progress_of`."""
+    schema = "run_id DECIMAL(20,0), running BIGINT, completed BIGINT, failed BIGINT, finished BIGINT"
+    return CountTable(spark, path, schema, ["run_id"], fold_every)
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in this trigger, by sequence."""
-    return pd.concat(list(rows), ignore_index=True).sort_values("sequence", kind="stable")
+def progress_of(header: DataFrame) -> DataFrame:
+    """Live header per run: running, completed and failed tasks, and whether it is over."""
+    return header.withColumn("finished", F.col("finished") > 0)
 
 
-class _FrameLines(StatefulProcessor):
-    """Keeps the unfinished line of both streams of one task."""
+class _Summaries(StatefulProcessor):
+    """Counts the tasks of one run by status; tells the counts once the run is over."""
 
-    STATE = "segment BIGINT, out_no BIGINT, err_no BIGINT, out_part BINARY, err_part BINARY"
     OUTPUT = (
-        "run_id DECIMAL(20,0), task STRING, stream STRING, segment BIGINT, line_no BIGINT, "
-        "line STRING, flushed BOOLEAN"
+        "run_id DECIMAL(20,0), completed BIGINT, cached BIGINT, failed BIGINT, cancelled BIGINT, "
+        "blocked BIGINT, abandoned BOOLEAN, version BIGINT"
+    )
+    STATE = (
+        "completed BIGINT, cached BIGINT, failed BIGINT, cancelled BIGINT, blocked BIGINT, "
+        "finished BOOLEAN, version BIGINT"
     )
 
-    def __init__(self, idle_ms: int | None):
-        self.idle_ms = idle_ms
+    def __init__(self, places: dict[str, int], silent_ms: int | None):
+        self.places, self.silent_ms = places, silent_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.partial = handle.getValueState("partial", self.STATE)
-
-    def _load(self):
-        if not self.partial.exists():
-            return 0, {"stdout": 0, "stderr": 0}, {"stdout": b"", "stderr": b""}
-        segment, out_no, err_no, out_part, err_part = self.partial.get()
-        return (
-            segment,
-            {"stdout": out_no, "stderr": err_no},
-            {"stdout": bytes(out_part), "stderr": bytes(err_part)},
-        )
-
-    def _flush(self, key, segment, numbers, parts, found):
-        for stream in ("stdout", "stderr"):
-            if parts[stream]:
-                found.append((stream, segment, numbers[stream], parts[stream], True))
-            numbers[stream], parts[stream] = 0, b""
-        return segment + 1
+        self.state = handle.getValueState("counts", self.STATE)
 
-    def _frame(self, key, found) -> pd.DataFrame:
-        run_id, task = key
-        return pd.DataFrame(
-            [
-                (run_id, task, stream, segment, number,
-                 f"[{task}] {line.decode('utf-8', 'replace')}", flushed)
-                for stream, segment, number, line, flushed in found
-            ],
-            columns=["run_id", "task", "stream", "segment", "line_no", "line", "flushed"],
-        )
+    def _row(self, run_id, counts, finished, version) -> pd.DataFrame:
+        names = [part.split()[0] for part in self.OUTPUT.split(", ")]
+        return pd.DataFrame([(run_id, *counts, not finished, version)], columns=names)
 
     def handleInputRows(self, key, rows, timerValues):
-        segment, numbers, parts = self._load()
-        found = []
-        for event in _in_order(rows).itertuples(index=False):
-            if event.event == "task_output":
-                *complete, rest = (parts[event.stream] + bytes(event.data)).split(b"\n")
-                for line in complete:
-                    found.append((event.stream, segment, numbers[event.stream], line, False))
-                    numbers[event.stream] += 1
-                parts[event.stream] = rest
-            else:
-                segment = self._flush(key, segment, numbers, parts, found)
-        self.partial.update(
-            (segment, numbers["stdout"], numbers["stderr"], parts["stdout"], parts["stderr"])
-        )
-        if self.idle_ms is not None:
+        *counts, finished, version = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0, False, 0)
+        told = (list(counts), finished)
+        for frame in rows:
+            finished = finished or bool((frame["after"] == FINISHED).any())
+            for column, step in (("before", -1), ("after", 1)):
+                for state, n in frame[column].value_counts().items():
+                    if state in self.places:
+                        counts[self.places[state]] += step * int(n)
+        changed = (counts, finished) != told
+        if finished and changed:
+            version += 1
+        self.state.update((*counts, finished, version))
+        if self.silent_ms is not None:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        if found:
-            yield self._frame(key, found)
+            if not finished:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+        if finished and changed:
+            yield self._row(key[0], counts, finished, version)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """A task that stays silent gets its unfinished lines flushed."""
-        segment, numbers, parts = self._load()
-        found = []
-        self._flush(key, segment, numbers, parts, found)
-        self.partial.clear()
-        if found:
-            yield self._frame(key, found)
+        """A run that stays silent is told as abandoned; what comes later corrects that."""
+        *counts, finished, version = self.state.get()
+        self.state.update((*counts, finished, version + 1))
+        yield self._row(key[0], counts, finished, version + 1)
 
     def close(self) -> None:
         pass
 
 
-def stream_frame_lines(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """Complete lines as they arrive, per task and stream.
+def stream_run_finish(transitions: DataFrame, silent_ms: int | None = None) -> DataFrame:
+    """One row with the counts of a run when it finishes, and one more for each later correction.
 
-    ``chunks``: run_id, task, sequence, event, stream, data; events other than
-    ``task_output`` (a retry or a finish) flush what is unfinished. With
-    ``idle_ms`` a silent task is flushed after that time.
+    The second of two chained stateful operators: :func:`stream_transitions` has one
+    state a task, this has a few counts a run and reads one narrow row for each change
+    of a task. The counts are those of the batch summary: a task without a finish
+    counts as blocked. ``version`` counts the rows of a run from 1; see
+    :func:`latest_summaries`. With ``silent_ms`` a run of which nothing new was heard
+    for that time is told with ``abandoned`` set.
     """
-    return (
-        chunks.select(
-            F.col("run_id").cast("decimal(20,0)").alias("run_id"),
-            "task", "sequence", "event", "stream", "data",
-        )
-        .groupBy("run_id", "task")
-        .transformWithStateInPandas(
-            statefulProcessor=_FrameLines(idle_ms),
-            outputStructType=_FrameLines.OUTPUT,
-            outputMode="Append",
-            timeMode="ProcessingTime" if idle_ms is not None else "None",
-        )
+    places = {"completed": 0, "cached": 1, "cancelled": 3, "blocked": 4, RUNNING: 4}
+    places |= {status: 2 for status in schemas.FAILED_STATUSES}
+    return transitions.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=_Summaries(places, silent_ms),
+        outputStructType=_Summaries.OUTPUT,
+        outputMode="Append",
+        timeMode="ProcessingTime" if silent_ms is not None else "None",
     )
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def latest_summaries(summaries: DataFrame) -> DataFrame:
+    """The newest row of every run out of what :func:`stream_run_finish` emitted."""
+    newest = F.max_by(F.struct(*runs.COUNTS, "abandoned"), "version").alias("s")
+    return summaries.groupBy("run_id").agg(newest).select("run_id", "s.*")
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Read everything available into a table below ``path`` and return it.
 
-    ``update`` rows are appended batch by batch; a batch written again after a
-    failure replaces itself. Jobs with ``idle_ms`` keep a clock and never run
-    out of work: start those with a processing-time trigger instead.
+    Jobs with a time limit keep a clock and never run out of work: start those with
+    a processing-time trigger instead.
     """
     spark = stream.sparkSession
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").start(path)
-    else:
-
-        def save(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-        query = writer.outputMode(mode).foreachBatch(save).start()
-    query.awaitTermination()
+    writer.format("parquet").start(path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
