@@ -31,8 +31,8 @@ def s7_changelog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k3_changelogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all changelogs, read them, write every third one changed, read all again.
 
-    Every fifth changed text ends without a line end, and names hold signs that
-    a folder name has to escape.
+    Every fifth changed text ends without a line end, every seventh becomes empty and
+    every eleventh is taken away; names hold signs that a folder name has to escape.
     """
     texts = views.changelog_texts(spark, sf_dir)
     named = texts.withColumn("file", F.concat(F.lit("a b/%+ü="), "file"))
@@ -40,17 +40,31 @@ def k3_changelogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("file", r"(\d+)$", 1).cast("bigint")
     changed = src.read_changelogs(spark, path).where(number % 3 == 0).select(
         "file",
-        F.concat("text", F.lit("## end"), F.when(number % 5 == 0, "").otherwise("\n")).alias("text"),
+        F.when(number % 11 == 0, None).when(number % 7 == 0, "").otherwise(
+            F.concat("text", F.lit("## end"), F.when(number % 5 == 0, "").otherwise("\n"))
+        ).alias("text"),
     )
-    src.write_changelogs(settle(changed, "changelogs-changed"), path)
+    src.write_changelogs(changed, path)
     return src.read_changelogs(spark, path)
 
 
+def k3_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "notes")
+    src.write_notes(settle(c7_notes(spark, sf_dir), "release-notes"), path)
+    return src.read_changelogs(spark, path)
+
+
+# Bytes from which on the check reports a merge log.
+LARGE_LOG = 11_450
+
+
 def s8_merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "merge-logs")
     views.write_texts(views.merge_texts(spark, sf_dir), path)
-    records, _ = src.read_merge_log(spark, path)
-    return records
+    records, large = src.read_merge_log(spark, path, LARGE_LOG)
+    return records.unionByName(
+        large.select("file", F.lit(-1).cast("bigint").alias("record_no"), F.col("error").alias("subject"), F.lit("").alias("body"))
+    )
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +191,7 @@ def c11_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        s7_changelog_lines, k3_changelogs, s8_merge_log, c1_entries, c2_validate, c3_top, c4_next, c5_lookup,
+        s7_changelog_lines, k3_changelogs, k3_notes, s8_merge_log, c1_entries, c2_validate, c3_top, c4_next, c5_lookup,
         c6_prepare, c7_notes, c8_render, c9_bullets, c10_truncate, c11_refs,
     ]
 }
@@ -200,16 +214,38 @@ _REQ = """, req AS (
     CASE o_orderkey % 10 WHEN 1 THEN '(unreleased)' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE v END AS wanted
   FROM orders)"""
 
+_NOTES = _TOP + _REQ + """,
+ask AS (SELECT file, num, CASE WHEN num % 3 = 1 THEN wanted END AS v, num % 3 = 1 AS has_v,
+    CASE WHEN num % 5 = 1 THEN CASE WHEN request LIKE ' v%' OR wanted IS NULL THEN NULL ELSE wanted END
+      WHEN num % 5 = 2 THEN '1.2.3' END AS t, num % 5 IN (1, 2) AS has_t FROM req WHERE k % 16 = 15),
+judged AS (SELECT a.file, top.heading, coalesce(v, t, heading) AS want, body,
+    CASE WHEN (has_v AND v IS NULL) OR (has_t AND t IS NULL) THEN 'malformed request'
+      WHEN v <> t THEN 'version and tag differ' WHEN broken THEN 'invalid changelog'
+      WHEN heading = '(unreleased)' THEN 'the newest entry is unreleased'
+      WHEN coalesce(v, t, heading) <> heading THEN 'not the newest entry'
+      WHEN NOT contains(body, '- ') THEN 'entry has no content' END AS error
+  FROM ask a JOIN top USING (file)),
+notes AS (
+SELECT file, CASE WHEN error IS NULL THEN '# ' || want || chr(10) || chr(10) || '## Changelog' || chr(10)
+  || chr(10) || trim(body, chr(10)) || chr(10) END AS notes, error FROM judged)
+"""
+
 ORACLE = {
     "s7_changelog_lines": f"WITH v_cl AS ({views.changelog_sql(LONG)})" + (_TEXT.format(end=_ENDS) + """,
 split AS (SELECT file, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS p FROM whole)
 SELECT file, i::BIGINT AS line_no, line || chr(10) AS line FROM (
   SELECT file, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS line FROM split)"""),
     "k3_changelogs": with_views(["v_cl"], _TEXT.format(end=_ENDS) + """
-SELECT 'a b/%+ü=' || file AS file, text || CASE WHEN split_part(file, '-', 2)::BIGINT % 3 <> 0 THEN ''
-  WHEN split_part(file, '-', 2)::BIGINT % 5 = 0 THEN '## end' ELSE '## end' || chr(10) END AS text FROM whole"""),
+SELECT 'a b/%+ü=' || file AS file, CASE WHEN n % 3 <> 0 THEN text WHEN n % 7 = 0 THEN ''
+  WHEN n % 5 = 0 THEN text || '## end' ELSE text || '## end' || chr(10) END AS text
+FROM (SELECT *, split_part(file, '-', 2)::BIGINT AS n FROM whole) WHERE n % 3 <> 0 OR n % 11 <> 0"""),
     "s8_merge_log": with_views(["v_merge"], """
-SELECT file, n AS record_no, subject, body FROM v_merge"""),
+SELECT file, n AS record_no, subject, body FROM v_merge
+UNION ALL SELECT 'log-' || (k // 256), -1, 'merge log too large', '' FROM (
+  SELECT o_orderkey AS k, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 7 = 0 THEN 8 + strlen(o_orderpriority)
+    WHEN o_orderkey % 11 = 0 THEN 30 + strlen(o_orderkey::VARCHAR) ELSE 30 + strlen(o_orderkey::VARCHAR) + strlen(o_orderpriority) END
+    + CASE o_orderstatus WHEN 'F' THEN 13 + strlen(o_orderkey::VARCHAR) WHEN 'O' THEN 2 ELSE 0 END AS n FROM orders)
+GROUP BY k // 256 HAVING sum(CASE WHEN k % 13 = 0 THEN 2 ELSE n + 3 END) + 1 > """ + str(LARGE_LOG)),
     "c1_entries": with_views(["v_cl"], """
 SELECT file, entry_no, heading, body, CASE WHEN versioned THEN version END AS version FROM v_cl"""),
     "c2_validate": with_views(["v_clv"], "SELECT * FROM v_clv"),
@@ -247,20 +283,9 @@ SELECT file, CASE WHEN error IS NULL THEN CASE WHEN renames THEN 'renamed' ELSE
   entry_count + CASE WHEN error IS NULL AND NOT renames THEN 1 ELSE 0 END - 1 AS last_no
 FROM judged
 UNION ALL SELECT 'nowhere', NULL, 'unknown file', NULL, NULL, NULL, NULL"""),
-    "c7_notes": with_views(["v_clv"], _TOP + _REQ + """,
-ask AS (SELECT file, num, CASE WHEN num % 3 = 1 THEN wanted END AS v, num % 3 = 1 AS has_v,
-    CASE WHEN num % 5 = 1 THEN CASE WHEN request LIKE ' v%' OR wanted IS NULL THEN NULL ELSE wanted END
-      WHEN num % 5 = 2 THEN '1.2.3' END AS t, num % 5 IN (1, 2) AS has_t FROM req WHERE k % 16 = 15),
-judged AS (SELECT a.file, top.heading, coalesce(v, t, heading) AS want, body,
-    CASE WHEN (has_v AND v IS NULL) OR (has_t AND t IS NULL) THEN 'malformed request'
-      WHEN v <> t THEN 'version and tag differ' WHEN broken THEN 'invalid changelog'
-      WHEN heading = '(unreleased)' THEN 'the newest entry is unreleased'
-      WHEN coalesce(v, t, heading) <> heading THEN 'not the newest entry'
-      WHEN NOT contains(body, '- ') THEN 'entry has no content' END AS error
-  FROM ask a JOIN top USING (file))
-SELECT file, CASE WHEN error IS NULL THEN '# ' || want || chr(10) || chr(10) || '## Changelog' || chr(10)
-  || chr(10) || trim(body, chr(10)) || chr(10) END AS notes, error FROM judged
-UNION ALL SELECT 'nowhere', NULL, 'unknown file'"""),
+    "c7_notes": with_views(["v_clv"], _NOTES + """
+SELECT file, notes, error FROM notes UNION ALL SELECT 'nowhere', NULL, 'unknown file'"""),
+    "k3_notes": with_views(["v_clv"], _NOTES + "SELECT file, notes AS text FROM notes WHERE error IS NULL"),
     "c8_render": with_views(["v_cl"], _TEXT.format(end="chr(10)") + " SELECT file, text FROM whole"),
     "c9_bullets": with_views(["v_merge"], """
 SELECT file, n AS record_no, '- ' || coalesce('[#' || pr || '](https://example.com/pull/' || pr || ')'

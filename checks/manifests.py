@@ -69,14 +69,45 @@ def s3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s3_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List documents, written and read back."""
+    """List documents, written and read back: tasks, pipelines and projects, also one without any."""
     path = scratch_path(spark, "lists")
+    projects, tasks, lanes = (f(spark, sf_dir) for f in (views.projects, views.tasks, views.pipelines))
+    bare = projects.limit(1).withColumns({"project_id": F.lit("bare"), "project_name": F.lit("bare")})
     documents.write_list_documents(
-        views.projects(spark, sf_dir), views.tasks(spark, sf_dir), views.pipelines(spark, sf_dir), path
+        projects.unionByName(bare.withColumn("default_pipeline", F.lit("ci"))), tasks, lanes, path
+    )
+    read = documents.read_documents(spark, path)
+    part = lambda kind: F.lit(kind).alias("part")
+    return (
+        read["list"]
+        .select("project", "root", part("task"), F.col("id").alias("name"), _text("command").alias("first"),
+                F.col("stdin").alias("second"))
+        .unionByName(read["pipelines"].select(
+            "project", "root", part("pipeline"), "name", _text("tasks").alias("first"), _text("finally").alias("second")))
+        .unionByName(read["projects"].select(
+            "project", "root", part("project"), F.lit("").alias("name"), F.col("default_pipeline").alias("first"),
+            F.lit("").alias("second")))
     )
-    return documents.read_documents(spark, path)["list"].select(
-        "project", "root", "default_pipeline", "id", _text("command").alias("command"), "stdin"
+
+
+def s3_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan documents of two pipelines of each project, written and read back; ``other`` is of a later schema."""
+    path = scratch_path(spark, "plans")
+    plan, edges = _plan(spark, sf_dir)
+    plan = settle(plan, "plan-rows")
+    both = plan.unionByName(plan.where(F.length("task_id") % 2 == 0).withColumn("pipeline", F.lit("even")))
+    documents.write_plan_documents(both, edges, f"{path}/now")
+    spark.range(3).select(F.lit(9).alias("schema"), F.lit("plan").alias("kind"), F.lit("later").alias("project")).write.json(
+        f"{path}/later"
     )
+    read = documents.read_documents(spark, f"{path}/*")
+    return read["plan"].select(
+        "project", "pipeline", F.col("plan_pos").cast("bigint").alias("plan_pos"), F.col("id").alias("task"),
+        _text("depends_on").alias("depends_on"), "finalizer",
+    ).unionByName(read["others"].select(
+        "project", F.col("kind").alias("pipeline"), F.col("schema").alias("plan_pos"), F.lit("").alias("task"),
+        F.lit("").alias("depends_on"), F.lit(False).alias("finalizer"),
+    ))
 
 
 def p2_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +166,7 @@ def p4_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     instances = _instances(spark, sf_dir)
     edges, _ = mx.resolve_edges(instances, views.tasks(spark, sf_dir))
     edges = settle(edges, "plan-edges")
@@ -144,8 +175,12 @@ def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = graph.mark_finalizers(edges, roots.where(digit == 1), roots.where(digit == 2))
     levels = graph.task_levels(edges, instances)
     filled = mx.interpolate(instances.dropDuplicates(["project_id", "task_id"]))
-    plan = planning.build_plan(filled, edges, levels, members)
-    return plan.select("project_id", "task_id", "pipeline", "finalizer", "dep_count", "level", "line")
+    return planning.build_plan(filled, edges, levels, members), edges
+
+
+def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, _ = _plan(spark, sf_dir)
+    return plan.select("project_id", "task_id", "pipeline", "finalizer", "dep_count", "level", "line", "reason")
 
 
 def p10_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +241,7 @@ def l6_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        s2_manifests, s2_projects, s3_documents, s3_lists, e6_redact, p1_refs, p2_matrix, p2_rejects, p3_interpolate, p4_edges, p9_plan,
+        s2_manifests, s2_projects, s3_documents, s3_lists, s3_plans, e6_redact, p1_refs, p2_matrix, p2_rejects, p3_interpolate, p4_edges, p9_plan,
         p10_list, p14_nearest_root, l1_fields, l2_patterns, l3_matrix, l4_references, l5_suggest,
         l6_unknown, l7_check_projects,
     ]
@@ -273,6 +308,25 @@ _QUOTED = """array_to_string(list_transform(command, lambda x: CASE
   WHEN regexp_full_match(x, '[A-Za-z0-9_.=/:+-]*') THEN x
   ELSE '''' || replace(x, '''', '''\\''''') || '''' END), ' ')"""
 
+_PLAN = _FILLED + _EDGES + """,
+root AS (SELECT DISTINCT project_id, task_id, p_size % 10 AS kind FROM filled WHERE p_size % 10 IN (1, 2)),
+normal AS (SELECT project_id, task_id FROM root WHERE kind = 1
+  UNION SELECT e.project_id, e.dep_id FROM normal n
+    JOIN edge e ON e.project_id = n.project_id AND e.task_id = n.task_id),
+late AS (SELECT project_id, task_id FROM root WHERE kind = 2
+  UNION SELECT e.project_id, e.dep_id FROM late n
+    JOIN edge e ON e.project_id = n.project_id AND e.task_id = n.task_id),
+members AS (SELECT *, (project_id, task_id) IN (SELECT (project_id, task_id) FROM root WHERE kind = 2)
+    OR (project_id, task_id) NOT IN (SELECT (project_id, task_id) FROM normal) AS finalizer
+  FROM (SELECT * FROM normal UNION SELECT * FROM late)),
+depth AS (SELECT DISTINCT i.project_id, i.task_id, 0 AS level FROM v_inst i
+    WHERE (i.project_id, i.task_id) NOT IN (SELECT (project_id, task_id) FROM edge)
+  UNION SELECT e.project_id, e.task_id, d.level + 1 FROM depth d
+    JOIN edge e ON e.project_id = d.project_id AND e.dep_id = d.task_id),
+lv AS (SELECT project_id, task_id, max(level)::BIGINT AS level FROM depth GROUP BY ALL),
+dc AS (SELECT project_id, task_id, count(*) AS dep_count FROM edge GROUP BY ALL)
+"""
+
 ORACLE = {
     "s2_manifests": with_views(["v_task", "v_proj"], """
 SELECT project_id, base, array_to_string(command, '|') AS command, cwd, stdin, cache,
@@ -293,10 +347,23 @@ SELECT n.project_id AS project, n.task_id AS task, (row_number() OVER (
     PARTITION BY n.project_id, n.task_id ORDER BY dep_pos) - 1
     + CASE WHEN dep_id IS NULL THEN NULL ELSE 0 END)::VARCHAR AS dep_pos, dep_id
 FROM v_node n LEFT JOIN v_edge e ON e.project_id = n.project_id AND e.task_id = n.task_id"""),
-    "s3_lists": with_views(["v_proj"], """
-SELECT project_name AS project, '/' || project_id AS root, default_pipeline, base AS id,
-  array_to_string(command, '|') AS command, stdin
-FROM v_proj JOIN v_task USING (project_id)"""),
+    "s3_lists": with_views(["v_proj", "v_lane"], """
+, head AS (SELECT project_name AS project, '/' || project_id AS root, default_pipeline, project_id FROM v_proj)
+SELECT project, root, 'task' AS part, base AS name, array_to_string(command, '|') AS first, stdin AS second
+FROM head JOIN v_task USING (project_id)
+UNION ALL SELECT project, root, 'pipeline', pipeline, array_to_string(tasks, '|'), array_to_string(fins, '|')
+FROM head JOIN v_lane USING (project_id)
+UNION ALL SELECT project, root, 'project', '', default_pipeline, '' FROM head
+UNION ALL SELECT 'bare', '/bare', 'project', '', 'ci', ''"""),
+    "s3_plans": with_views(["v_inst"], _PLAN + """,
+planned AS (SELECT DISTINCT m.project_id, m.task_id, finalizer, level FROM members m
+  JOIN lv ON lv.project_id = m.project_id AND lv.task_id = m.task_id),
+lanes AS (SELECT *, 'ci' AS pipeline FROM planned UNION ALL SELECT *, 'even' FROM planned WHERE length(task_id) % 2 = 0),
+needs AS (SELECT project_id, task_id, string_agg(dep_id, '|' ORDER BY dep_pos) AS deps FROM edge GROUP BY ALL)
+SELECT l.project_id AS project, pipeline, row_number() OVER (PARTITION BY l.project_id, pipeline
+    ORDER BY level, l.task_id) - 1 AS plan_pos, l.task_id AS task, coalesce(deps, '') AS depends_on, finalizer
+FROM lanes l LEFT JOIN needs n ON n.project_id = l.project_id AND n.task_id = l.task_id
+UNION ALL SELECT 'later', 'plan', 9, '', '', false FROM range(3)""", True),
     "e6_redact": with_views(["v_task"], """
 SELECT project_id, base, 'LEVEL|OS' AS env_names, 'LEVEL=<redacted> OS=<redacted>' AS env_text
 FROM v_task"""),
@@ -339,23 +406,7 @@ UNION ALL SELECT project_id, task_id, NULL, ref, error FROM judged WHERE error I
 UNION ALL SELECT project_id, task_id, NULL, ref, 'inherited value is missing' FROM judged j
 WHERE error IS NULL AND NOT explicit AND NOT EXISTS (SELECT 1 FROM matched m
   WHERE m.project_id = j.project_id AND m.task_id = j.task_id AND m.ref_pos = j.ref_pos)"""),
-    "p9_plan": with_views(["v_inst"], _FILLED + _EDGES + f""",
-root AS (SELECT DISTINCT project_id, task_id, p_size % 10 AS kind FROM filled WHERE p_size % 10 IN (1, 2)),
-normal AS (SELECT project_id, task_id FROM root WHERE kind = 1
-  UNION SELECT e.project_id, e.dep_id FROM normal n
-    JOIN edge e ON e.project_id = n.project_id AND e.task_id = n.task_id),
-late AS (SELECT project_id, task_id FROM root WHERE kind = 2
-  UNION SELECT e.project_id, e.dep_id FROM late n
-    JOIN edge e ON e.project_id = n.project_id AND e.task_id = n.task_id),
-members AS (SELECT *, (project_id, task_id) IN (SELECT (project_id, task_id) FROM root WHERE kind = 2)
-    OR (project_id, task_id) NOT IN (SELECT (project_id, task_id) FROM normal) AS finalizer
-  FROM (SELECT * FROM normal UNION SELECT * FROM late)),
-depth AS (SELECT DISTINCT i.project_id, i.task_id, 0 AS level FROM v_inst i
-    WHERE (i.project_id, i.task_id) NOT IN (SELECT (project_id, task_id) FROM edge)
-  UNION SELECT e.project_id, e.task_id, d.level + 1 FROM depth d
-    JOIN edge e ON e.project_id = d.project_id AND e.dep_id = d.task_id),
-lv AS (SELECT project_id, task_id, max(level)::BIGINT AS level FROM depth GROUP BY ALL),
-dc AS (SELECT project_id, task_id, count(*) AS dep_count FROM edge GROUP BY ALL)
+    "p9_plan": with_views(["v_inst"], _PLAN + f"""
 SELECT DISTINCT m.project_id, m.task_id, 'ci' AS pipeline, finalizer, coalesce(dep_count, 0) AS dep_count,
   level, CASE WHEN cwd IS NULL OR list_contains(list_transform(command, lambda x: x IS NULL), true) THEN NULL
   ELSE 'x' END AS ok,
@@ -368,7 +419,7 @@ SELECT DISTINCT m.project_id, m.task_id, 'ci' AS pipeline, finalizer, coalesce(d
   || CASE WHEN retries > 0 AND retry_backoff_seconds > 0
     THEN ' [retry_backoff=' || retry_backoff_seconds || 's]' ELSE '' END
   || CASE WHEN finalizer THEN ' [finally]' ELSE '' END
-  || ' [env LEVEL=<redacted>] [env OS=<redacted>]' AS line
+  || ' [env LEVEL=<redacted>] [env OS=<redacted>]' AS line, NULL::VARCHAR AS reason
 FROM members m JOIN filled f ON f.project_id = m.project_id AND f.task_id = m.task_id
 JOIN lv ON lv.project_id = m.project_id AND lv.task_id = m.task_id
 LEFT JOIN dc ON dc.project_id = m.project_id AND dc.task_id = m.task_id""".replace(

@@ -53,6 +53,22 @@ def s5_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def s5_large_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One list of all documents, in parts that are read as one."""
+    doc = F.col("doc_id")
+    line = F.when(doc % 31 == 0, "no digest").when(doc % 37 == 0, "").otherwise(
+        F.concat(F.sha2("text", 256), F.lit("  "), F.when(doc % 41 == 0, "twice").otherwise(doc.cast("string")))
+    )
+    path = scratch_path(spark, "large-list")
+    views.table(spark, sf_dir, "documents").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select(
+        line.alias("value")
+    ).write.text(f"{path}/list")
+    entries, errors = src.read_checksums(spark, path, by_folder=True)
+    return entries.select("name", F.col("sha256").alias("detail")).unionByName(
+        errors.select(F.col("line_no").cast("string").alias("name"), F.col("error").alias("detail"))
+    )
+
+
 def s6_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _write_texts(spark, views.expected_texts(spark, sf_dir), "expected")
     names, errors = src.read_expected_names(spark, path)
@@ -200,7 +216,7 @@ def r8_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        s4_inventory, s5_checksums, s6_expected, k2_release_outputs, r1_inventory, r2_checksums,
+        s4_inventory, s5_checksums, s5_large_list, s6_expected, k2_release_outputs, r1_inventory, r2_checksums,
         r3_verify, r4_expected, r5_identity, r6_source, r7_duplicates, r8_names,
     ]
 }
@@ -235,6 +251,13 @@ UNION ALL SELECT file, 'error', line_no::BIGINT::VARCHAR, 'duplicate name' FROM
 UNION ALL SELECT file, 'error', (line_no + 1)::BIGINT::VARCHAR, 'duplicate name' FROM counted WHERE t = 'twice'
 UNION ALL SELECT DISTINCT file, 'error', '0', 'no artifacts' FROM base
   WHERE file NOT IN (SELECT file FROM entries)""",
+    "s5_large_list": """
+WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_id)::VARCHAR AS line_no FROM documents),
+same AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS nth FROM n
+  WHERE doc_id % 41 = 0 AND doc_id % 31 <> 0 AND doc_id % 37 <> 0)
+SELECT doc_id::VARCHAR AS name, sha256(text) AS detail FROM n WHERE doc_id % 31 <> 0 AND doc_id % 37 <> 0 AND doc_id % 41 <> 0
+UNION ALL SELECT CASE nth WHEN 1 THEN 'twice' ELSE line_no END, CASE nth WHEN 1 THEN sha256(text) ELSE 'duplicate name' END FROM same
+UNION ALL SELECT line_no, 'expected digest and name' FROM n WHERE doc_id % 31 = 0""",
     "s6_expected": _LIST + """, typed AS (
   SELECT *, CASE WHEN doc_id % 31 = 0 OR doc_id % 37 = 0 THEN 'bad' WHEN doc_id % 41 = 0 THEN 'good'
     WHEN doc_id % 43 = 0 THEN 'twice' WHEN doc_id % 53 = 0 THEN 'blank' ELSE 'good' END AS t FROM base),

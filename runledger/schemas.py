@@ -108,7 +108,7 @@ TASK_KEYS = [
 
 DOCUMENT = """
     schema BIGINT, kind STRING, project STRING, root STRING, default_pipeline STRING,
-    tasks ARRAY<STRUCT<id: STRING, command: ARRAY<STRING>, cwd: STRING, stdin: STRING,
+    pipeline STRING, first BIGINT, tasks ARRAY<STRUCT<id: STRING, command: ARRAY<STRING>, cwd: STRING, stdin: STRING,
         cache: BOOLEAN, inputs: ARRAY<STRING>, outputs: ARRAY<STRING>,
         cache_env: ARRAY<STRING>, timeout_seconds: BIGINT, max_output_bytes: BIGINT,
         resource_group: STRING, retries: BIGINT, retry_backoff_seconds: BIGINT,

@@ -36,13 +36,19 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/runledger/{spark.sparkContext.applicationId}"
 
 
+def hadoop_file(spark: SparkSession, path: str):
+    """A file or folder in any store, and the file system that holds it."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return file, file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete every table that this application has settled.
 
     Call it once all results are written: DataFrames built before read from there.
     """
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    folder, files = hadoop_file(spark, _own_folder(spark))
+    files.delete(folder, True)
 
 
 def settle(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions import text
+from runledger.sources import blocks, published
 
 # Separators and size bound of a merge log.
 RECORD_SEPARATOR = "\u001e"
@@ -13,27 +14,25 @@ FIELD_SEPARATOR = "\u001f"
 MERGE_LOG_BYTES = 10 * 1024 * 1024
 
 
-def _decoded(column: Column) -> Column:
-    """Undo percent encoding; a plus sign stands for itself."""
-    return F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B")))
+def _file_name(location: Column) -> Column:
+    """A text below a folder ``file=...`` has that name, any other that of its location."""
+    name = published.file_name(location)
+    return F.when(name != "", name).otherwise(location)
 
 
 def read_changelogs(spark: SparkSession, path: str) -> DataFrame:
     """Whole changelog texts below ``path``: file, text.
 
-    A text below a folder ``file=...`` has that name, as :func:`write_changelogs`
-    was given it; any other is named by its location.
+    A folder that :func:`write_changelogs` wrote is read as it was published last.
+    Elsewhere a text below a folder ``file=...`` has that name, any other is named by
+    its location.
     """
-    location = F.col("_metadata.file_path")
-    # The folder name is escaped once by the writer and once more in the location.
-    folder = F.regexp_extract(location, r"/file=([^/]+)/[^/]*$", 1)
+    if published.current_version(spark, path) is not None:
+        return published.read_published(spark, path)
     return (
         spark.read.option("recursiveFileLookup", True)
         .text(path, wholetext=True)
-        .select(
-            F.when(folder != "", _decoded(_decoded(folder))).otherwise(location).alias("file"),
-            F.col("value").alias("text"),
-        )
+        .select(_file_name(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text"))
     )
 
 
@@ -44,62 +43,59 @@ def changelog_lines(texts: DataFrame) -> DataFrame:
     ).select("file", (F.col("i") + 1).cast("bigint").alias("line_no"), "line")
 
 
-def parse_merge_logs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge records (file, record_no, subject, body), and a report of very long logs.
-
-    All records of every log are returned, also of those in the report.
-    """
-    large = F.octet_length("text") > MERGE_LOG_BYTES
-    records = (
-        texts.select("file", F.posexplode(F.split("text", RECORD_SEPARATOR, -1)).alias("i", "raw"))
-        .withColumn("record", text.trim("raw"))
+def _merge_records(raw: DataFrame) -> DataFrame:
+    """``file, record_no, value`` to ``file, record_no, subject, body``; blank records are none."""
+    return (
+        raw.withColumn("record", text.trim("value"))
         .where(F.col("record") != "")
         .withColumn("fields", F.split("record", FIELD_SEPARATOR, 2))
-    )
-    return (
-        records.select(
+        .select(
             "file",
-            F.col("i").cast("bigint").alias("record_no"),
+            "record_no",
             text.trim(F.col("fields")[0]).alias("subject"),
             F.coalesce(F.get("fields", F.lit(1)), F.lit("")).alias("body"),
-        ),
-        texts.where(large).select("file", F.lit("merge log too large").alias("error")),
+        )
     )
 
 
-def read_merge_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Merge logs below ``path``; see :func:`parse_merge_logs`."""
-    return parse_merge_logs(read_changelogs(spark, path))
+def _too_large(sizes: DataFrame, limit: int) -> DataFrame:
+    return sizes.where(F.col("size") > limit).select("file", F.lit("merge log too large").alias("error"))
+
+
+def parse_merge_logs(texts: DataFrame, limit: int = MERGE_LOG_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Merge records (file, record_no, subject, body), and a report of logs above ``limit`` bytes.
+
+    All records of every log are returned, also of those in the report.
+    """
+    raw = texts.select("file", F.posexplode(F.split("text", RECORD_SEPARATOR, -1)).alias("i", "value")).select(
+        "file", F.col("i").cast("bigint").alias("record_no"), "value"
+    )
+    return _merge_records(raw), _too_large(texts.select("file", F.octet_length("text").alias("size")), limit)
+
+
+def read_merge_log(
+    spark: SparkSession, path: str, limit: int = MERGE_LOG_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """Merge logs below ``path``, as by :func:`parse_merge_logs`, each read by many tasks.
+
+    Sizes come from the file listing; no log is ever held in one row.
+    """
+    named = lambda rows: rows.withColumn("file", _file_name(F.col("file")))
+    raw = blocks.numbered_records(spark, path, RECORD_SEPARATOR)
+    return _merge_records(named(raw)), _too_large(named(blocks.files_below(spark, path)), limit)
 
 
 def write_changelogs(rendered: DataFrame, path: str) -> None:
-    """One text per file, byte for byte, in folders by ``file``; other files stay as they are.
+    """Replace the texts of these files (file, text), byte for byte; other files stay.
 
-    The text sink ends every row with a separator, so a text is written without
-    its last character, and with that as the separator: one write for each
-    character that texts end with, usually the line end alone. An empty text
-    leaves a folder's old content in place, as there is nothing to write.
-    Creating the files is the work here, so they are spread over all tasks.
+    See :func:`runledger.sources.published.publish`: all files change together, an empty
+    text replaces an old one, and a null takes the file away.
     """
-    tasks = int(rendered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rendered.select(
-        "file", "text", F.right("text", F.lit(1)).alias("end")
-    ).where(F.col("end") != "")
-    for (end,) in sorted(tuple(r) for r in rows.select("end").distinct().collect()):
-        (
-            rows.where(F.col("end") == end)
-            .select("file", F.left("text", F.length("text") - 1).alias("value"))
-            .repartition(tasks, "file")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("lineSep", end)
-            .partitionBy("file")
-            .text(path)
-        )
+    published.publish(rendered, path)
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
-    """Release notes that have no error, in folders by ``file``."""
+    """Release notes that have no error, by ``file``; each file has one request."""
     write_changelogs(
         notes.where(F.col("error").isNull()).select("file", F.col("notes").alias("text")), path
     )

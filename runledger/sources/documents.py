@@ -6,23 +6,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import schemas
+from runledger.functions import ordered
+
+
+#: Tasks or pipelines in one line of a document; longer documents have more lines.
+LINE_ITEMS = 256
 
 
 def read_documents(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Rows of the documents below ``path``, keyed by kind.
 
-    ``plan``: one row per task. ``graph``: one row per dependency, or one with
-    a null ``dep_id`` for a task without any. ``list``: one row per task.
+    ``plan``: one row per task, with the pipeline and its place in the plan; plans that
+    name no pipeline are told apart by ``source_file``. ``graph``: one row per
+    dependency, or one with a null ``dep_id`` for a task without any. ``list``: one row
+    per task, ``pipelines``: one per pipeline, ``projects``: one per project of the list
+    documents, also of a project that has neither. ``others``: documents of another
+    schema or kind, which have no rows elsewhere.
+
+    A document may be one line or, as the writers here leave it, several that each hold
+    some of its items.
     """
-    raw = spark.read.schema(schemas.DOCUMENT).json(path)
-    known = raw.where(F.col("schema") == schemas.EVENT_SCHEMA_VERSION)
+    raw = spark.read.schema(schemas.DOCUMENT).json(path).withColumn("source_file", F.col("_metadata.file_path"))
+    version = F.coalesce(F.col("schema") == schemas.EVENT_SCHEMA_VERSION, F.lit(False))
+    known = version & F.coalesce(F.col("kind").isin("plan", "graph", "list"), F.lit(False))
 
     def of(kind: str) -> DataFrame:
-        return known.where(F.col("kind") == kind)
+        return raw.where(known & (F.col("kind") == kind))
 
+    first = F.coalesce("first", F.lit(0).cast("bigint"))
     plan = of("plan").select(
-        "project", "root", F.posexplode("tasks").alias("plan_pos", "t")
-    ).select("project", "root", "plan_pos", "t.*")
+        "source_file", "project", "root", "pipeline", first.alias("first"), F.posexplode("tasks").alias("i", "t")
+    ).select("source_file", "project", "root", "pipeline", (F.col("first") + F.col("i")).alias("plan_pos"), "t.*")
     graph = (
         of("graph")
         .select("project", "root", F.explode("edges").alias("e"))
@@ -31,12 +45,33 @@ def read_documents(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             F.posexplode_outer("e.depends_on").alias("dep_pos", "dep_id"),
         )
     )
-    listing = (
-        of("list")
-        .select("project", "root", "default_pipeline", F.explode("tasks").alias("t"))
-        .select("project", "root", "default_pipeline", "t.id", "t.command", "t.stdin")
-    )
-    return {"plan": plan, "graph": graph, "list": listing}
+    head = ["project", "root", "default_pipeline"]
+    listing = of("list").select(*head, F.explode("tasks").alias("t")).select(*head, "t.id", "t.command", "t.stdin")
+    lanes = of("list").select("project", "root", F.explode("pipelines").alias("p")).select("project", "root", "p.*")
+    return {
+        "plan": plan,
+        "graph": graph,
+        "list": listing,
+        "pipelines": lanes,
+        "projects": of("list").select(*head).distinct(),
+        "others": raw.where(~known & (F.col("schema").isNotNull() | F.col("kind").isNotNull())).select(
+            "source_file", "schema", "kind", "project", "root"
+        ),
+    }
+
+
+def _in_lines(rows: DataFrame, group: list[str], order: list[str], item: Column, name: str) -> DataFrame:
+    """``group, first, name``: the items of each group in order, some in each row.
+
+    Places in the group are found block by block, so a group of any size is spread
+    over its rows and no row holds more than :data:`LINE_ITEMS`.
+    """
+    placed = ordered.position_by_range(rows.select(*group, *order, item.alias("item")), group, order, "place")
+    line = F.expr(f"place div {LINE_ITEMS}").alias("line")
+    return placed.groupBy(*group, line).agg(
+        F.min("place").alias("first"),
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]).alias(name),
+    ).drop("line")
 
 
 def write_graph_documents(edges: DataFrame, tasks: DataFrame, path: str) -> None:
@@ -72,11 +107,11 @@ def _head(kind: str, project: Column) -> list[Column]:
 
 
 def write_plan_documents(plan: DataFrame, edges: DataFrame, path: str) -> None:
-    """Plan documents, one JSON line per project and pipeline, tasks in plan order.
+    """Plan documents of every project and pipeline, tasks in plan order.
 
-    ``plan`` comes from ``build_plan``. A document lists the tasks of one
-    manifest, which is itself one document, so its size has the same bound.
-    Tasks without a level have no place in an order and are left out.
+    ``plan`` comes from ``build_plan``. A document is one JSON line for each
+    :data:`LINE_ITEMS` tasks; ``first`` is the place of a line's first task. Tasks without a
+    level have no place in an order and are left out.
     """
     node = ["project_id", "task_id"]
     needs = edges.groupBy(*node).agg(
@@ -95,30 +130,26 @@ def write_plan_documents(plan: DataFrame, edges: DataFrame, path: str) -> None:
         F.col("env_names").alias("env"),
     )
     rows = plan.where(F.col("level").isNotNull()).join(needs, node, "left")
-    documents = rows.groupBy("project_id", "pipeline").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("level", F.col("task_id").alias("key"), task.alias("task")))),
-            lambda t: t["task"],
-        ).alias("tasks")
-    )
-    documents.select(*_head("plan", F.col("project_id")), "tasks").write.json(path)
+    lines = _in_lines(rows, ["project_id", "pipeline"], ["level", "task_id"], task, "tasks")
+    lines.select(*_head("plan", F.col("project_id")), "pipeline", "first", "tasks").write.json(path)
 
 
 def write_list_documents(
     projects: DataFrame, tasks: DataFrame, pipelines: DataFrame, path: str
 ) -> None:
-    """List documents, one JSON line per project: its pipelines, tasks and commands."""
-    listed = tasks.groupBy("project_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("base").alias("id"), "command", "stdin"))).alias("tasks")
-    )
-    lanes = pipelines.groupBy("project_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col("pipeline").alias("name"), "tasks", "finally"))
-        ).alias("pipelines")
+    """List documents of every project: its pipelines, tasks and commands.
+
+    A document is a line that names the project, and one for each :data:`LINE_ITEMS`
+    tasks and pipelines.
+    """
+    task = F.struct(F.col("base").alias("id"), "command", "stdin")
+    lane = F.struct(F.col("pipeline").alias("name"), "tasks", "finally")
+    lines = (
+        projects.select("project_id")
+        .unionByName(_in_lines(tasks, ["project_id"], ["base"], task, "tasks"), True)
+        .unionByName(_in_lines(pipelines, ["project_id"], ["pipeline"], lane, "pipelines"), True)
     )
-    documents = projects.join(listed, "project_id", "left").join(lanes, "project_id", "left")
+    documents = lines.join(projects.select("project_id", "project_name", "default_pipeline"), "project_id")
     documents.select(
-        *_head("list", F.col("project_name")),
-        "default_pipeline",
-        *[F.col(c) for c in ("pipelines", "tasks")],
+        *_head("list", F.col("project_name")), "default_pipeline", "pipelines", "tasks"
     ).write.json(path)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.functions import text
+from runledger.session import settle
+from runledger.sources import blocks
 
 
 def read_file_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -34,17 +36,6 @@ def read_file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _whole_texts(spark: SparkSession, path: str, by_folder: bool) -> DataFrame:
-    location = F.col("_metadata.file_path")
-    if by_folder:
-        location = F.regexp_replace(location, r"/[^/]*\z", "")
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .text(path, wholetext=True)
-        .select(location.alias("file"), F.col("value").alias("text"))
-    )
-
-
 def _numbered_lines(texts: DataFrame) -> DataFrame:
     return texts.select("file", F.posexplode(text.lines(F.col("text"))).alias("i", "line")).select(
         "file", (F.col("i") + 1).cast("bigint").alias("line_no"), "line"
@@ -56,18 +47,14 @@ def _bad_name(name: Column) -> Column:
 
 
 def _without_repeats(rows: DataFrame) -> DataFrame:
-    """Mark every repetition of a name in its file; texts bound the groups."""
+    """Mark every repetition of a name in its file."""
     earlier = Window.partitionBy("file", "name").orderBy("line_no")
     repeated = F.col("error").isNull() & (F.row_number().over(earlier) > 1)
     return rows.withColumn("error", F.when(repeated, "duplicate name").otherwise(F.col("error")))
 
 
-def parse_checksums(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``file, text`` to checksums (file, name, sha256) and line errors.
-
-    An error row names the line; a list without any entry has line 0.
-    """
-    rows = _numbered_lines(texts).where(~text.is_blank("line"))
+def _checksums(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = lines.where(~text.is_blank("line"))
     at = F.instr("line", "  ")
     digest = F.substr("line", F.lit(1), at - 1)
     name = F.regexp_replace(F.substr("line", at + 2), r"\A\*", "")
@@ -86,11 +73,8 @@ def parse_checksums(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = judged.where(F.col("error").isNull())
     checked = _without_repeats(good)
     entries = checked.where(F.col("error").isNull()).select("file", "name", "sha256")
-    empty = (
-        texts.select("file")
-        .distinct()
-        .join(entries.select("file").distinct(), "file", "left_anti")
-        .select("file", F.lit(0).cast("bigint").alias("line_no"), F.lit("no artifacts").alias("error"))
+    empty = files.select("file").join(good.select("file").distinct(), "file", "left_anti").select(
+        "file", F.lit(0).cast("bigint").alias("line_no"), F.lit("no artifacts").alias("error")
     )
     errors = (
         judged.where(F.col("error").isNotNull())
@@ -103,20 +87,28 @@ def parse_checksums(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries, errors
 
 
+def parse_checksums(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``file, text`` to checksums (file, name, sha256) and line errors.
+
+    An error row names the line; a list without any entry has line 0.
+    """
+    return _checksums(_numbered_lines(texts), texts.select("file").distinct())
+
+
 def read_checksums(
     spark: SparkSession, path: str, by_folder: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Checksum lists below ``path``; see :func:`parse_checksums`.
+    """Checksum lists below ``path``, as by :func:`parse_checksums`, each read by many tasks.
 
     With ``by_folder`` the files of a folder are parts of one list, as
-    ``write_release_outputs`` leaves them.
+    ``write_release_outputs`` leaves them; its lines are numbered across them.
     """
-    return parse_checksums(_whole_texts(spark, path, by_folder))
+    lines = settle(blocks.numbered_lines(spark, path, by_folder), "checksum-lines")
+    return _checksums(lines, blocks.files_below(spark, path, by_folder))
 
 
-def parse_expected_names(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``file, text`` to expected names (file, name) and line errors."""
-    rows = _numbered_lines(texts).withColumn("name", text.trim("line")).where(F.col("name") != "")
+def _expected_names(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = lines.withColumn("name", text.trim("line")).where(F.col("name") != "")
     judged = rows.withColumn("error", F.when(_bad_name(F.col("name")), "invalid name"))
     bad = judged.where(F.col("error").isNotNull())
     checked = _without_repeats(judged.where(F.col("error").isNull()))
@@ -128,9 +120,16 @@ def parse_expected_names(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def read_expected_names(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Expected-name lists below ``path``; see :func:`parse_expected_names`."""
-    return parse_expected_names(_whole_texts(spark, path, False))
+def parse_expected_names(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``file, text`` to expected names (file, name) and line errors."""
+    return _expected_names(_numbered_lines(texts))
+
+
+def read_expected_names(
+    spark: SparkSession, path: str, by_folder: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Expected-name lists below ``path``, as by :func:`parse_expected_names`, each read by many tasks."""
+    return _expected_names(settle(blocks.numbered_lines(spark, path, by_folder), "expected-lines"))
 
 
 def release_lines(heads: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.session import hadoop_file
+
 
 class CountTable:
     """Counts by key below ``path``: ``keys`` and ``counts`` name its columns.
@@ -22,19 +24,14 @@ class CountTable:
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], fold_every: int = 16):
         self.spark, self.path, self.schema, self.keys, self.fold_every = spark, path, schema, keys, fold_every
 
-    def _file(self, name: str = ""):
-        """A file of this table and its file system."""
-        file = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return file, file.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def _parts(self, kind: str) -> list[int]:
         """Batches of which there is a complete part of this kind, in ascending order."""
-        root, files = self._file()
+        root, files = hadoop_file(self.spark, self.path)
         if not files.exists(root):
             return []
         names = [status.getPath().getName() for status in files.listStatus(root)]
         found = sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
-        return [n for n in found if files.exists(self._file(f"{kind}={n}/_SUCCESS")[0])]
+        return [n for n in found if files.exists(hadoop_file(self.spark, f"{self.path}/{kind}={n}/_SUCCESS")[0])]
 
     def _summed(self, changes: DataFrame) -> DataFrame:
         counts = [c for c in changes.columns if c not in self.keys]
@@ -69,7 +66,7 @@ class CountTable:
             return
         old = [f"base={b}" for b in before[:-1]] + [f"changes={b}" for b in self._parts("changes") if b <= before[-1]]
         for name in old:
-            file, files = self._file(name)
+            file, files = hadoop_file(self.spark, f"{self.path}/{name}")
             files.delete(file, True)
 
     def read(self) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from runledger.plans import project_plan as pp
 from runledger.sources import documents, manifests
@@ -66,6 +67,47 @@ def test_plan_document_round_trip(spark, fleet, tmp_path):
     assert read[0].outputs == ["out/linux/**"] and read[2].finalizer and read[3].timeout_seconds == 60
 
 
+def test_documents_of_many_lines(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "LINE_ITEMS", 4)
+    n = 23
+    tasks = spark.range(n).select(
+        F.lit("p").alias("project_id"), F.format_string("t%02d", "id").alias("base"),
+        F.array(F.lit("run")).alias("command"), F.lit("null").alias("stdin"),
+    )
+    lanes = spark.range(9).select(
+        F.lit("p").alias("project_id"), F.concat(F.lit("lane-"), "id").alias("pipeline"),
+        F.array(F.lit("t01")).alias("tasks"), F.array(F.lit("t02")).alias("finally"),
+    )
+    projects = spark.createDataFrame(
+        [("p", "P", "ci"), ("empty", "E", "go")], "project_id string, project_name string, default_pipeline string"
+    )
+    path = str(tmp_path / "lists")
+    documents.write_list_documents(projects, tasks, lanes, path)
+    (tmp_path / "lists" / "later.json").write_text(
+        '{"schema":2,"kind":"list","project":"new"}\n{"schema":1,"kind":"other","project":"x"}\n'
+    )
+    read = documents.read_documents(spark, path)
+    assert rows(read["list"], "project", "id") == [("P", f"t{k:02}") for k in range(n)]
+    assert rows(read["pipelines"], "project", "name", "tasks", "finally") == [
+        ("P", f"lane-{k}", ["t01"], ["t02"]) for k in range(9)
+    ]
+    assert rows(read["projects"]) == [("E", "/empty", "go"), ("P", "/p", "ci")]
+    assert rows(read["others"], "schema", "kind", "project") == [(1, "other", "x"), (2, "list", "new")]
+    longest = spark.read.text(path).select(F.max(F.size(F.split("value", '"id"')) - 1)).first()[0]
+    assert longest == 4
+
+
+def test_plans_of_two_pipelines_are_told_apart(spark, fleet, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "LINE_ITEMS", 2)
+    projects, tasks, pipelines, built = fleet
+    plan = pp.plan_projects(built, tasks, pipelines)
+    path = str(tmp_path / "plans")
+    documents.write_plan_documents(plan.unionByName(plan.withColumn("pipeline", F.lit("again"))), built.edges, path)
+    read = documents.read_documents(spark, path)["plan"]
+    names = sorted({r.pipeline for r in plan.collect()} | {"again"})
+    assert rows(read, "pipeline", "plan_pos") == [(name, k) for name in names for k in range(4)]
+
+
 def test_problems_of_a_project(fleet):
     projects, tasks, pipelines, built = fleet
     found = {(r.subject, r.rule, r.detail) for r in pp.check_projects(projects, tasks, pipelines).collect()}

@@ -3,6 +3,8 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
 from runledger.operators import release
 from runledger.plans.release_report import release_report
 from runledger.sources import releases as src
@@ -54,6 +56,37 @@ def test_checksum_lines(spark, rows):
     ], key=repr)
 
 
+def test_lists_of_many_parts_are_one(spark, rows, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    folder = tmp_path / "document=checksums" / "release=r"
+    folder.mkdir(parents=True)
+    digest = "ab" * 32
+    lines = [f"{digest}  f{k % 29}" if k % 7 else "" for k in range(40)]
+    (folder / "part-0").write_text("".join(f"{x}\r\n" for x in lines[:25]))
+    (folder / "part-1").write_text("\n".join(lines[25:]))
+    (folder / "part-2").write_text("")
+    other = tmp_path / "document=checksums" / "release=none"
+    other.mkdir()
+    (other / "part-0").write_text("\n  \n")
+    (tmp_path / "names").mkdir()
+    (tmp_path / "names" / "list").write_text("\n".join([*[f"n{k}" for k in range(90)], " n5 ", "/n6"]))
+    try:
+        entries, errors = src.read_checksums(spark, str(tmp_path / "document=checksums"), by_folder=True)
+        names, bad = src.read_expected_names(spark, str(tmp_path / "names"))
+        assert sorted(r.name for r in entries.collect()) == sorted({x.split("  ")[1] for x in lines if x})
+        told = errors.select(F.regexp_extract("file", "release=(.*)", 1), "line_no", "error")
+        seen, want = set(), [("none", 0, "no artifacts")]
+        for k, x in enumerate(lines):
+            if x and x in seen:
+                want.append(("r", k + 1, "duplicate name"))
+            seen.add(x)
+        assert rows(told) == sorted(want, key=repr)
+        assert names.count() == 90
+        assert rows(bad, "line_no", "error") == [(91, "duplicate name"), (92, "invalid name")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_expected_names(spark, rows):
     texts = spark.createDataFrame([("f", " a \n\nb/..\n/c\na\nd..e\n")], "file string, text string")
     names, errors = src.parse_expected_names(texts)
