@@ -6,7 +6,7 @@ cut at newlines where they are, and only the pieces of one line meet again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger import schemas
@@ -18,33 +18,56 @@ _TASK = ["run_id", "task"]
 _STREAM = [*_TASK, "stream"]
 
 
-def _segmented(output: DataFrame, breaks: DataFrame, block_rows: int) -> DataFrame:
-    """Output chunks with the number of buffer flushes that precede them."""
-    chunks = output.select(
-        *_STREAM, "sequence", F.decode("data", "ISO-8859-1").alias("text"), F.lit(0).alias("cut")
-    )
-    cuts = breaks.select(
-        *_TASK,
-        F.lit(None).cast("string").alias("stream"),
-        "sequence",
-        F.lit(None).cast("string").alias("text"),
-        F.lit(1).alias("cut"),
+def _line_numbers(output: DataFrame, breaks: DataFrame, block_rows: int) -> DataFrame:
+    """Segment and first line number of every chunk: run_id, task, stream, sequence, newlines, segment, first_line.
+
+    A segmented scan over what is left of a chunk without its text: its newlines, and
+    whether lines are flushed before it. Both streams of a task are counted from its
+    start; a flush remembers the counts so far, which are subtracted from those of the
+    chunks after it. Blocks are scanned for themselves, and their sums once more.
+    """
+    newlines = F.length("data") - F.length(F.regexp_replace(F.decode("data", "ISO-8859-1"), "\n", ""))
+    out = F.col("stream") == "stdout"
+    counted = output.select(*_STREAM, "sequence", newlines.cast("bigint").alias("newlines"), F.lit(0).alias("cut"))
+    rows = counted.unionByName(
+        breaks.select(
+            *_TASK, F.lit(None).cast("string").alias("stream"), "sequence", F.lit(0).cast("bigint").alias("newlines"),
+            F.lit(1).alias("cut"),
+        )
+    ).withColumn("block", ordered.block_of("sequence", block_rows))
+    inside = Window.partitionBy(*_TASK, "block").orderBy("sequence", F.desc("cut"))
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+
+    def total(value: Column, window) -> Column:
+        return F.coalesce(F.sum(value).over(window), zero)
+
+    sums = {
+        "cuts": F.col("cut"),
+        "outs": F.when(out, F.col("newlines")).otherwise(zero),
+        "errs": F.when(out, zero).otherwise(F.col("newlines")),
+    }
+    local = rows.select("*", *[total(v, before).alias(k) for k, v in sums.items()])
+    # Counts only grow, so the greatest at a flush is that of the last flush.
+    kept = {k: F.when(F.col("cut") == 1, F.col(k)) for k in ("outs", "errs")}
+    local = settle(local.select("*", *[F.max(v).over(before).alias(f"{k}_from") for k, v in kept.items()]), "line-counts")
+    blocks = local.groupBy(*_TASK, "block").agg(
+        *[F.sum(v).alias(f"{k}_all") for k, v in sums.items()], *[F.max(v).alias(f"{k}_from") for k, v in kept.items()]
     )
-    counted = ordered.running_total(
-        chunks.unionByName(cuts),
-        _TASK,
-        ["sequence", F.desc("cut")],
-        ordered.block_of("sequence", block_rows),
-        F.col("cut"),
-        "segment",
+    earlier = Window.partitionBy(*_TASK).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select("*", *[total(F.col(f"{k}_all"), earlier).alias(f"{k}_base") for k in sums]).select(
+        *_TASK, "block", *[f"{k}_base" for k in sums],
+        *[F.max(F.col(f"{k}_base") + F.col(f"{k}_from")).over(earlier).alias(f"{k}_start") for k in kept],
     )
-    # Stored, because both the numbering and the joining of lines read it; the
-    # numbering then only touches the narrow columns.
-    return settle(
-        counted.where(F.col("cut") == 0)
-        .drop("cut")
-        .withColumn("newlines", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))),
-        "segments",
+
+    def first_line(k: str) -> Column:
+        base = F.col(f"{k}_base")
+        return base + F.col(k) - F.coalesce(base + F.col(f"{k}_from"), F.col(f"{k}_start"), zero)
+
+    return local.where("cut = 0").join(bases, [*_TASK, "block"]).select(
+        *_STREAM, "sequence", "newlines",
+        (F.col("cuts_base") + F.col("cuts")).cast("bigint").alias("segment"),
+        F.when(out, first_line("outs")).otherwise(first_line("errs")).alias("first_line"),
     )
 
 
@@ -53,19 +76,15 @@ def frame_lines(
 ) -> DataFrame:
     """Complete lines per task and stream, each prefixed with its task.
 
-    ``output``: run_id, task, stream, sequence, data. ``breaks``: run_id, task,
-    sequence of the events that flush unfinished lines (a retry, a finish).
-    Result: run_id, task, stream, segment, line_no, line, end_sequence,
-    flushed. Lines of a segment are numbered from zero.
+    ``output``: run_id, task, stream, sequence, data, each sequence once in a run.
+    ``breaks``: run_id, task, sequence of the events that flush unfinished lines (a
+    retry, a finish). Result: run_id, task, stream, segment, line_no, line,
+    end_sequence, flushed. Lines of a segment are numbered from zero. Numbers are
+    found without the text, which is read beside them and joined by its key.
     """
     group = [*_STREAM, "segment"]
-    numbered = ordered.running_total(
-        _segmented(output, breaks, block_rows),
-        group,
-        ["sequence"],
-        ordered.block_of("sequence", block_rows),
-        F.col("newlines"),
-        "first_line",
+    numbered = _line_numbers(output, breaks, block_rows).join(
+        output.select(*_STREAM, "sequence", F.decode("data", "ISO-8859-1").alias("text")), [*_STREAM, "sequence"]
     )
     pieces = explode_rows(
         numbered,

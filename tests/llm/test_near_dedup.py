@@ -116,3 +116,33 @@ def test_doubled_and_single_texts_are_linked(spark):
         rows += [(2 * k, text), (2 * k + 1, f"{text} {text}" if k % 2 else f"{text} " * 3)]
     got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(documents(spark, rows)).collect()}
     assert got == classes_of(rows) == {d: d - d % 2 for d, _ in rows}
+
+
+def rare_pairs(spark, rows):
+    texts = spark.createDataFrame(rows, "node long, text string")
+    groups = texts.selectExpr("node", "node AS root").distinct()
+    return {(r.a, r.b) for r in nd._rare_pairs(groups, texts, 5, 0.8).collect()}
+
+
+def test_rare_shingles_find_every_link(spark):
+    rows = []
+    for k in range(40):
+        text = prose(k // 8, 60 + k % 8)
+        rows.append((len(rows), edited(text, k, k % 7)))
+        rows.append((len(rows), f"{text} {edited(text, k, k % 3)}"))
+        rows.append((len(rows), " ".join(text.split()[: 20 + k]) + " same old words again here" * (1 + k % 4)))
+    rows += [(len(rows), "three short words"), (len(rows), ""), (len(rows), None)]
+    memory = WordHashes()
+    sets = {d: nd.weighted_set(memory.of(folded_words((t or "").encode())), 5) for d, t in rows}
+    links = {
+        (a, b) for a, b in combinations(sets, 2)
+        if len(sets[a][0]) and len(sets[b][0]) and nd.similarity(sets[a], sets[b]) >= 0.8
+    }
+    assert len(links) > 100 and links <= rare_pairs(spark, rows)
+
+
+def test_a_large_group_below_the_threshold_makes_few_pairs(spark):
+    text = prose(3, 300)
+    rows = [(k, edited(text, k, 14)) for k in range(300)]
+    # About 44,850 pairs share buckets or might.
+    assert len(rare_pairs(spark, rows)) < 1000
