@@ -23,23 +23,23 @@ _COUNTS_SQL = """
 
 
 def s1_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of a log that was written and read back, and the error documents beside it."""
     path = scratch_path(spark, "run-log")
-    run_log.write_run_log(
-        views.events(spark, sf_dir).withColumn("run_date", F.to_date("ts")), path
-    )
-    events, _ = run_log.read_run_log(spark, path)
-    return events.select(
-        F.col("run_id").cast("bigint").alias("run_id"),
-        "sequence",
-        "event",
-        "schema",
-        "project",
-        "task",
-        "stream",
-        F.array_join(F.col("bytes").cast("array<string>"), ",").alias("bytes"),
-        "status",
-        F.col("elapsed_ms").cast("string").alias("elapsed_ms"),
-        F.col("attempt").cast("string").alias("attempt"),
+    events = views.events(spark, sf_dir)
+    run_log.write_run_log(events.withColumn("run_date", F.to_date("ts")), path)
+    ends = events.where((F.col("event") == "run_finished") & (F.col("sequence") % 3 == 0))
+    ends.select(
+        F.lit(1).alias("schema"), F.lit("error").alias("kind"), (F.col("sequence") % 5).alias("code"),
+        F.concat(F.lit("run "), "run_id", F.lit(" \"stopped\"\n")).alias("message"),
+    ).write.mode("append").json(f"{path}/run_date=errors")
+    read, documents = run_log.read_run_log(spark, path)
+    text = lambda *names: [F.col(n).cast("string").alias(n) for n in names]
+    return read.select(
+        F.col("run_id").cast("bigint").alias("run_id"), "sequence", "event", "schema", "project", "task", "stream",
+        F.array_join(F.col("bytes").cast("array<string>"), ",").alias("bytes"), "status",
+        *text("elapsed_ms", "attempt", "max_attempts", "task_count", *runs.COUNTS, "code"), "kind", "message",
+    ).unionByName(
+        documents.select("schema", "kind", F.col("code").cast("string").alias("code"), "message"), allowMissingColumns=True
     )
 
 
@@ -78,17 +78,7 @@ def e2_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e3_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attempts = views.table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("run_id"),
-        F.concat(F.lit("task-"), "l_partkey").alias("task"),
-        (F.col("l_suppkey") % 11 == 0).alias("cancelled"),
-        F.when(F.col("l_partkey") % 13 == 0, "stdout")
-        .when(F.col("l_partkey") % 13 == 1, "stderr").alias("exceeded_stream"),
-        F.floor("l_extendedprice").cast("bigint").alias("elapsed_ms"),
-        F.lit(30000).cast("bigint").alias("timeout_ms"),
-        F.when(F.col("l_linenumber") % 3 != 0, F.col("l_suppkey") % 3).alias("exit_code"),
-    )
-    return ev.classify_attempts(attempts).select("run_id", "task", "elapsed_ms", "outcome")
+    return ev.attempt_outcomes(views.events(spark, sf_dir))
 
 
 def e4_error_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,8 +258,13 @@ framed AS (
 ORACLE = {
     "s1_run_log": with_views(["v_evt"], """
 SELECT run_id, sequence, event, schema::BIGINT AS schema, project, task, stream,
-  array_to_string(bytes, ',') AS bytes, status, elapsed_ms::VARCHAR AS elapsed_ms,
-  attempt::VARCHAR AS attempt FROM v_evt"""),
+  array_to_string(bytes, ',') AS bytes, status, elapsed_ms::VARCHAR AS elapsed_ms, attempt::VARCHAR AS attempt,
+  max_attempts::VARCHAR AS max_attempts, task_count::VARCHAR AS task_count, completed::VARCHAR AS completed,
+  cached::VARCHAR AS cached, failed::VARCHAR AS failed, cancelled::VARCHAR AS cancelled, blocked::VARCHAR AS blocked,
+  NULL AS code, NULL AS kind, NULL AS message FROM v_evt
+UNION ALL SELECT NULL, NULL, NULL, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  (sequence % 5)::VARCHAR, 'error', 'run ' || run_id || ' "stopped"' || chr(10)
+FROM v_evt WHERE event = 'run_finished' AND sequence % 3 = 0"""),
     "e1_normalize": with_views(["v_evt"], """
 SELECT run_id, sequence, event, schema::BIGINT AS schema, stream, status,
   schema = 1 AND coalesce(stream, 'stdout') IN ('stdout', 'stderr')
@@ -281,12 +276,13 @@ SELECT CASE sequence % 37 WHEN 5 THEN left('{"run_id":' || run_id || ',"sequence
   ELSE '[1]' END AS line, CASE sequence % 37 WHEN 5 THEN 'malformed JSON' ELSE 'no object' END AS reason
 FROM v_evt WHERE sequence % 37 IN (5, 6)
 UNION ALL SELECT count(*)::VARCHAR, 'events' FROM v_evt WHERE sequence % 37 NOT IN (5, 6)"""),
-    "e3_attempts": """
-SELECT l_orderkey AS run_id, 'task-' || l_partkey AS task, floor(l_extendedprice)::BIGINT AS elapsed_ms,
-  CASE WHEN l_suppkey % 11 = 0 THEN 'cancelled' WHEN l_partkey % 13 < 2 THEN 'output_limit'
-    WHEN l_linenumber % 3 <> 0 THEN CASE WHEN l_suppkey % 3 <> 0 THEN 'failed' ELSE 'completed' END
-    WHEN floor(l_extendedprice) >= 30000 THEN 'timed_out' ELSE 'running' END AS outcome
-FROM lineitem""",
+    "e3_attempts": with_views(["v_evt"], """
+SELECT run_id, task, sequence, attempt, CASE WHEN later IS NOT NULL THEN 'retried'
+  WHEN fin > sequence THEN status ELSE 'running' END AS outcome
+FROM (SELECT run_id, task, sequence, attempt, lead(sequence) OVER (PARTITION BY run_id, task ORDER BY sequence) AS later
+  FROM v_evt WHERE event = 'task_attempt_started') a
+LEFT JOIN (SELECT run_id, task, max(sequence) AS fin, arg_max(coalesce(status, ''), sequence) AS status FROM v_evt
+  WHERE event = 'task_finished' GROUP BY ALL) f USING (run_id, task)"""),
     "e4_error_status": with_views(["v_evt"], """
 SELECT run_id, sequence, kind, CASE kind WHEN 'timed_out' THEN 'timed_out'
   WHEN 'output_limit' THEN 'output_limit' WHEN 'cancelled' THEN 'cancelled'

@@ -41,16 +41,9 @@ def p11_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degree_table(views.edges(spark, sf_dir), views.graph_nodes(spark, sf_dir))
 
 
-def p12_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = _finalizers(spark, sf_dir)
-    states = views.graph_runs(spark, sf_dir)
-    plan = states.select("run_id", "project_id").distinct().join(members.drop("pipeline"), "project_id")
-    # Most runs keep their failures to themselves, so normal tasks show too.
-    quiet = (F.col("run_id") % 3 != 0) & F.col("state").isin("failed", "timed_out", "cancelled")
-    results = states.where(F.col("state").isNotNull() & ~quiet).select(
-        "run_id", "task_id", F.when(F.col("state") == "active", "running").otherwise(F.col("state")).alias("status")
-    )
-    return graph.ready_tasks(plan, views.edges(spark, sf_dir), results)
+def p12_waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = views.graph_runs(spark, sf_dir).withColumnRenamed("state", "status")
+    return graph.waiting_tasks(states, views.edges(spark, sf_dir), states.where("status <> 'active'"))
 
 
 def p13_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +52,12 @@ def p13_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.blocked_by(views.edges(spark, sf_dir), results, finalizers)
 
 
+def p13_first_blocker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = views.graph_runs(spark, sf_dir).withColumnRenamed("state", "status")
+    finalizers = _finalizers(spark, sf_dir).where("finalizer")
+    return graph.first_blockers(views.edges(spark, sf_dir), results, finalizers)
+
+
 def p15_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.serialize_graph(views.edges(spark, sf_dir), views.graph_nodes(spark, sf_dir))
 
@@ -67,7 +66,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         p5_closure, p6_levels, p6_levels_beside_cycles, p7_cycles, p8_finalizers, p11_degree,
-        p12_frontier, p13_blocked, p15_graph,
+        p12_waiting, p13_blocked, p13_first_blocker, p15_graph,
     ]
 }
 
@@ -94,6 +93,16 @@ residue AS (SELECT project_id, task_id FROM looped
   UNION SELECT r.project_id, r.src FROM reach r JOIN looped l
     ON l.project_id = r.project_id AND l.task_id = r.dst)"""
 
+_WALK = """,
+walk AS (
+  SELECT run_id, project_id, task_id AS failed_task, task_id, 0 AS hops FROM v_grun
+  WHERE state IN ('failed', 'timed_out', 'cancelled')
+  UNION SELECT w.run_id, w.project_id, w.failed_task, e.task_id, w.hops + 1 FROM walk w
+    JOIN v_edge e ON e.project_id = w.project_id AND e.dep_id = w.task_id
+    WHERE (e.project_id, e.task_id) NOT IN
+      (SELECT (project_id, task_id) FROM members WHERE finalizer))
+"""
+
 ORACLE = {
     "p5_closure": with_views(["v_edge", "v_root"], """, walk AS (
   SELECT project_id, task_id AS root, task_id, 0 AS hops FROM v_root
@@ -146,31 +155,20 @@ SELECT n.project_id, n.task_id, coalesce(d, 0) AS open_deps, coalesce(u, 0) AS d
 LEFT JOIN (SELECT project_id, task_id, count(*) AS d FROM v_edge GROUP BY ALL) USING (project_id, task_id)
 LEFT JOIN (SELECT project_id, dep_id AS task_id, count(*) AS u FROM v_edge GROUP BY ALL)
   USING (project_id, task_id)"""),
-    "p12_frontier": with_views(["v_edge", "v_root", "v_fin", "v_grun"], _MEMBERS + """,
-done AS (SELECT run_id, task_id, state IN ('completed', 'cached') AS ok FROM v_grun
-  WHERE state IS NOT NULL AND state <> 'active'
-  AND NOT (run_id % 3 <> 0 AND state IN ('failed', 'timed_out', 'cancelled'))),
-st AS (SELECT r.run_id, m.project_id, m.task_id, m.finalizer, d.ok, g.task_id IS NOT NULL AS started
-  FROM (SELECT DISTINCT run_id, project_id FROM v_grun) r JOIN members m USING (project_id)
-  LEFT JOIN done d ON d.run_id = r.run_id AND d.task_id = m.task_id
-  LEFT JOIN v_grun g ON g.run_id = r.run_id AND g.task_id = m.task_id AND g.state = 'active'),
-rs AS (SELECT run_id, coalesce(bool_or(NOT ok), false) AS failed,
-    count(*) FILTER (ok IS NULL AND NOT finalizer) AS n_open FROM st GROUP BY run_id)
-SELECT run_id, task_id, finalizer FROM st JOIN rs USING (run_id)
-WHERE ok IS NULL AND NOT started AND CASE WHEN finalizer THEN failed OR n_open = 0 ELSE NOT failed END
-  AND NOT EXISTS (SELECT 1 FROM v_edge e LEFT JOIN done d ON d.run_id = st.run_id
-    AND d.task_id = e.dep_id WHERE e.project_id = st.project_id AND e.task_id = st.task_id
-    AND (d.ok IS NULL OR (NOT d.ok AND NOT st.finalizer)))""", True),
-    "p13_blocked": with_views(["v_edge", "v_root", "v_fin", "v_grun"], _MEMBERS + """,
-walk AS (
-  SELECT run_id, project_id, task_id AS failed_task, task_id, 0 AS hops FROM v_grun
-  WHERE state IN ('failed', 'timed_out', 'cancelled')
-  UNION SELECT w.run_id, w.project_id, w.failed_task, e.task_id, w.hops + 1 FROM walk w
-    JOIN v_edge e ON e.project_id = w.project_id AND e.dep_id = w.task_id
-    WHERE (e.project_id, e.task_id) NOT IN
-      (SELECT (project_id, task_id) FROM members WHERE finalizer))
+    "p12_waiting": with_views(["v_edge", "v_grun"], """
+SELECT r.run_id, r.task_id, count(e.dep_id) AS n_open, min(e.dep_id) AS first_open
+FROM v_grun r LEFT JOIN (SELECT DISTINCT g.run_id, e.project_id, e.task_id, e.dep_id FROM v_edge e
+    JOIN (SELECT DISTINCT run_id, project_id FROM v_grun) g USING (project_id)
+    LEFT JOIN v_grun d ON d.run_id = g.run_id AND d.task_id = e.dep_id AND d.state IN ('completed', 'cached')
+    WHERE d.task_id IS NULL) e
+  ON e.run_id = r.run_id AND e.project_id = r.project_id AND e.task_id = r.task_id
+WHERE r.state IS NULL OR r.state = 'active' GROUP BY r.run_id, r.project_id, r.task_id"""),
+    "p13_blocked": with_views(["v_edge", "v_root", "v_fin", "v_grun"], _MEMBERS + _WALK + """
 SELECT run_id, failed_task, task_id AS blocked_task, min(hops)::BIGINT AS hops FROM walk
 WHERE hops > 0 GROUP BY ALL""", True),
+    "p13_first_blocker": with_views(["v_edge", "v_root", "v_fin", "v_grun"], _MEMBERS + _WALK + """
+SELECT run_id, min(failed_task) AS failed_task, task_id AS blocked_task FROM walk
+WHERE hops > 0 GROUP BY run_id, project_id, task_id""", True),
     "p15_graph": with_views(["v_edge"], """
 SELECT n.project_id, n.task_id,
   n.task_id || coalesce(' <- ' || d, '') AS line,

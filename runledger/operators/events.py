@@ -54,22 +54,28 @@ def encode_output(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("bytes", pairs).drop("data")
 
 
-def classify_attempts(attempts: DataFrame) -> DataFrame:
-    """How each recorded attempt ended, where several reasons may hold at once.
+def attempt_outcomes(events: DataFrame) -> DataFrame:
+    """How each attempt in a log ended: run_id, task, sequence, attempt, outcome.
 
-    Input: cancelled, exceeded_stream, exit_code (null if it never exited),
-    elapsed_ms, timeout_ms. Cancelling outranks a passed output limit, which
-    outranks the exit code, which outranks the time limit.
+    An attempt that another one follows was ``retried``. The last attempt of a task
+    ended as its finish says, or is still ``running`` where the log holds no finish
+    after it.
     """
+    task = ["run_id", "task"]
+    started = F.col("event") == "task_attempt_started"
+    finished = F.col("event") == "task_finished"
+    ends = events.where(started | finished).groupBy(*task).agg(
+        F.max(F.when(started, F.col("sequence"))).alias("last"),
+        F.max(F.when(finished, F.struct("sequence", "status"))).alias("finish"),
+    )
     outcome = (
-        F.when(F.col("cancelled"), "cancelled")
-        .when(F.col("exceeded_stream").isNotNull(), "output_limit")
-        .when(F.col("exit_code") != 0, "failed")
-        .when(F.col("exit_code") == 0, "completed")
-        .when(F.col("elapsed_ms") >= F.col("timeout_ms"), "timed_out")
+        F.when(F.col("sequence") < F.col("last"), "retried")
+        .when(F.col("finish.sequence") > F.col("sequence"), F.col("finish.status"))
         .otherwise("running")
     )
-    return attempts.withColumn("outcome", outcome)
+    return events.where(started).select(*task, "sequence", "attempt").join(ends, task).select(
+        *task, "sequence", "attempt", outcome.alias("outcome")
+    )
 
 
 def _lookup(pairs: list[tuple[str, str]], key: str) -> Column:

@@ -125,21 +125,19 @@ def test_normalize_rejects_unknown_tokens(spark, rows):
     assert rows(bad, "sequence") == [(10,), (11,), (12,), (13,)]
 
 
-@pytest.mark.parametrize(
-    "attempt, outcome",
-    [
-        ((True, "stdout", 0, 1), "cancelled"),
-        ((False, "stdout", 0, 1), "output_limit"),
-        ((False, None, 0, 99), "completed"),
-        ((False, None, 3, 99), "failed"),
-        ((False, None, None, 10), "timed_out"),
-        ((False, None, None, 9), "running"),
-    ],
-)
-def test_attempt_precedence(spark, attempt, outcome):
-    schema = "cancelled boolean, exceeded_stream string, exit_code bigint, elapsed_ms bigint, timeout_ms bigint"
-    table = spark.createDataFrame([(*attempt, 10)], schema)
-    assert ev.classify_attempts(table).first()["outcome"] == outcome
+def test_how_attempts_ended(spark, rows):
+    started, ended = "task_attempt_started", "task_finished"
+    log = [
+        (1, 1, started, "a", 1, None), (1, 4, started, "a", 2, None), (1, 6, ended, "a", None, "failed"),
+        (1, 2, started, "b", 1, None), (1, 9, started, "late", 2, None), (1, 3, ended, "late", None, "completed"),
+        (2, 1, started, "a", 1, None), (2, 2, ended, "a", None, "timed_out"), (2, 5, ended, "c", None, "cached"),
+    ]
+    schema = "run_id bigint, sequence bigint, event string, task string, attempt bigint, status string"
+    got = ev.attempt_outcomes(spark.createDataFrame(log, schema))
+    assert rows(got, "run_id", "task", "attempt", "outcome") == [
+        (1, "a", 1, "retried"), (1, "a", 2, "failed"), (1, "b", 1, "running"), (1, "late", 2, "running"),
+        (2, "a", 1, "timed_out"),
+    ]
 
 
 def hot_rows(seed=3, n=400):
