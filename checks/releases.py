@@ -133,6 +133,21 @@ def k2_release_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def k2_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write release folders and read the metadata documents back."""
+    path = scratch_path(spark, "release-out")
+    identity, _ = _identity(spark, sf_dir)
+    heads, artifacts, _ = release.build_inventory(views.release_files(spark, sf_dir), identity)
+    src.write_release_outputs(heads, artifacts, path)
+    told, items, errors = src.read_release_metadata(spark, path)
+    identity_text = F.concat_ws("|", F.col("manifest_version").cast("string"), "repository", "source_commit", "tag_object", "workflow_run")
+    return (
+        told.select("release", F.lit("head").alias("part"), F.coalesce("release_tag", F.lit("")).alias("name"), identity_text.alias("detail"))
+        .unionByName(items.select("release", F.lit("artifact").alias("part"), "name", F.concat_ws(" ", "sha256", F.col("size").cast("string")).alias("detail")))
+        .unionByName(errors.select("release", F.lit("error").alias("part"), F.lit("").alias("name"), F.col("error").alias("detail")))
+    )
+
+
 def r2_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.verify_checksums(
         views.release_expected(spark, sf_dir), views.release_files(spark, sf_dir)
@@ -216,7 +231,7 @@ def r8_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        s4_inventory, s5_checksums, s5_large_list, s6_expected, k2_release_outputs, r1_inventory, r2_checksums,
+        s4_inventory, s5_checksums, s5_large_list, s6_expected, k2_release_outputs, k2_metadata, r1_inventory, r2_checksums,
         r3_verify, r4_expected, r5_identity, r6_source, r7_duplicates, r8_names,
     ]
 }
@@ -277,6 +292,12 @@ FROM v_rfile LEFT JOIN (SELECT * FROM act WHERE release NOT LIKE 'src7-%') USING
 UNION ALL SELECT 'empty-' || c_custkey, 'no release artifacts', 0, 0 FROM customer"""),
     "k2_release_outputs": with_views(["v_rexp", "v_rfile"], """
 SELECT release, name, sha256 FROM v_rfile WHERE release IN (SELECT release FROM v_rexp)"""),
+    "k2_metadata": with_views(["v_rexp", "v_rfile"], _IDENTITY + """
+SELECT release, 'artifact' AS part, name, sha256 || ' ' || size AS detail FROM v_rfile
+  WHERE release IN (SELECT release FROM v_rexp)
+UNION ALL SELECT release, 'head', coalesce(release_tag, ''),
+  concat_ws('|', '1', repository, source_commit, tag_object, workflow_run)
+FROM act WHERE release IN (SELECT release FROM v_rfile)"""),
     "r2_checksums": with_views(["v_rexp", "v_rfile"], """
 SELECT e.release, e.name, e.sha256, f.sha256 AS actual, CASE WHEN f.name IS NULL THEN 'missing'
   WHEN f.kind <> 'file' THEN 'not a regular file' WHEN f.sha256 <> e.sha256 THEN 'checksum mismatch'

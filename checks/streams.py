@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views
@@ -14,18 +14,23 @@ from runledger.sources import run_log
 from runledger.streaming import frame_stream as fs
 from runledger.streaming import run_stream as rs
 
-# The log is dealt to this many folders of files, of which a trigger reads two files.
+# The log is dealt to this many files, of which a trigger reads two.
 FILES = 3
 
 
 def _log(spark: SparkSession, events: DataFrame) -> str:
     """Write the events as a log of several files, dealt to them without any order."""
     path = scratch_path(spark, "live-log")
-    dealt = F.pmod(F.xxhash64("run_id", "sequence"), F.lit(FILES))
-    run_log.write_run_log(events.withColumn("run_date", F.concat(F.lit("part-"), dealt)), path)
+    _write(events, path, F.pmod(F.xxhash64("run_id", "sequence"), F.lit(FILES)))
     return path
 
 
+def _write(events: DataFrame, path: str, number: Column, label: str = "part") -> None:
+    """Add one file for each number."""
+    dealt = events.withColumn("run_date", F.concat(F.lit(f"{label}-"), number))
+    run_log.write_run_log(dealt.repartitionByRange(FILES, "run_date"), path, mode="append")
+
+
 def _stream(spark: SparkSession, path: str, **options) -> DataFrame:
     rs.use_rocksdb(spark)
     return rs.stream_run_log(spark, f"{path}/*/*.txt", **{"files_per_trigger": 2, "distinct": False, **options})
@@ -43,8 +48,7 @@ def t1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log delivered twice, the second time in other files."""
     events = views.events(spark, sf_dir)
     path = _log(spark, events)
-    again = F.concat(F.lit("again-"), F.pmod(F.xxhash64("sequence"), F.lit(FILES)))
-    run_log.write_run_log(events.withColumn("run_date", again), path, mode="append")
+    _write(events, path, F.pmod(F.xxhash64("sequence"), F.lit(FILES)), "again")
     stream = _stream(spark, path, distinct=True)
     return _plain(_finished(spark, stream, "t1").select("run_id", "sequence", "event", "task", "status"))
 

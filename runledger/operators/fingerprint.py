@@ -19,18 +19,18 @@ SKIPPED_FOLDERS = (".git",)
 def _matches(
     files: DataFrame, tasks: DataFrame, patterns: str, skip: tuple[str, ...]
 ) -> DataFrame:
-    """Files beside every pattern of their project that matches: task_id and ``p``.
+    """Paths beside every pattern of their project that matches: project_id, path, task_id, ``p``.
 
     Patterns are rows, compiled once. They meet files by the literal folder they
     start in and the literal name or ending they end with, so a file is only
-    compared with patterns that can reach it. Spark broadcasts the patterns when
-    they are few; otherwise a crowded folder is split by the skew handling of
-    adaptive execution.
+    compared with patterns that can reach it. Only the path of a file takes part.
+    Spark broadcasts the patterns when they are few; otherwise a crowded folder is
+    split by the skew handling of adaptive execution.
     """
     compiled = tasks.select(
         *_TASK, F.explode(globs.compile_patterns(F.col(patterns))).alias("p")
     ).select(*_TASK, "p", F.col("p.folder").alias("_folder"), F.col("p.tail").alias("_tail"))
-    visible = files.where(
+    visible = files.select("project_id", "path").where(
         ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(name) for name in skip]))
     )
     keyed = visible.withColumn("_folder", F.explode(globs.path_folders(F.col("path")))).withColumn(
@@ -39,15 +39,15 @@ def _matches(
     return (
         keyed.join(compiled, ["project_id", "_folder", "_tail"])
         .where(globs.matches(F.col("path"), F.col("p")))
-        .select(*files.columns, "task_id", "p")
+        .select("project_id", "path", "task_id", "p")
     )
 
 
 def _selected(files: DataFrame, tasks: DataFrame, patterns: str, skip: tuple[str, ...]) -> DataFrame:
-    """Files that the last matching pattern of a task selects."""
+    """Paths that the last matching pattern of a task selects: project_id, path, task_id."""
     return (
         _matches(files, tasks, patterns, skip)
-        .groupBy(*files.columns, "task_id")
+        .groupBy("project_id", "path", "task_id")
         .agg(F.max_by(~F.col("p.exclude"), "p.idx").alias("_selected"))
         .where("_selected")
         .drop("_selected")
@@ -62,10 +62,12 @@ def select_files(
 ) -> DataFrame:
     """Regular files selected by each task's ordered patterns.
 
-    ``files``: project_id, path, is_symlink and any further columns.
+    ``files``: project_id, path, is_symlink and any further columns, which are joined
+    once the paths are chosen; a path stands once in its project.
     """
-    regular = files.where(~F.col("is_symlink"))
-    return _selected(regular, tasks, patterns, skip).drop("is_symlink")
+    regular = files.where(~F.col("is_symlink")).drop("is_symlink")
+    chosen = _selected(regular, tasks, patterns, skip)
+    return regular.join(chosen, ["project_id", "path"]).select(*regular.columns, "task_id")
 
 
 def unmatched_patterns(

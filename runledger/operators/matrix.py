@@ -6,11 +6,10 @@ by array expressions (at most 1,024 of them), so expansion needs no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger import schemas
-from runledger.functions import ordered
 from runledger.functions.rows import explode_rows
 
 _DIMS = "array<struct<key:string,value:string>>"
@@ -251,18 +250,20 @@ def resolve_edges(instances: DataFrame, tasks: DataFrame) -> tuple[DataFrame, Da
         F.posexplode("depends_on").alias("ref_pos", "ref"),
     )
     resolved = resolve_references(references, tasks)
+    # Positions are dense: the targets of a reference follow those of the references
+    # before it. These come from one row of their task, so the window is small.
+    earlier = (
+        Window.partitionBy("project_id", "task_id").orderBy("ref_pos").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    start = F.coalesce(F.sum(F.size("targets")).over(earlier), F.lit(0))
     edges = explode_rows(
-        resolved.where(F.col("error").isNull()),
-        ["project_id", "task_id", "ref_pos"],
+        resolved.where(F.col("error").isNull()).select("project_id", "task_id", "targets", start.alias("start")),
+        ["project_id", "task_id", "start"],
         "targets",
         "dep_id",
         "i",
     )
-    # Positions are dense; the targets of one reference are a block of them.
-    placed = ordered.position(
-        edges, ["project_id", "task_id"], ["i"], F.col("ref_pos").cast("bigint"), "dep_pos"
-    )
     return (
-        placed.select("project_id", "task_id", "dep_pos", "dep_id"),
+        edges.select("project_id", "task_id", (F.col("start") + F.col("i")).alias("dep_pos"), "dep_id"),
         resolved.where(F.col("error").isNotNull()).select("project_id", "task_id", "ref", "error"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions import text
 from runledger.session import settle
-from runledger.sources import blocks
+from runledger.sources import blocks, published
 
 
 def read_file_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -182,3 +182,32 @@ def write_release_outputs(heads: DataFrame, artifacts: DataFrame, path: str) ->
         .write.partitionBy("document", "release")
         .text(path)
     )
+
+
+def read_release_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metadata documents that :func:`write_release_outputs` left below ``path``.
+
+    Heads (release, manifest_version and the identity fields), artifacts (release, name,
+    sha256, size) and releases whose document has no beginning or no end (release,
+    error). Documents are read line by line, a huge one by many tasks.
+    """
+    release = published.decoded(
+        published.decoded(F.regexp_extract(F.col("_metadata.file_path"), r"/release=([^/]+)/[^/]*$", 1))
+    )
+    opening = ',"artifacts":['
+    lines = spark.read.option("recursiveFileLookup", True).text(f"{path}/document=metadata").select(
+        release.alias("release"), F.col("value").alias("line")
+    ).withColumn(
+        "part", F.when(F.col("line").endswith(opening), 0).when(F.col("line") == "]}", 2).otherwise(1)
+    )
+    fields = "manifest_version BIGINT, " + ", ".join(f"{f} STRING" for f in schemas.IDENTITY_FIELDS)
+    head = F.from_json(F.concat(F.left("line", F.length("line") - len(opening)), F.lit("}")), fields)
+    item = F.from_json(F.regexp_replace("line", r"\A,", ""), "name STRING, sha256 STRING, size BIGINT")
+    whole = lines.groupBy("release").agg(
+        F.count_if(F.col("part") == 0).alias("heads"), F.count_if(F.col("part") == 2).alias("ends")
+    )
+    return (
+        lines.where("part = 0").select("release", head.alias("h")).select("release", "h.*"),
+        lines.where("part = 1").select("release", item.alias("i")).select("release", "i.*"),
+        whole.where("heads <> 1 OR ends <> 1").select("release", F.lit("incomplete document").alias("error")),
+    )

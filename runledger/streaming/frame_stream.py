@@ -10,9 +10,8 @@ from __future__ import annotations
 
 import sys
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -54,10 +53,10 @@ class _FrameLines(StatefulProcessor):
         # What is there of the unfinished line, piece by piece: a long one is never copied.
         self.pieces = {s: handle.getListState(f"{s}_pieces", "data BINARY") for s in self.STREAMS}
         self.early = handle.getMapState("early", "step BIGINT", "stream STRING, data BINARY")
+        self.row = Row(*[part.split()[0] for part in self.OUTPUT.split(", ")])
 
     def _load(self) -> None:
-        stored = self.place.get() if self.place.exists() else (0, 0, 0, 0)
-        self.step, self.segment, *numbers = stored
+        self.step, self.segment, *numbers = self.place.get() or (0, 0, 0, 0)
         self.numbers = dict(zip(self.STREAMS, numbers, strict=True))
         self.added = {s: [] for s in self.STREAMS}
         self.found = []
@@ -112,30 +111,24 @@ class _FrameLines(StatefulProcessor):
             self.early.removeKey((at,))
             self._take(stream, data)
 
-    def _lines(self, key) -> pd.DataFrame:
+    def _lines(self, key):
         run_id, task = key
-        rows = [
-            (run_id, task, stream, segment, number, f"[{task}] {line.decode('utf-8', 'replace')}", flushed)
-            for stream, segment, number, line, flushed in self.found
-        ]
+        for stream, segment, number, line, flushed in self.found:
+            yield self.row(run_id, task, stream, segment, number, f"[{task}] {line.decode('utf-8', 'replace')}", flushed)
         self.found = []
-        return pd.DataFrame(rows, columns=[part.split()[0] for part in self.OUTPUT.split(", ")])
 
     def handleInputRows(self, key, rows, timerValues):
         self._load()
         waiting = self.early.exists()
-        for frame in rows:
-            frame = frame.sort_values("step", kind="stable")
-            for step, stream, data in zip(frame["step"], frame["stream"], frame["data"], strict=True):
-                if step == self.step:
-                    self._take(stream, data)
-                    if waiting:
-                        self._take_early()
-                elif step > self.step:
-                    self.early.updateValue((int(step),), (stream, data))
-                    waiting = True
-            if self.found:
-                yield self._lines(key)
+        for row in rows:
+            if row.step == self.step:
+                self._take(row.stream, row.data)
+                if waiting:
+                    self._take_early()
+            elif row.step > self.step:
+                self.early.updateValue((row.step,), (row.stream, row.data))
+                waiting = True
+            yield from self._lines(key)
         self._store()
         if self.idle_ms is not None:
             for timer in self.handle.listTimers():
@@ -150,8 +143,7 @@ class _FrameLines(StatefulProcessor):
             self._take_early()
         self._flush()
         self._store()
-        if self.found:
-            yield self._lines(key)
+        yield from self._lines(key)
 
     def close(self) -> None:
         pass
@@ -180,7 +172,7 @@ def stream_frame_lines(events: DataFrame, idle_ms: int | None = None) -> DataFra
             F.when(event == "task_output", F.col("data")).alias("data"),
         )
         .groupBy("run_id", "task")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=_FrameLines(idle_ms),
             outputStructType=_FrameLines.OUTPUT,
             outputMode="Append",

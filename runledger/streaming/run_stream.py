@@ -12,9 +12,8 @@ import sys
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -134,22 +133,18 @@ class _Transitions(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         run_id, task = key
-        before = self.state.get() if self.state.exists() else (-1, None)
-        number, state = before
-        for frame in rows:
+        number, state = before = self.state.get() or (-1, None)
+        for row in rows:
             if task is None:
-                if state != FINISHED:
-                    state = FINISHED if (frame["event"] == "run_finished").any() else STARTED
-                continue
-            state = state or RUNNING
-            finishes = frame[(frame["event"] == "task_finished") & (frame["sequence"] > number)]
-            if len(finishes):
-                last = finishes.loc[finishes["sequence"].idxmax()]
-                number, state = int(last["sequence"]), last["status"] or RUNNING
+                state = FINISHED if row.event == "run_finished" else state or STARTED
+            elif row.event == "task_finished" and row.sequence > number:
+                number, state = row.sequence, row.status or RUNNING
+            else:
+                state = state or RUNNING
         if (number, state) != tuple(before):
             self.state.update((number, state))
         if state != before[1]:
-            yield pd.DataFrame({"run_id": [run_id], "task": [task], "before": [before[1]], "after": [state]})
+            yield Row(run_id=run_id, task=task, before=before[1], after=state)
 
     def close(self) -> None:
         pass
@@ -174,7 +169,7 @@ def stream_transitions(events: DataFrame) -> DataFrame:
             "status",
         )
         .groupBy("run_id", "task")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=_Transitions(), outputStructType=_Transitions.OUTPUT, outputMode="Append", timeMode="None"
         )
     )
@@ -228,19 +223,17 @@ class _Summaries(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("counts", self.STATE)
 
-    def _row(self, run_id, counts, finished, version) -> pd.DataFrame:
-        names = [part.split()[0] for part in self.OUTPUT.split(", ")]
-        return pd.DataFrame([(run_id, *counts, not finished, version)], columns=names)
+    def _row(self, run_id, counts, finished, version) -> Row:
+        return Row(*[part.split()[0] for part in self.OUTPUT.split(", ")])(run_id, *counts, not finished, version)
 
     def handleInputRows(self, key, rows, timerValues):
-        *counts, finished, version = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0, False, 0)
+        *counts, finished, version = self.state.get() or (0, 0, 0, 0, 0, False, 0)
         told = (list(counts), finished)
-        for frame in rows:
-            finished = finished or bool((frame["after"] == FINISHED).any())
-            for column, step in (("before", -1), ("after", 1)):
-                for state, n in frame[column].value_counts().items():
-                    if state in self.places:
-                        counts[self.places[state]] += step * int(n)
+        for row in rows:
+            finished = finished or row.after == FINISHED
+            for state, step in ((row.before, -1), (row.after, 1)):
+                if state in self.places:
+                    counts[self.places[state]] += step
         changed = (counts, finished) != told
         if finished and changed:
             version += 1
@@ -275,7 +268,7 @@ def stream_run_finish(transitions: DataFrame, silent_ms: int | None = None) -> D
     """
     places = {"completed": 0, "cached": 1, "cancelled": 3, "blocked": 4, RUNNING: 4}
     places |= {status: 2 for status in schemas.FAILED_STATUSES}
-    return transitions.groupBy("run_id").transformWithStateInPandas(
+    return transitions.groupBy("run_id").transformWithState(
         statefulProcessor=_Summaries(places, silent_ms),
         outputStructType=_Summaries.OUTPUT,
         outputMode="Append",

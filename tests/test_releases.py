@@ -40,6 +40,13 @@ def test_inventory_head_and_round_trip(spark, rows, tmp_path):
     entries, errors = src.read_checksums(spark, f"{path}/document=checksums", by_folder=True)
     assert rows(entries, "name", "sha256") == [("a/x", "1" * 64), ("b", "2" * 64)]
     assert errors.count() == 0
+    told, items, broken = src.read_release_metadata(spark, path)
+    assert rows(told, "release", "manifest_version", "repository", "release_tag", "tag_object") == [("r", 1, "o/p", "v1", None)]
+    assert rows(items) == [("r", "a/x", "1" * 64, 1), ("r", "b", "2" * 64, 2)] and broken.count() == 0
+    [last] = [p for p in folder.glob("part-*") if "]}" in p.read_text()]
+    last.write_text(last.read_text().replace("]}", ""))
+    folder.joinpath(f".{last.name}.crc").unlink(missing_ok=True)
+    assert rows(src.read_release_metadata(spark, path)[2], "release") == [("r",)]
 
 
 def test_checksum_lines(spark, rows):
