@@ -308,5 +308,5 @@ def find_leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no benchmark item is found; rows without id are kept."""
-    leaked = settle(find_leaks(docs, benchmark).select("doc_id").distinct(), "leak-found")
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    leaked = settle(find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct(), "leak-found")
+    return docs.join(leaked, F.col("doc_id") == F.col("__leaked"), "left_anti")

@@ -343,5 +343,5 @@ def near_classes(
 def keep_one_per_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id names its class, and those without id; columns as given."""
     classes = near_classes(docs)
-    gone = settle(classes.where("doc_id <> class_id").select("doc_id"), "near-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = settle(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "near-gone")
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

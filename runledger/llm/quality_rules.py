@@ -171,7 +171,8 @@ def judge(docs: DataFrame) -> DataFrame:
     null, belong to one unnamed host. Further columns are kept in ``row``; an
     empty table gives no rows.
     """
-    tested = settle(failures(measure(docs)), "quality-tested")
+    # Texts are measured again for the verdicts: cheaper than a stored copy of them.
+    tested = failures(measure(docs))
     verdicts = host_verdicts(tested).select(F.col("host").alias("of_host"), "rate", "bad_host")
     return tested.join(verdicts, F.col("host").eqNullSafe(F.col("of_host")), "left").withColumn(
         "kept", ~F.col("base_failed") & ~(F.col("bad_host") & F.col("sign_failed"))

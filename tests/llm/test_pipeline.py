@@ -2,8 +2,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from runledger.llm import decontaminate, near_dedup, quality_rules
 from tests.llm import test_decontaminate, test_line_dedup, test_near_dedup, test_quality_rules
-from tests.llm.conftest import documents
+from tests.llm.conftest import documents, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +45,20 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
             assert stage(spark, docs, SF).columns == docs.columns
             stage(spark, docs, SF).collect()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+def test_stages_keep_columns_with_dotted_names(spark):
+    docs = documents(spark, [(1, prose(1, 80)), (2, prose(1, 80)), (3, prose(2, 80) + "\n")]).withColumnRenamed("row", "a.b")
+    docs = docs.withColumnRenamed("key", "c`.d")
+    benchmark = spark.createDataFrame([(7, prose(2, 40))], "item_id long, text string")
+    deduped = line_dedup_stage(spark, docs)
+    assert deduped.columns == docs.columns and deduped.count() == 3
+    assert quality_rules.keep_good(docs).columns == docs.columns
+    kept = near_dedup.keep_one_per_class(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    clean = decontaminate.without_leaks(docs, benchmark)
+    assert clean.columns == docs.columns and {r["a.b"] for r in clean.collect()} == {"x"}
+
+
+def line_dedup_stage(spark, docs):
+    return dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "")
