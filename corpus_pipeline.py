@@ -19,29 +19,45 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects, row by row; null and empty texts go.
+
+    Repeated rows share their verdict, further columns stay, an empty table gives none.
+    """
     return quality_rules.keep_good(docs)
 
 
 def apply_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that others repeat; ``n_chars`` follows the text."""
+    """All documents, without the lines that others repeat; ``n_chars`` follows the text.
+
+    A row without id keeps its text; a null text becomes an empty one. Rows of one id
+    count as one document; repeated rows, further columns and empty tables stay as they are.
+    """
     kept = line_dedup.dedup_lines(docs)
     changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return kept.select(*[changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    column = lambda c: F.col(f"row.`{c.replace('`', '``')}`")
+    return kept.select(*[changed.get(c, column(c)).alias(c) for c in docs.columns])
 
 
 def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group of near duplicates."""
+    """One document, that of smallest id, of each group of near duplicates.
+
+    Rows without id cannot be named and stay, as do all rows of an id that stays; texts
+    without words are like no other. Further columns stay, an empty table gives no rows.
+    """
     return near_dedup.keep_one_per_class(docs)
 
 
 def apply_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found.
+
+    Decided by id: rows without one stay, rows of one id go together. Null and empty
+    texts hold no item; further columns stay, an empty table gives no rows.
+    """
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def apply_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts, and digests of the ids and of the decoded text."""
+    """Token counts, and digests of the ids and of the decoded text, row by row; a null text is empty."""
     return bpe.digests(bpe.encode_decode(docs, TOKENIZER))
 
 
@@ -58,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written before the next reads it."""
+    """All stages over ``documents``, each written before the next reads it.
+
+    What nulls, repeated rows and further columns become is told stage by stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"corpus-{name}")
