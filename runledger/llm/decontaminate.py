@@ -8,9 +8,9 @@ all words of the segment are there, and one threshold serves all segments.
 Search skips by upper bounds: first whole blocks of segments, for all passages
 of a text at once; then, for a passage that some block may answer, document by
 document with pivots and block maxima. Every segment above the threshold is
-retrieved, there is no top-k. An item that was retrieved is verified word by
-word: enough of the word runs that end in its question, and enough of those that
-end in its answer, must stand in the text near the passage.
+retrieved, there is no top-k. Every passage that retrieves an item is verified word
+by word: enough of the word runs that end in its question must stand in the text
+near the passage, and enough of its answer where these runs say that it should be.
 
 Benchmarks larger than :data:`PART_BYTES` are searched in parts, one pass each.
 """
@@ -21,6 +21,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,12 @@ BLOCK = 8
 RUN_WORDS = 5
 QUESTION_OVERLAP = 0.5
 ANSWER_OVERLAP = 0.5
+#: Words by which a word of an answer may be off its place.
+SLACK_WORDS = 3
 #: Benchmark text that one index holds.
 PART_BYTES = 32 << 20
+#: Upper bounds of passages and blocks that are held at a time.
+CELLS = 1 << 17
 
 K1, B = 1.2, 0.75
 
@@ -177,14 +182,46 @@ class BlockMaxIndex:
                 cursor[0], cursor[1] = (entries[at][0], at) if at < len(entries) else (-1, at)
 
 
-def run_overlap(item: list[bytes], before: int, text: list[bytes]) -> tuple[float, float]:
-    """Shares of the item's word runs found in a text: those ending in its question, in its answer."""
+def overlaps(item: list[bytes], before: int, text: list[bytes]) -> tuple[float, float]:
+    """Shares of an item's question and of its answer that stand in a text.
+
+    The question's share is that of the word runs that end in it; an item with a
+    question shorter than a run has none to find. A run found in the text, at its last
+    place in the item, tells where the answer should be: the answer's share is that of
+    its words within :data:`SLACK_WORDS` of their places, for the run that serves it
+    best, or that of the word runs that end in it, if more.
+    """
     width = min(RUN_WORDS, len(item))
-    there = {tuple(text[k : k + width]) for k in range(len(text) - width + 1)}
-    hits = [tuple(item[k : k + width]) in there for k in range(len(item) - width + 1)]
+    runs = [tuple(item[k : k + width]) for k in range(len(item) - width + 1)]
+    last = {run: k for k, run in enumerate(runs)}
+    there, shifts = set(), set()
+    for p in range(len(text) - width + 1):
+        run = tuple(text[p : p + width])
+        if run in last:
+            there.add(run)
+            shifts.add(p - last[run])
+    hits = [run in there for run in runs]
     split = min(max(before - width + 1, 0), len(hits) - 1)
     question, answer = hits[:split], hits[split:]
-    return (sum(question) / len(question) if question else 1.0), sum(answer) / len(answer)
+    share = sum(answer) / len(answer)
+    if shifts:
+        share = max(share, _in_place(item, before, text, shifts) / (len(item) - before))
+    return (sum(question) / len(question) if question else 1.0), share
+
+
+def _in_place(item: list[bytes], before: int, text: list[bytes], shifts: set[int]) -> int:
+    """Most words of an answer that one of the shifts from item to text finds near their places."""
+    places: dict[bytes, list[int]] = {word: [] for word in item[before:]}
+    for p, word in enumerate(text):
+        if word in places:
+            places[word].append(p)
+    low = len(item) + SLACK_WORDS
+    near = np.zeros(low + len(text) + SLACK_WORDS, np.int64)
+    slack = np.arange(-SLACK_WORDS, SLACK_WORDS + 1)
+    for k in range(before, len(item)):
+        at = np.array(places[item[k]], np.int64) - k + low
+        near[np.unique(at[:, None] + slack)] += 1
+    return int(near[np.fromiter(shifts, np.int64, len(shifts)) + low].max())
 
 
 class Searcher:
@@ -194,7 +231,7 @@ class Searcher:
         self.index, self.half, self.threshold = index, passage_words // 2, threshold
 
     def hits(self, words: list[bytes]) -> list[tuple[int, float, float, float]]:
-        """Items found and verified: id, best score, shares of question and answer."""
+        """Items found and verified: id, score, shares of question and answer, of the best passage for each."""
         index, half = self.index, self.half
         ids = np.fromiter(map(index.ids.get, words, [-1] * len(words)), np.int64, len(words))
         at = np.flatnonzero(ids >= 0)
@@ -209,25 +246,55 @@ class Searcher:
         width = len(index.ids)
         cells = np.unique(passage_of[inside] * width + words_of[inside])
         passage_of, words_of = cells // width, cells % width
-        bounds = index.bounds(words_of, passage_of)
-        best: dict[int, tuple[float, int]] = {}
-        live = bounds + 1e-9 >= self.threshold
-        for passage in np.flatnonzero(live.any(axis=1)).tolist():
+        best: dict[int, tuple[float, float, float, float]] = {}
+        step = max(1, CELLS // index.blocks)
+        for first in range(0, last + 1, step):
+            low, high = np.searchsorted(passage_of, [first, first + step])
+            if low < high:
+                self._search(words, words_of[low:high], passage_of[low:high], best)
+        return [(index.items[item][0], *found[1:]) for item, found in best.items()]
+
+    def _search(self, words: list[bytes], words_of: np.ndarray, passage_of: np.ndarray, best: dict) -> None:
+        """Search and verify some passages, and keep for each item what overlaps most, then scores most."""
+        index, half, first = self.index, self.half, int(passage_of[0])
+        live = index.bounds(words_of, passage_of - first) + 1e-9 >= self.threshold
+        for passage in (np.flatnonzero(live.any(axis=1)) + first).tolist():
             low, high = np.searchsorted(passage_of, [passage, passage + 1])
-            own = np.flatnonzero(live[passage]).tolist()
+            own = np.flatnonzero(live[passage - first]).tolist()
+            scores: dict[int, float] = {}
             for number, score in index.search(words_of[low:high].tolist(), self.threshold, own):
                 item = index.segments[number].item
-                if score > best.get(item, (0.0, 0))[0]:
-                    best[item] = (score, passage)
-        found = []
-        for item, (score, passage) in best.items():
-            item_id, item_words, before = index.items[item]
+                scores[item] = max(score, scores.get(item, 0.0))
             start = passage * half
-            near = words[max(0, start - len(item_words)) : start + 2 * half + len(item_words)]
-            question, answer = run_overlap(item_words, before, near)
-            if question >= QUESTION_OVERLAP and answer >= ANSWER_OVERLAP:
-                found.append((item_id, score, question, answer))
-        return found
+            for item, score in scores.items():
+                so_far = best.get(item, (0.0, 0.0, 0.0, 0.0))
+                if so_far[:2] >= (2.0, score):
+                    continue  # All of it was found already.
+                _, item_words, before = index.items[item]
+                near = words[max(0, start - len(item_words)) : start + 2 * half + len(item_words)]
+                question, answer = overlaps(item_words, before, near)
+                if question >= QUESTION_OVERLAP and answer >= ANSWER_OVERLAP:
+                    best[item] = max(so_far, (question + answer, score, question, answer))
+
+
+@dataclass
+class Part:
+    """Some items of a benchmark with the whole benchmark's word statistics: what a task is sent."""
+
+    items: list[tuple[int, str]]
+    df: dict[bytes, int]
+    n_all: int
+    mean: float
+    passage_words: int
+    threshold: float
+    _ready: list = field(default_factory=list)
+
+    def searcher(self) -> Searcher:
+        """Made on the first call in a worker, and kept for its later tasks."""
+        if not self._ready:
+            index = BlockMaxIndex(self.items, self.passage_words, self.df, self.n_all, self.mean)
+            self._ready.append(Searcher(index, self.passage_words, self.threshold))
+        return self._ready[0]
 
 
 def _words_of_items(items: DataFrame) -> DataFrame:
@@ -242,22 +309,8 @@ def _words_of_items(items: DataFrame) -> DataFrame:
     return map_batches(items, work, "item_id long, words array<binary>, length long")
 
 
-def find_leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    passage_words: int = PASSAGE_WORDS,
-    threshold: float = THRESHOLD,
-    part_bytes: int = PART_BYTES,
-) -> DataFrame:
-    """``doc_id, item_id, score, question_overlap, answer_overlap``: every verified item in a document.
-
-    ``benchmark`` has ``item_id`` and ``text``. Null and empty items hold no
-    words and are found nowhere; null and empty texts hold no items. Items of
-    equal text are found together. Every row of ``docs`` is searched for itself,
-    so null or repeated ids give their own rows. Further columns are not read;
-    empty tables give no rows.
-    """
-    spark = docs.sparkSession
+def _parts(benchmark: DataFrame, passage_words: int, threshold: float, part_bytes: int) -> list[Part]:
+    """The benchmark in parts of bounded size; none if no item has a word."""
     items = settle(
         benchmark.select(F.col("item_id").cast("long"), "text").where(F.length("text") > 0), "leak-items"
     )
@@ -271,28 +324,46 @@ def find_leaks(
         "leak-frequencies",
     )
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    id_text = docs.select("doc_id", "text")
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    found = None
+    out = []
     for number in range(parts if n_all else 0):
         own = items.where(part == number)
         rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()]
+        rows = [r for r in rows if folded_words(r[1].encode())]
         used = _words_of_items(own).select(F.explode("words").alias("word")).distinct()
         df = {bytes(r["word"]): r["df"] for r in frequencies.join(used, "word").collect()}
-        rows = [r for r in rows if folded_words(r[1].encode())]
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast((rows, df, n_all, float(mean)))
+        if rows:
+            out.append(Part(rows, df, n_all, float(mean), passage_words, threshold))
+    return out
+
+
+def find_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    passage_words: int = PASSAGE_WORDS,
+    threshold: float = THRESHOLD,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """``doc_id, item_id, score, question_overlap, answer_overlap``: every verified item in a document.
+
+    ``benchmark`` has ``item_id`` and ``text``. Null and empty items hold no
+    words and are found nowhere; null and empty texts hold no items. Items of
+    equal text are found together. Every row of ``docs`` is searched for itself,
+    so null or repeated ids give their own rows. Further columns are not read;
+    empty tables give no rows.
+    """
+    spark = docs.sparkSession
+    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    found = None
+    for part in _parts(benchmark, passage_words, threshold, part_bytes):
+        sent = spark.sparkContext.broadcast(part)
 
         def run(batches, sent=sent):
-            items, df, n_all, mean = sent.value
-            searcher = Searcher(BlockMaxIndex(items, passage_words, df, n_all, mean), passage_words, threshold)
             for batch in small_batches(batches):
                 ids = batch.column(0).to_pylist()
                 out = [
                     (doc_id, *hit)
                     for doc_id, data in zip(ids, texts_of(batch.column(1)), strict=True)
-                    for hit in searcher.hits(folded_words(data))
+                    for hit in sent.value.searcher().hits(folded_words(data))
                 ]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 columns = list(zip(*out, strict=True)) or [[]] * 5
@@ -301,12 +372,34 @@ def find_leaks(
                     ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                 )
 
-        hits = id_text.mapInArrow(run, schema)
+        hits = docs.select("doc_id", "text").mapInArrow(run, schema)
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in whose text no benchmark item is found; rows without id are kept."""
-    leaked = settle(find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct(), "leak-found")
-    return docs.join(leaked, F.col("doc_id") == F.col("__leaked"), "left_anti")
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    passage_words: int = PASSAGE_WORDS,
+    threshold: float = THRESHOLD,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` in whose own text no benchmark item is found, with all their columns.
+
+    Ids play no part: a row without one goes if its text holds an item, and a clean
+    row stays whatever other rows share its id. Null and empty texts stay.
+    """
+    names, text = docs.columns, docs.columns.index("text")
+    # Columns go by their place, so that they may have any name.
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    for part in _parts(benchmark, passage_words, threshold, part_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches, sent=sent):
+            for batch in small_batches(batches):
+                texts = texts_of(batch.column(text))
+                clean = [not sent.value.searcher().hits(folded_words(data)) for data in texts]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.toDF(*names)
