@@ -28,11 +28,9 @@ from runledger.session import settle
 
 #: Labelled rows that are drawn for fitting, at most, of each label.
 SAMPLE_ROWS = 2000
-#: Bytes of a dictionary, of the pieces it is trained on and their greatest number, and of a block
-#: that is compressed alone.
+#: Bytes of a dictionary, of the pieces it is trained on, and of a block that is compressed alone.
 DICTIONARY_BYTES = 64 << 10
 PIECE_BYTES = 512
-PIECES = 4096
 BLOCK_BYTES = 1024
 LEVEL = 3
 
@@ -119,14 +117,16 @@ def _calibrate(fitted: Fitted, x: np.ndarray, y: np.ndarray, standing: np.ndarra
     fitted.weights, fitted.offset = beta[:-1].tolist(), float(beta[-1])
 
 
-def _label_sample(labels: DataFrame) -> tuple[DataFrame, list[int]]:
+def _label_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]]:
     """``doc_id, quality, role`` of the labelled rows to learn from, and how many there are of label 0 and 1.
 
-    At most :data:`SAMPLE_ROWS` of each label are drawn; the counts are of all.
+    At most :data:`SAMPLE_ROWS` of each label are drawn; the counts are of all
+    labelled ids that ``docs`` holds. Only ids are shuffled for this, not texts.
     """
     order = F.xxhash64("doc_id")
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(fold(F.col("doc_id")) != 0)
-    one = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    one = settle(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), "quality-labelled")
     drawn = [one.where(f"quality = {k}").orderBy(order, "doc_id").limit(SAMPLE_ROWS) for k in (0, 1)]
     counted = {r["quality"]: r["count"] for r in one.groupBy("quality").count().collect()}
     role = F.when(F.pmod(F.xxhash64("doc_id", F.lit("role")), F.lit(2)) == 0, "words").otherwise("curve")
@@ -135,7 +135,7 @@ def _label_sample(labels: DataFrame) -> tuple[DataFrame, list[int]]:
 
 
 def _dictionaries(rows: DataFrame) -> list[bytes]:
-    """For label 0 and 1 a dictionary of pieces drawn by hash from all pieces of the whole texts."""
+    """For label 0 and 1 a dictionary of all pieces of the whole texts, in an order by hash."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         labels, marks, pieces = [], [], []
@@ -157,13 +157,10 @@ def _dictionaries(rows: DataFrame) -> list[bytes]:
     )
     out = []
     for label in (0, 1):
-        drawn = (
-            pieces.where(F.col("quality") == label)
-            .orderBy("mark", "piece")
-            .limit(PIECES)
-            .collect()
-        )
-        out.append(_trained([bytes(r["piece"]) for r in drawn]))
+        # No more than the texts of SAMPLE_ROWS rows.
+        own = pieces.where(F.col("quality") == label).select("mark", "piece").toArrow()
+        order = own.sort_by([("mark", "ascending"), ("piece", "ascending")])
+        out.append(_trained(order.column("piece").to_pylist()))
     return out
 
 
@@ -180,12 +177,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
 
     One half of the sample builds the dictionaries, the other the curve, both
     from whole texts. Prior and curve hold for the labels' true counts, whatever
-    the sample. Ids without a label, labels other than 0 and 1, and labels
-    of unknown ids are left out; an id labelled both counts as 1. With one class
+    the sample. Ids without a label, labels other than 0 and 1, and labels of ids
+    that are not in ``docs`` are left out; an id labelled both counts as 1. With one class
     or none the score is the share of label 1, by Laplace.
     """
     # The sample has a fixed greatest number of rows, so it may be broadcast.
-    sample, n = _label_sample(labels)
+    sample, n = _label_sample(docs, labels)
     rows = settle(id_and_text(docs).join(F.broadcast(sample), "doc_id"), "quality-rows")
     prior = (n[1] + 1) / (n[0] + n[1] + 2)
     bad, good = _dictionaries(rows.where("role = 'words'"))
