@@ -4,7 +4,8 @@ The target model is counted over the documents that the labels call good, the
 background model over all documents. Both are bigram models over one shared
 vocabulary, smoothed in the same way: a word's probability after
 another is its share there, backed by its share anywhere, backed by the uniform
-share. A document's score is the mean per-token difference of their losses.
+share. A document's score is the mean per-token difference of their losses. What a
+document itself adds to a model is taken out of the model that scores it.
 
 Counts cover every token of every document, word by word and pair by pair. A word
 is known by a hash of 64 bits, a pair by both of its words. A document's distinct
@@ -25,17 +26,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.text import WordHashes, folded_words, id_and_text, map_batches, mix, small_batches, texts_of
+from runledger.llm.text import WordHashes, folded_words, id_and_text, mix, small_batches, texts_of
 from runledger.session import settle
 
-#: Binary logarithm of the least number of words that the uniform share is of.
-WORD_BITS = 17
 #: Tokens of a bucket on average, and tokens that a task packs at a time.
 BUCKET_TOKENS = 1 << 21
 CHUNK_TOKENS = 1 << 20
 #: A word with this share of all tokens is sent: there are at most so many.
 HOT_WORDS = 1 << 14
-#: Target ids that are broadcast at most; more are joined by key, with the same result.
+#: Target ids that are broadcast at most; more are joined by key and the joined rows stored, with the same result.
 BROADCAST_IDS = 1_000_000
 #: What a scored document is.
 SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
@@ -45,75 +44,13 @@ BACKING = 4.0
 _U = np.uint64
 
 
-def cells(words: list[bytes], memory: WordHashes, word_bits: int, pair_bits: int):
-    """Word cells of a text, and the cells of each word with the one before it (the first: none)."""
-    hashes = memory.of(words)
-    one = (hashes & _U((1 << word_bits) - 1)).astype(np.int64)
-    before = np.concatenate([np.zeros(1, _U), hashes[:-1]]) if len(hashes) else hashes
-    pair = mix(before * _U(0x9E3779B97F4A7C15) + hashes) & _U((1 << pair_bits) - 1)
-    return one, pair.astype(np.int64)
-
-
-def count_cells(marked: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
-    """``cell, total, target``: how often each cell occurs, in all documents and in target ones.
-
-    Each task adds up its own documents in two fixed arrays before anything is
-    shuffled. Pair cells follow the word cells.
-    """
-
-    def run(batches):
-        memory, shape = WordHashes(), (1 << word_bits) + (1 << pair_bits)
-        total, target = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
-        for batch in small_batches(batches):
-            for data, chosen in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                one, pair = cells(folded_words(data), memory, word_bits, pair_bits)
-                both = np.concatenate([one, pair + (1 << word_bits)])
-                np.add.at(total, both, 1)
-                if chosen:
-                    np.add.at(target, both, 1)
-        used = np.flatnonzero(total)
-        for start in range(0, len(used), 100_000):
-            at = used[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(target[at])],
-                ["cell", "total", "target"],
-            )
-
-    counted = marked.select("text", "target").mapInArrow(run, "cell int, total long, target long")
-    return counted.groupBy("cell").agg(F.sum("total").alias("total"), F.sum("target").alias("target"))
-
-
-class Model:
-    """Both models' counts, and the loss difference of a text."""
-
-    def __init__(self, total: np.ndarray, target: np.ndarray, word_bits: int, pair_bits: int):
-        self.bits, self.words = (word_bits, pair_bits), 1 << word_bits
-        self.counts = (target, total)
-        self.tokens = [float(c[: self.words].sum()) for c in self.counts]
-        self.memory = WordHashes()
-
-    def losses(self, words: list[bytes]) -> tuple[float, float]:
-        """Mean bits per token in the target and in the background model; 0 for no tokens."""
-        if not words:
-            return 0.0, 0.0
-        one, pair = cells(words, self.memory, *self.bits)
-        out = []
-        for counts, tokens in zip(self.counts, self.tokens, strict=True):
-            alone = (counts[one] + BACKING / self.words) / (tokens + BACKING)
-            # How often the word before occurs; the first word follows the text's start.
-            context = np.concatenate([[0], counts[one[:-1]]])
-            held = np.minimum(counts[pair + self.words], context)
-            out.append(float(-np.log2((held + BACKING * alone) / (context + BACKING)).mean()))
-        return out[0], out[1]
-
-
 class Corpus:
     """What is sent to the tasks: sums over the corpus, and the counts of its most frequent words."""
 
     def __init__(self, words: DataFrame):
         sums = words.agg(F.count("*"), F.sum("total"), F.sum("target")).first()
         self.tokens = (float(sums[2] or 0), float(sums[1] or 0))
-        self.uniform = 1.0 / max(1 << WORD_BITS, sums[0])
+        self.uniform = 1.0 / max(1, sums[0])
         self.buckets = max(1, -(-int(self.tokens[1]) // BUCKET_TOKENS))
         # No more than HOT_WORDS words can have this share.
         hot = words.where(F.col("total") * HOT_WORDS >= self.tokens[1]).collect()
@@ -181,12 +118,23 @@ def _starts(*changing: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def _own_counts(place: np.ndarray, words: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For each pair of a text how often the text holds the pair's word."""
+    order = np.lexsort((words, place))
+    start = _starts(place[order], words[order])
+    total = np.add.reduceat(times[order], start)
+    out = np.empty(len(times), np.uint32)
+    out[order] = np.repeat(total, np.diff(np.append(start, len(order))))
+    return out
+
+
 def _pack(rows: list[tuple], texts: list[np.ndarray], corpus: Corpus) -> Iterator[tuple[int, bytes]]:
     """Of each bucket the distinct pairs of these texts and the texts that hold them, as bytes.
 
-    Four arrays: per pair the word before and the word; how many texts hold it;
+    Six arrays: per pair the word before and the word; how many texts hold it;
     per pair and text twice the place of the text plus whether it is a target
-    one, and twice the number of times plus whether the text ends with it.
+    one, twice the number of times plus whether the text ends with it, and how
+    often the text holds the word. A seventh has the length of each text that occurs.
     """
     lengths = np.array([len(t) for t in texts])
     words = np.concatenate(texts)
@@ -209,6 +157,7 @@ def _pack(rows: list[tuple], texts: list[np.ndarray], corpus: Corpus) -> Iterato
     chosen = np.array([bool(r[2]) for r in rows], np.uint32)
     bucket, words, before, place, keys = (c[entry] for c in (bucket, words, before, place, keys))
     code, count = place << 1 | chosen[place], times << 1 | ending
+    own_word = _own_counts(place, words, times)
     pair = _starts(keys, words)
     holders = np.diff(np.append(pair, len(words))).astype(np.uint32)
     cut = _starts(bucket)
@@ -217,16 +166,17 @@ def _pack(rows: list[tuple], texts: list[np.ndarray], corpus: Corpus) -> Iterato
     packer = zstandard.ZstdCompressor(level=1)
     for k in range(len(cut) - 1):
         own, at = slice(pair_cut[k], pair_cut[k + 1]), slice(cut[k], cut[k + 1])
-        parts = before[pair[own]], words[pair[own]], holders[own], code[at], count[at]
-        sizes = np.array([len(parts[0]), len(parts[3])], np.int64)
+        long = lengths[np.unique(place[at])].astype(np.uint32)
+        parts = before[pair[own]], words[pair[own]], holders[own], code[at], count[at], own_word[at], long
+        sizes = np.array([len(parts[0]), len(parts[3]), len(long)], np.int64)
         yield int(bucket[cut[k]]), packer.compress(b"".join(p.tobytes() for p in (sizes, *parts)))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(data)
-    pairs, entries = np.frombuffer(data, np.int64, 2).tolist()
-    out, at = [], 16
-    for kind, n in ((_U, pairs), (_U, pairs), (np.uint32, pairs), (np.uint32, entries), (np.uint32, entries)):
+    pairs, entries, texts = np.frombuffer(data, np.int64, 3).tolist()
+    out, at = [], 24
+    for kind, n in ((_U, pairs), (_U, pairs), *((np.uint32, n) for n in (pairs, entries, entries, entries, texts))):
         out.append(np.frombuffer(data, kind, n, at))
         at += out[-1].nbytes
     return out
@@ -237,9 +187,11 @@ def _bucket_losses(blobs: list[list[np.ndarray]], bases: list[np.ndarray], corpu
 
     The loss of a token is ``log2(context + BACKING) - log2(held + BACKING * alone)``. The
     first part is added where the word before is counted: each word but a text's last
-    is the word before of one token, and a text's start has a count of 0.
+    is the word before of one token, and a text's start has a count of 0. The row's own
+    counts are taken out of every count.
     """
-    before, words, holders, code, count = (np.concatenate(c) for c in zip(*blobs, strict=True))
+    before, words, holders, code, count, own_times = (np.concatenate(c) for c in list(zip(*blobs, strict=True))[:6])
+    long = np.concatenate([c[6][np.unique(c[3] >> 1, return_inverse=True)[1]] for c in blobs])
     row = np.concatenate([b[c[3] >> 1] for b, c in zip(bases, blobs, strict=True)])
     times, ends = (count >> 1).astype(float), count & 1
     in_model = ((code & 1).astype(float), 1.0)
@@ -256,14 +208,17 @@ def _bucket_losses(blobs: list[list[np.ndarray]], bases: list[np.ndarray], corpu
         alone[sent] = corpus.counts[model][at[sent]]
         held = np.bincount(own_pair, weights=weight, minlength=len(pairs))[own_pair]
         held[first] = 0.0
-        share = (alone + BACKING * corpus.uniform) / (corpus.tokens[model] + BACKING)
-        loss = (times - ends) * np.log2(alone + BACKING)[own_word] + first * math.log2(BACKING)
-        loss -= times * np.log2(held + BACKING * share[own_word])
+        held -= np.where(first, 0.0, weight)
+        others = alone[own_word] - own_times * inside
+        share = (others + BACKING * corpus.uniform) / (corpus.tokens[model] - long * inside + BACKING)
+        loss = (times - ends) * np.log2(others + BACKING) + first * math.log2(BACKING)
+        loss -= times * np.log2(held + BACKING * share)
         sums.append(np.bincount(own_row, weights=loss, minlength=len(rows)))
     return rows, *sums
 
 
-def _score_exactly(marked: DataFrame) -> DataFrame:
+def _score(marked: DataFrame) -> DataFrame:
+    """Scores of ``doc_id, text, target``, whose rows must come in the same order whenever they are read."""
     spark = marked.sparkSession
     corpus = Corpus(settle(count_words(marked), "lm-words"))
     sent = spark.sparkContext.broadcast(corpus)
@@ -332,60 +287,22 @@ def _score_exactly(marked: DataFrame) -> DataFrame:
     return parts.groupBy("base").applyInArrow(finish, SCHEMA)
 
 
-def score_documents(
-    docs: DataFrame, labels: DataFrame, word_bits: int | None = None, pair_bits: int | None = None
-) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, difference`` of every whole text.
 
     ``labels`` has ``doc_id`` and ``quality``; documents with a row of quality 1
     are the target. A lower difference (target minus background, bits per token)
     is closer to the target. Null and empty texts have no tokens and losses of 0.
-    Repeated rows count as often as they are there; repeated labels make an id a
+    A row is scored by models without its own words. Repeated rows count as often as
+    they are there, so a row has its copies in the models; repeated labels make an id a
     target once; an id that is null is no target. Without any target the target
-    model is uniform. Further columns are not read; an empty table gives no rows.
-    A word's uniform share is of the number of distinct words, 2^:data:`WORD_BITS`
-    at least.
-
-    Words and pairs are counted exactly. Only a caller that gives ``word_bits`` and
-    ``pair_bits`` gets counts in so many hashed cells instead, an approximation.
+    model is uniform over the distinct words of all documents. Further columns are not
+    read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     good = settle(good.withColumn("target", F.lit(True)), "lm-target")
-    # Texts are not shuffled as long as the ids have a known small size.
-    sent_ids = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
-    marked = id_and_text(docs).join(sent_ids, "doc_id", "left")
-    if word_bits is None or pair_bits is None:
-        return _score_exactly(marked)
-    size = (1 << word_bits) + (1 << pair_bits)
-    total, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    # The models have a fixed number of cells, whatever the corpus.
-    counted = count_cells(marked, word_bits, pair_bits).toArrow()
-    at = counted.column("cell").to_numpy()
-    total[at] = counted.column("total").to_numpy()
-    target[at] = counted.column("target").to_numpy()
-    sent = spark.sparkContext.broadcast((total, target))
-    holder: list[Model] = []
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not holder:
-            holder.append(Model(*sent.value, word_bits, pair_bits))
-        counts, losses = [], []
-        for data in texts_of(batch.column(1)):
-            words = folded_words(data)
-            counts.append(len(words))
-            losses.append(holder[0].losses(words))
-        target_loss = np.array([a for a, _ in losses])
-        background = np.array([b for _, b in losses])
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(counts, pa.int64()),
-                pa.array(target_loss),
-                pa.array(background),
-                pa.array(target_loss - background),
-            ],
-            ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"],
-        )
-
-    return map_batches(id_and_text(docs), work, SCHEMA)
+    if good.count() <= BROADCAST_IDS:
+        # The ids have a known small size: texts are read where they are.
+        return _score(id_and_text(docs).join(F.broadcast(good), "doc_id", "left"))
+    # Rows are numbered by their place, which a repeated shuffle may change: they are stored.
+    return _score(settle(id_and_text(docs).join(good, "doc_id", "left"), "lm-rows"))
