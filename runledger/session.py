@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Folder, below the application's own, of the tables that the running stage settles.
+_STAGE: ContextVar[str | None] = ContextVar("stage", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; never reused between calls."""
-    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    stage = _STAGE.get()
+    folder = f"{_own_folder(spark)}/{stage}" if stage else _own_folder(spark)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are deleted at the end, but for those settled with ``keep``.
+
+    DataFrames that read a deleted table must not be used any more.
+    """
+    stage = f"stage-{uuid.uuid4().hex}"
+    before = _STAGE.set(stage)
+    try:
+        yield
+    finally:
+        _STAGE.reset(before)
+        folder, files = hadoop_file(spark, f"{_own_folder(spark)}/{stage}")
+        files.delete(folder, True)
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -51,15 +74,18 @@ def clean_up(spark: SparkSession) -> None:
     files.delete(folder, True)
 
 
-def settle(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def settle(
+    df: DataFrame, label: str, partition_by: list[str] | None = None, keep: bool = False
+) -> DataFrame:
     """Write ``df`` once to the shared folder and return it read back.
 
     This cuts the lineage of an iterative job, survives the loss of executors,
     and gives the next step true file sizes, so Spark itself decides whether a
-    frontier is small enough to broadcast.
+    frontier is small enough to broadcast. With ``keep`` the table outlives the
+    stage (:func:`passing_tables`) that it is settled in.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}" if keep else scratch_path(spark, label)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
