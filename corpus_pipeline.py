@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules
 from runledger.llm.queries import TOKENIZER
-from runledger.session import settle
+from runledger.session import passing_tables, settle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,8 +50,8 @@ def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def apply_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found.
 
-    Decided by id: rows without one stay, rows of one id go together. Null and empty
-    texts hold no item; further columns stay, an empty table gives no rows.
+    Each row is decided by its own text, whatever its id. Null and empty texts hold no
+    item; further columns stay, an empty table gives no rows.
     """
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -76,9 +76,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written before the next reads it.
 
+    Tables that a stage stores on its way are deleted once its result is written.
     What nulls, repeated rows and further columns become is told stage by stage.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"corpus-{name}")
+        with passing_tables(spark):
+            docs = settle(stage(spark, docs, sf_dir), f"corpus-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
