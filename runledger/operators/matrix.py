@@ -1,7 +1,8 @@
 """Task references and matrix expansion.
 
 A matrix is a map of dimension to values. Instances are built inside the row
-by array expressions (at most 1,024 of them), so expansion needs no shuffle.
+by array expressions (at most 1,024 of them). Manifests are small files and their
+expansion is long work, so tasks are dealt out before it.
 """
 
 from __future__ import annotations
@@ -125,8 +126,9 @@ def expand_matrix(tasks: DataFrame) -> DataFrame:
 
     Tasks with more than 1,024 instances are refused: see :func:`matrix_rejects`.
     """
+    dealt = tasks.repartition("project_id", "base")
     return explode_rows(
-        tasks, tasks.columns, matrix_instances(F.col("matrix"), no_dims()), "dims"
+        dealt, tasks.columns, matrix_instances(F.col("matrix"), no_dims()), "dims"
     ).withColumn("task_id", format_id(F.col("base"), F.col("dims")))
 
 
@@ -141,6 +143,7 @@ def matrix_rejects(tasks: DataFrame) -> DataFrame:
 
 def interpolate_text(text: Column, dims: Column) -> Column:
     """``STRUCT<text, error>`` after one left-to-right pass over ``${key}``."""
+    plain = F.struct(text.alias("text"), F.lit(None).cast("string").alias("error"))
     literals = F.split(text, r"\$\{[^}]*\}", -1)
     keys = F.regexp_extract_all(text, F.lit(_PLACEHOLDER), F.lit(1))
     values = F.transform(keys, lambda key: dim_value(dims, key))
@@ -152,7 +155,8 @@ def interpolate_text(text: Column, dims: Column) -> Column:
     filled = F.array_join(
         F.zip_with(literals, values, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
     )
-    return F.struct(F.when(error.isNull(), filled).alias("text"), error.alias("error"))
+    full = F.struct(F.when(error.isNull(), filled).alias("text"), error.alias("error"))
+    return F.when(~text.contains("${"), plain).otherwise(full)
 
 
 def interpolate(instances: DataFrame) -> DataFrame:

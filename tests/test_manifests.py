@@ -250,3 +250,19 @@ def test_manifests_get_defaults_and_unknown_fields(spark, rows, tmp_path):
 def test_quoting(spark):
     frame = spark.createDataFrame([(["a-b_.=/:+", "", "x y", "it's", "é"],)], "c array<string>")
     assert frame.select(text.quote_command("c")).first()[0] == "a-b_.=/:+  'x y' 'it'\\''s' 'é'"
+
+
+@pytest.fixture
+def plain_execution(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_tasks_of_one_file_are_expanded_by_many_tasks(spark, plain_execution):
+    items = spark.range(100).selectExpr(
+        "'p' AS project_id", "concat('t', id) AS base", "map('os', array('a', 'b')) AS matrix"
+    ).coalesce(1)
+    expanded = mx.expand_matrix(items).select("task_id", F.spark_partition_id().alias("part"))
+    assert expanded.select("task_id").distinct().count() == 200
+    assert expanded.select("part").distinct().count() > 1
