@@ -12,12 +12,13 @@ reading the set once. A text that repeats shingles has a second sketch, of the
 same set with weights of 1, for the similarity without weights; both are the same
 for other texts, so one key space of bands serves both.
 
-Sketches are joined by bands. Members of a bucket are compared with one hub, not
-with each other; what is left apart is compared in further rounds with more
-hubs, the same in all buckets where they occur. The few that no hub has joined
-are at last compared with all members of other groups, so that every pair of
-texts that share a bucket is linked, directly or through others, or known to be
-no link.
+Sketches are joined by bands. In a round each text is compared with one hub, the
+foremost in the buckets it shares with other groups: the text that shares most
+buckets at first, any other later. What is then still apart meets by its rarest
+shingles: two linked texts have one of them among the few that either may lack. So
+every pair of texts that share a bucket is linked, directly or through others, or
+known to be no link, and a large group of texts that are near but no links, each with
+shingles of its own, is not compared in pairs.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ SIMILARITY = 0.8
 #: with probability 0.9999.
 BANDS = 32
 ROWS = 6
-#: Hubs of a bucket in each further round, before the rest is compared in pairs.
-HUBS = (4, 16, 64)
+#: Seeds of further rounds with a hub for each text, before the rest meets by rare shingles.
+HUBS = (1, 2)
 
 _U = np.uint64
 _TO_UNIT = 2.0**-53
@@ -164,14 +165,93 @@ def sketch_documents(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, ro
     return map_batches(docs.select("doc_id", "text"), work, schema)
 
 
-def _may_link(least: float) -> Column:
-    """Whether two sets are near enough in size: a similarity is at most the ratio of the sizes."""
+def _near_in_size(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """Those ``a, b`` that may be links by their sizes: a similarity is at most the ratio of the sizes."""
+
+    def sized(side: str) -> DataFrame:
+        return sizes.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in sizes.columns])
 
     def near(name: str) -> Column:
         a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
         return F.least(a, b) >= least * F.greatest(a, b)
 
-    return near("distinct") | near("total")
+    both = pairs.join(sized("a"), "a").join(sized("b"), "b")
+    return both.where(near("distinct") | near("total")).select("a", "b").distinct()
+
+
+def _with_hubs(rows: DataFrame, rank: Column) -> DataFrame:
+    """``a, b``: each node with the highest-ranking hub of its buckets (key, node, root) that is of another root."""
+    hubs = rows.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "node", "root")).alias("hub"))
+    best = rows.join(hubs, "key").where("root <> hub.root").groupBy("node").agg(F.max("hub").alias("hub"))
+    return best.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def _shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    """``node, root, part, distinct, total, token, first``: the shingles of texts with node and root.
+
+    The n-th occurrence of a shingle is a token of its own, so that texts are sets of
+    tokens, ``first`` ones when weights do not count. ``part`` tells texts of a node apart.
+    """
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, parts, sizes, tokens, firsts = [], [], [], [], []
+        for row, data in enumerate(texts_of(batch.column(2))):
+            elements, weights = weighted_set(memory.of(folded_words(data)), width)
+            counts = weights.astype(np.int64)
+            starts = np.repeat(np.cumsum(counts) - counts, counts)
+            number = (np.arange(len(starts)) - starts).astype(_U)
+            tokens.append(mix(np.repeat(elements, counts) + number * _U(0x9E3779B97F4A7C15)).view(np.int64))
+            firsts.append(number == 0)
+            parts.append(xxhash.xxh3_64_intdigest(data) >> 1)
+            sizes.append((len(elements), len(starts)))
+            at.append(np.full(len(starts), row, np.int64))
+        rows = np.concatenate(at)
+        ids = batch.select([0, 1]).take(pa.array(rows))
+        more = [np.array(parts, np.int64), *np.array(sizes, np.int64).T]
+        return pa.RecordBatch.from_arrays(
+            [*ids.columns, *[pa.array(m[rows]) for m in more], pa.array(np.concatenate(tokens)), pa.array(np.concatenate(firsts))],
+            ["node", "root", "part", "distinct", "total", "token", "first"],
+        )
+
+    memory = WordHashes()
+    schema = "node long, root long, part long, distinct long, total long, token long, first boolean"
+    return map_batches(texts.select("node", "root", "text"), work, schema)
+
+
+def _rare_pairs(groups: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """``a, b`` of different roots: every link among ``groups`` (node, root), and few others.
+
+    Tokens have one order, rarest first. Linked texts of ``n`` and ``m`` tokens share at
+    least ``least / (1 + least) * (n + m)``, so the first one they share has as many at or
+    behind its place in either text. Tokens of one text alone take places but meet nothing.
+    """
+    rows = settle(_shingle_rows(groups.join(texts, "node").distinct(), width), "near-tokens")
+    seen = rows.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+    text = Window.partitionBy("node", "part")
+    rarest = text.orderBy("times", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.col("first").cast("int")
+    # How many tokens of the text are at this place or behind it, without and with weights.
+    behind = lambda n, whole, upto: (F.sum(n).over(whole) - F.sum(n).over(upto) + n).alias
+    placed = rows.join(seen, "token").select(
+        "node", "root", "distinct", "total", "token", "first",
+        behind(first, text, rarest)("distinct_left"), behind(F.lit(1), text, rarest)("total_left"),
+    )
+    slack = 1e-6
+    early = lambda n: F.col(f"{n}_left") >= least * F.col(n) - slack
+    placed = settle(placed.where((F.col("first") & early("distinct")) | early("total")), "near-rarest")
+
+    def side(name: str) -> DataFrame:
+        return placed.select("token", *[F.col(c).alias(f"{c}_{name}") for c in placed.columns if c != "token"])
+
+    def enough(n: str) -> Column:
+        needed = least / (1 + least) * (F.col(f"{n}_a") + F.col(f"{n}_b")) - slack
+        return F.least(f"{n}_left_a", f"{n}_left_b") >= needed
+
+    met = side("a").join(side("b"), "token").where(
+        F.expr("node_a < node_b AND root_a <> root_b")
+        & ((F.col("first_a") & F.col("first_b") & enough("distinct")) | enough("total"))
+    )
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -238,9 +318,8 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int = WIDTH, least:
         .select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
         .distinct()
     )
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = shared.where("low < high").select("key", "low")
-    rows = settle(rows.join(shared, "key"), "near-buckets")  # key, node, low
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = settle(rows.join(shared, "key"), "near-buckets")  # key, node, n
     # An id with several texts has several sizes, and so several rows here.
     sizes = settle(
         sketches.select(F.col("doc_id").alias("node"), "distinct", "total").join(
@@ -248,25 +327,26 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int = WIDTH, least:
         ).distinct(),
         "near-sizes",
     )
-
-    def sized(side: str) -> DataFrame:
-        return sizes.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in sizes.columns])
-
-    def near_in_size(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sized("a"), "a").join(sized("b"), "b")
-        return both.where(_may_link(least)).select("a", "b").distinct()
-
     texts = settle(
         docs.select(F.col("doc_id").alias("node"), "text").join(
             rows.select("node").distinct(), "node", "left_semi"
         ),
         "near-texts",
     )
-    pairs = rows.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = settle(near_in_size(pairs), "near-pairs")
-    links = settle(_verify(pairs, texts, width, least), "near-links")
-    tried, rows = pairs, rows.select("key", "node")
-    for hubs in (*HUBS, None):
+    met = rows.groupBy("node").agg(F.sum("n").alias("met"))
+    rows = settle(rows.join(met, "node").select("key", "node", "met"), "near-buckets")
+    links = tried = docs.sparkSession.createDataFrame([], "a long, b long")
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal links, tried
+        pairs = _near_in_size(pairs, sizes, least).join(tried, ["a", "b"], "left_anti")
+        pairs = settle(pairs, "near-pairs")
+        links = settle(links.union(_verify(pairs, texts, width, least)), "near-links")
+        tried = tried.union(pairs)
+
+    compare(_with_hubs(rows.withColumn("root", F.col("node")), F.col("met")))
+    rows = rows.select("key", "node")
+    for seed in (*HUBS, None):
         roots = components(links)
         labelled = rows.join(roots, "node", "left").select(
             "key", "node", F.coalesce("root", "node").alias("root")
@@ -280,29 +360,11 @@ def near_links(docs: DataFrame, sketches: DataFrame, width: int = WIDTH, least:
         )
         if open_rows.isEmpty():
             break
-        if hubs:
+        if seed:
             # Texts rank alike in all buckets, so that few of them are hubs.
-            rank = F.row_number().over(
-                Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(hubs)), "node")
-            )
-            chosen = open_rows.withColumn("rank", rank).where(F.col("rank") <= hubs)
-            chosen = chosen.select("key", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-            apart = open_rows.join(chosen, "key").where("root <> hub_root").select(
-                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
-            )
-            apart = near_in_size(apart.distinct())
+            compare(_with_hubs(open_rows, F.xxhash64("node", F.lit(seed))))
         else:
-            one = open_rows.select("key", F.col("node").alias("a"), "root").join(sized("a"), "a")
-            other = open_rows.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            apart = (
-                one.join(other.join(sized("b"), "b"), "key")
-                .where(F.expr("a < b AND root <> root_b") & _may_link(least))
-                .select("a", "b")
-                .distinct()
-            )
-        pairs = settle(apart.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        links = settle(links.union(_verify(pairs, texts, width, least)), "near-links")
-        tried = tried.union(pairs)
+            compare(_rare_pairs(open_rows.select("node", "root").distinct(), texts, width, least))
         rows = open_rows.select("key", "node")
     return links
 
