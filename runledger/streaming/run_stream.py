@@ -8,6 +8,7 @@ correction is a row of its own.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Callable
 
@@ -29,6 +30,9 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 #: Consecutive sequence numbers of a run whose state is one entry.
 BLOCK_NUMBERS = 1 << 16
+#: Buckets that the tasks of a run are dealt to, and tasks of a bucket whose state is one entry.
+TASK_BUCKETS = 2
+BUCKET_TASKS = 4096
 #: State of a task that has been seen and has not finished; a word no log uses.
 RUNNING = "running"
 #: States of the run itself, which has no task.
@@ -124,27 +128,56 @@ def stream_run_log(
 
 
 class _Transitions(StatefulProcessor):
-    """Follows one task of a run, or the run itself, and tells every change."""
+    """Follows the tasks of a run that fall into one bucket, or the run itself, and tells every change.
+
+    Each access to the state is a message to the JVM, so the tasks of a bucket are one
+    entry, read and written once a trigger. Tasks beyond ``limit`` have entries of their own.
+    """
 
     OUTPUT = "run_id DECIMAL(20,0), task STRING, before STRING, after STRING"
 
+    def __init__(self, limit: int = BUCKET_TASKS):
+        self.limit = limit
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "sequence BIGINT, state STRING")
+        self.tasks = handle.getValueState("tasks", "states STRING")
+        self.more = handle.getMapState("more", "task STRING", "sequence BIGINT, state STRING")
 
     def handleInputRows(self, key, rows, timerValues):
-        run_id, task = key
-        number, state = before = self.state.get() or (-1, None)
+        run_id, _ = key
+        stored = self.tasks.get()
+        # The name of a task (null: the run itself) to its greatest sequence and state.
+        known = dict(json.loads(stored[0])) if stored else {}
+        before, beyond = {}, {}
         for row in rows:
+            task = row.task
+            if task in known:
+                number, state = known[task]
+            elif task in beyond:
+                number, state = beyond[task]
+            elif len(known) < self.limit:
+                number, state = -1, None
+            else:
+                number, state = (self.more.getValue((task,)) if self.more.containsKey((task,)) else None) or (-1, None)
+                beyond[task] = number, state
+            before.setdefault(task, (number, state))
             if task is None:
                 state = FINISHED if row.event == "run_finished" else state or STARTED
             elif row.event == "task_finished" and row.sequence > number:
                 number, state = row.sequence, row.status or RUNNING
             else:
                 state = state or RUNNING
-        if (number, state) != tuple(before):
-            self.state.update((number, state))
-        if state != before[1]:
-            yield Row(run_id=run_id, task=task, before=before[1], after=state)
+            (beyond if task in beyond else known)[task] = number, state
+        changed = [task for task, was in before.items() if tuple((beyond if task in beyond else known)[task]) != tuple(was)]
+        for task in changed:
+            if task in beyond:
+                self.more.updateValue((task,), beyond[task])
+        if any(task not in beyond for task in changed):
+            self.tasks.update((json.dumps(list(known.items())),))
+        for task in changed:
+            state = (beyond if task in beyond else known)[task][1]
+            if state != before[task][1]:
+                yield Row(run_id=run_id, task=task, before=before[task][1], after=state)
 
     def close(self) -> None:
         pass
@@ -156,8 +189,9 @@ def stream_transitions(events: DataFrame) -> DataFrame:
     ``before`` is null when a task is first seen, ``after`` is its status or
     :data:`RUNNING`. The last finish by sequence counts, so a late older one changes
     nothing, and an event that comes again neither. The run itself is a row without
-    task that goes to :data:`STARTED` and :data:`FINISHED`. State is one entry a task, spread
-    over all tasks of a run.
+    task that goes to :data:`STARTED` and :data:`FINISHED`. Tasks of a run are dealt to
+    :data:`TASK_BUCKETS` buckets, each with one entry for up to :data:`BUCKET_TASKS`
+    tasks and one more for each task beyond.
     """
     return (
         events.where(F.col("run_id").isNotNull())
@@ -167,10 +201,12 @@ def stream_transitions(events: DataFrame) -> DataFrame:
             "event",
             F.coalesce("sequence", F.lit(0).cast("bigint")).alias("sequence"),
             "status",
+            # A null task, the run itself, has a hash too.
+            F.pmod(F.xxhash64("task"), F.lit(TASK_BUCKETS)).alias("bucket"),
         )
-        .groupBy("run_id", "task")
+        .groupBy("run_id", "bucket")
         .transformWithState(
-            statefulProcessor=_Transitions(), outputStructType=_Transitions.OUTPUT, outputMode="Append", timeMode="None"
+            statefulProcessor=_Transitions(BUCKET_TASKS), outputStructType=_Transitions.OUTPUT, outputMode="Append", timeMode="None"
         )
     )
 
@@ -259,8 +295,8 @@ class _Summaries(StatefulProcessor):
 def stream_run_finish(transitions: DataFrame, silent_ms: int | None = None) -> DataFrame:
     """One row with the counts of a run when it finishes, and one more for each later correction.
 
-    The second of two chained stateful operators: :func:`stream_transitions` has one
-    state a task, this has a few counts a run and reads one narrow row for each change
+    The second of two chained stateful operators: :func:`stream_transitions` has the
+    states of the tasks, this has a few counts a run and reads one narrow row for each change
     of a task. The counts are those of the batch summary: a task without a finish
     counts as blocked. ``version`` counts the rows of a run from 1; see
     :func:`latest_summaries`. With ``silent_ms`` a run of which nothing new was heard

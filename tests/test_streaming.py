@@ -288,3 +288,24 @@ def test_processors_load_without_this_package(processor, tmp_path):
     code = "import pickle, sys; pickle.load(open(sys.argv[1], 'rb')).close(); assert 'runledger' not in sys.modules"
     clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code, str(path)], cwd=tmp_path, env=clean, check=True, timeout=60)
+
+
+@pytest.mark.parametrize("limit", [1, 4096])
+def test_tasks_of_a_run_share_an_entry_and_few_keys(spark, rows, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(rs, "BUCKET_TASKS", limit)
+    path = write_log(tmp_path / "log", [
+        [event(1, 0, "run_started"), *[event(1, k, "task_started", task=f"t{k}") for k in range(1, 40)]],
+        [*[finish(k + 50, f"t{k}", "completed") for k in range(1, 40, 2)], event(1, 99, "run_finished")],
+        [finish(k + 150, f"t{k}", "failed") for k in range(1, 40, 4)],
+    ])
+    seen = []
+    writer = rs.progress_changes(rs.stream_transitions(live(spark, path))).writeStream.foreachBatch(
+        lambda batch, n: seen.append([sum(c) for c in zip(*batch.select("running", "completed", "failed").collect(), strict=True)])
+    )
+    query = writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert seen == [[39, 0, 0], [-20, 20, 0], [0, -10, 10]]
+    operators = [s for p in query.recentProgress for s in p["stateOperators"]]
+    if limit > 40:
+        # One entry for each bucket; the tasks had 40 before.
+        assert max(s["numRowsTotal"] for s in operators) <= rs.TASK_BUCKETS + 1
