@@ -28,7 +28,7 @@ def _log(spark: SparkSession, events: DataFrame) -> str:
 def _write(events: DataFrame, path: str, number: Column, label: str = "part") -> None:
     """Add one file for each number."""
     dealt = events.withColumn("run_date", F.concat(F.lit(f"{label}-"), number))
-    run_log.write_run_log(dealt.repartitionByRange(FILES, "run_date"), path, mode="append")
+    run_log.write_run_log(dealt, path, mode="append", files=FILES)
 
 
 def _stream(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -46,7 +46,7 @@ def _plain(table: DataFrame) -> DataFrame:
 
 def t1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log delivered twice, the second time in other files."""
-    events = views.events(spark, sf_dir)
+    events = settle(views.events(spark, sf_dir).drop("ts", "props"), "live-events")
     path = _log(spark, events)
     _write(events, path, F.pmod(F.xxhash64("sequence"), F.lit(FILES)), "again")
     stream = _stream(spark, path, distinct=True)

@@ -34,10 +34,14 @@ def _event_columns(events: DataFrame) -> list[str]:
     return [n for n in names if n in events.columns and n not in ("kind", "code", "message")]
 
 
-def write_run_log(events: DataFrame, path: str, mode: str = "error") -> None:
+def write_run_log(events: DataFrame, path: str, mode: str = "error", files: int | None = None) -> None:
     """One JSON object per event and line, in folders by ``run_date``.
 
-    Null fields are left out, so every event only shows its own payload.
+    Null fields are left out, so every event only shows its own payload. With ``files``
+    the lines are dealt by date to so many tasks, after all tasks have made them.
     """
     line = F.to_json(F.struct(*_event_columns(events)))
-    events.select("run_date", line.alias("value")).write.mode(mode).partitionBy("run_date").text(path)
+    lines = events.select("run_date", line.alias("value"))
+    if files:
+        lines = lines.repartitionByRange(files, "run_date")
+    lines.write.mode(mode).partitionBy("run_date").text(path)

@@ -13,6 +13,7 @@ import sys
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-#: Consecutive sequence numbers of a run whose state is one entry.
-BLOCK_NUMBERS = 1 << 16
+#: Buckets that runs are dealt to, and consecutive sequence numbers: runs of a bucket share one entry for such a block.
+RUN_BUCKETS = 1 << 12
+BLOCK_BITS = 16
+BLOCK_NUMBERS = 1 << BLOCK_BITS
 #: Buckets that the tasks of a run are dealt to, and tasks of a bucket whose state is one entry.
 TASK_BUCKETS = 2
 BUCKET_TASKS = 4096
@@ -45,28 +48,39 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _FirstSeen(StatefulProcessor):
-    """Passes the rows on whose sequence number is new; keeps the numbers as spans."""
+    """Passes the rows on whose sequence number is new; keeps the numbers of many runs as spans.
 
-    OUTPUT = "run_id DECIMAL(20,0), sequence BIGINT, value STRING, ingested BIGINT"
+    Runs are numbered as they come, and a run's numbers lie behind each other on one line:
+    those of the next run start at the next multiple of ``2 * BLOCK_NUMBERS``, so that spans of
+    two runs never touch.
+    """
+
+    OUTPUT = "value STRING, ingested BIGINT"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.spans = handle.getValueState("spans", "spans BINARY")
+        self.seen = handle.getValueState("seen", "runs STRING, spans BINARY")
 
     def handleInputRows(self, key, rows, timerValues):
+        stored = self.seen.get()
+        places = {run: k for k, run in enumerate(stored[0].split(","))} if stored else {}
         # [start, stop) pairs, sorted and apart from each other.
-        stored = self.spans.get() if self.spans.exists() else None
-        spans = np.frombuffer(stored[0], np.int64).reshape(-1, 2) if stored else np.empty((0, 2), np.int64)
+        spans = np.frombuffer(stored[1], np.int64).reshape(-1, 2) if stored else np.empty((0, 2), np.int64)
+        grown = False
         for frame in rows:
-            numbers = frame["sequence"].to_numpy(np.int64)
+            codes, runs = pd.factorize(frame["run"])
+            lines = np.array([places.setdefault(run, len(places)) for run in runs], np.int64)[codes]
+            numbers = lines * (2 * BLOCK_NUMBERS) + frame["place"].to_numpy(np.int64)
             at = np.searchsorted(spans[:, 0], numbers, side="right") - 1
             known = (at >= 0) & (numbers < spans[at, 1]) if len(spans) else np.zeros(len(numbers), bool)
-            fresh = ~known & ~frame["sequence"].duplicated().to_numpy()
+            fresh = ~known & ~pd.Series(numbers).duplicated().to_numpy()
             if not fresh.any():
                 continue
             added = np.sort(numbers[fresh])
             spans = self._merged(np.concatenate([spans, np.stack([added, added + 1], 1)]))
-            yield frame.loc[fresh, ["run_id", "sequence", "value", "ingested"]]
-        self.spans.update((spans.tobytes(),))
+            grown = True
+            yield frame.loc[fresh, ["value", "ingested"]]
+        if grown:
+            self.seen.update((",".join(places), spans.tobytes()))
 
     @staticmethod
     def _merged(spans: np.ndarray) -> np.ndarray:
@@ -90,9 +104,10 @@ def stream_run_log(
     """Events of the logs below ``path`` with their ingestion time.
 
     With ``distinct`` an event delivered again is dropped, however late. State is
-    kept by run and block of :data:`BLOCK_NUMBERS` sequence numbers, as spans: it grows
-    with the gaps in the numbers seen, not with the events, and a long run is spread
-    over its blocks. Events without a number cannot be told apart and all stay. With
+    kept as spans: it grows with the runs and the gaps in the numbers seen, not with the
+    events. An entry holds a block of :data:`BLOCK_NUMBERS` sequence numbers of all runs in
+    one of :data:`RUN_BUCKETS` buckets, so a trigger visits so many entries at most for each
+    block and not one for each run, and a long run is spread over its blocks. Events without a number cannot be told apart and all stay. With
     a ``delay`` state is dropped once the watermark has passed it, at a price: what is
     repeated later than that is no longer known, and rows of files that are older by
     more than ``delay`` than the newest one are dropped.
@@ -109,12 +124,18 @@ def stream_run_log(
         numbered = F.col("h.run_id").isNotNull() & F.col("h.sequence").isNotNull()
         known = (
             told.where(numbered)
-            .select("h.run_id", "h.sequence", "value", "ingested", F.expr(f"h.sequence div {BLOCK_NUMBERS}").alias("block"))
-            .groupBy("run_id", "block")
+            .select(
+                F.pmod(F.xxhash64("h.run_id"), F.lit(RUN_BUCKETS)).alias("bucket"),
+                F.shiftright("h.sequence", BLOCK_BITS).alias("block"),
+                F.col("h.run_id").cast("string").alias("run"),
+                F.col("h.sequence").bitwiseAND(BLOCK_NUMBERS - 1).alias("place"),
+                "value",
+                "ingested",
+            )
+            .groupBy("bucket", "block")
             .transformWithStateInPandas(
                 statefulProcessor=_FirstSeen(), outputStructType=_FirstSeen.OUTPUT, outputMode="Append", timeMode="None"
             )
-            .select("value", "ingested")
         )
         lines = known.unionByName(told.where(~numbered).select("value", "ingested")).select(
             "value", F.timestamp_micros("ingested").alias("ingested")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from runledger.operators import events as ev
 from runledger.operators import output_text as out
 from runledger.operators import runs
+from runledger.sources import run_log
 from runledger.streaming import frame_stream as fs
 from runledger.streaming import run_stream as rs
 from runledger.streaming.count_table import CountTable
@@ -309,3 +310,25 @@ def test_tasks_of_a_run_share_an_entry_and_few_keys(spark, rows, tmp_path, monke
     if limit > 40:
         # One entry for each bucket; the tasks had 40 before.
         assert max(s["numRowsTotal"] for s in operators) <= rs.TASK_BUCKETS + 1
+
+
+def test_runs_share_an_entry_of_numbers(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(rs, "RUN_BUCKETS", 4)
+    ids = [*range(60), 2**63 + 5, 2**64 - 1]
+    events = [event(r, k, "task_started", task="a") for r in ids for k in (0, 1, 7, 65_535, 65_536)]
+    path = write_log(tmp_path / "log", [*shuffled([events], 5), *shuffled([events, events], 6, 3)])
+    query = live(spark, path, distinct=True).writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(
+        availableNow=True
+    ).format("parquet").start(str(tmp_path / "t1"))
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "t1")).select(F.col("run_id").cast("string"), "sequence")
+    assert rows(got) == sorted([(str(e["run_id"]), e["sequence"]) for e in events], key=repr)
+    # An entry for each bucket and block; there was one for each run and block before.
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 2 * 4
+
+
+def test_lines_of_a_log_are_made_before_they_are_dealt(spark, tmp_path):
+    path, events = str(tmp_path / "log"), spark.range(1000).selectExpr("id AS run_id", "'task_started' AS event", "id % 3 AS run_date")
+    run_log.write_run_log(events, path, files=3)
+    assert len(list((tmp_path / "log").glob("*/*.txt"))) == 3
+    assert spark.read.text(path).count() == 1000
