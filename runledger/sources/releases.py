@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runledger import schemas
-from runledger.functions import text
+from runledger.functions import ordered, text
 from runledger.session import settle
 from runledger.sources import blocks, published
 
@@ -166,24 +166,62 @@ def release_lines(heads: DataFrame, artifacts: DataFrame) -> DataFrame:
     )
 
 
+def _in_order(heads: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The lines range-partitioned and sorted; what they are made of is worked out once."""
+    order = ["document", "release", "part", "name"]
+    tasks = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = release_lines(settle(heads, "release-heads"), settle(artifacts, "release-artifacts"))
+    return lines.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+
+
 def write_release_outputs(heads: DataFrame, artifacts: DataFrame, path: str) -> None:
     """Metadata and checksum files below ``document=…/release=…``.
 
     Lines are range-partitioned in order, so the part files of a folder, read
-    by name, are the document, and a huge release is written by many tasks.
+    by name, are the document, and a huge release is written by many tasks. Each
+    release costs two folders; many are better kept by :func:`write_release_table`.
     """
-    order = ["document", "release", "part", "name"]
-    tasks = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        release_lines(heads, artifacts)
-        .repartitionByRange(tasks, *order)
-        .sortWithinPartitions(*order)
+        _in_order(heads, artifacts)
         .select("document", "release", F.col("line").alias("value"))
         .write.partitionBy("document", "release")
         .text(path)
     )
 
 
+def write_release_table(heads: DataFrame, artifacts: DataFrame, path: str) -> None:
+    """The same documents as rows of one table: document, release, part, name, line and task.
+
+    Files follow the bytes, not the number of releases. The lines of a document are in
+    the order of part and name; ``task`` never decreases along it, so the lines of a
+    huge release can be numbered without gathering them.
+    """
+    _in_order(heads, artifacts).withColumn("task", F.spark_partition_id().cast("bigint")).write.partitionBy(
+        "document"
+    ).parquet(path)
+
+
+def read_release_lines(spark: SparkSession, path: str, document: str) -> DataFrame:
+    """``release, part, name, line, task`` of one kind of document in a release table."""
+    schema = "release STRING, part INT, name STRING, line STRING, task BIGINT"
+    return spark.read.schema(schema).parquet(f"{path}/document={document}")
+
+
+def read_checksum_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Checksum lists of a release table, as by :func:`parse_checksums`; ``file`` is the release."""
+    stored = read_release_lines(spark, path, "checksums")
+    placed = ordered.position(stored, ["release"], ["part", "name"], F.col("task"), "line_no")
+    lines = settle(
+        placed.select(F.col("release").alias("file"), (F.col("line_no") + 1).alias("line_no"), "line"), "checksum-lines"
+    )
+    return _checksums(lines, lines.select("file").distinct())
+
+
+def read_metadata_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metadata documents of a release table, as by :func:`read_release_metadata`."""
+    return _metadata(read_release_lines(spark, path, "metadata").select("release", "line"))
+
+
 def read_release_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metadata documents that :func:`write_release_outputs` left below ``path``.
 
@@ -194,10 +232,16 @@ def read_release_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, Da
     release = published.decoded(
         published.decoded(F.regexp_extract(F.col("_metadata.file_path"), r"/release=([^/]+)/[^/]*$", 1))
     )
+    return _metadata(
+        spark.read.option("recursiveFileLookup", True).text(f"{path}/document=metadata").select(
+            release.alias("release"), F.col("value").alias("line")
+        )
+    )
+
+
+def _metadata(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     opening = ',"artifacts":['
-    lines = spark.read.option("recursiveFileLookup", True).text(f"{path}/document=metadata").select(
-        release.alias("release"), F.col("value").alias("line")
-    ).withColumn(
+    lines = lines.withColumn(
         "part", F.when(F.col("line").endswith(opening), 0).when(F.col("line") == "]}", 2).otherwise(1)
     )
     fields = "manifest_version BIGINT, " + ", ".join(f"{f} STRING" for f in schemas.IDENTITY_FIELDS)

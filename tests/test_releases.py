@@ -197,3 +197,44 @@ def test_a_large_list_moves_lines_and_no_texts(spark):
     # The digest is below the exchange.
     assert len(moved) == 2 and "RepartitionByExpression" in moved[0]
     assert [r.value for r in lines.collect()][31] == "no digest" and lines.count() == 100
+
+
+def test_many_releases_are_rows_of_few_files(spark, rows, tmp_path):
+    names = [f"r%2F/{k} é" for k in range(300)]
+    table = spark.createDataFrame(
+        [(r, n, f"{k:064x}", k, "file") for k, r in enumerate(names) for n in ("b", "a/x", "c,d")], FILE
+    )
+    identity = spark.createDataFrame([(r, "o/p", "v1", "", None, None) for r in names], IDENTITY)
+    heads, artifacts, _ = release.build_inventory(table, identity)
+    path = str(tmp_path / "table")
+    src.write_release_table(heads, artifacts, path)
+    # There were two folders for each release before.
+    assert len(list((tmp_path / "table").rglob("part-*"))) <= 2 * 5
+    lines = src.read_release_lines(spark, path, "metadata").where(F.col("release") == names[7]).orderBy("part", "name")
+    document = json.loads("".join(r.line for r in lines.collect()))
+    assert [a["name"] for a in document["artifacts"]] == ["a/x", "b", "c,d"]
+    want = sorted([(r.release, r.name, r.sha256) for r in artifacts.collect()], key=repr)
+    entries, errors = src.read_checksum_table(spark, path)
+    assert rows(entries) == want and errors.count() == 0
+    told, items, broken = src.read_metadata_table(spark, path)
+    assert rows(told, "release", "repository", "release_tag") == sorted([(r, "o/p", "v1") for r in names], key=repr)
+    assert rows(items, "release", "name", "sha256") == want and broken.count() == 0
+
+
+def test_lines_of_a_release_table_are_numbered_across_its_files(spark, rows, tmp_path):
+    (tmp_path / "t").mkdir()
+    digest, names = "ab" * 32, [f"f{k // 2:02}" for k in range(40)]
+    stored = [("r", 1, f"{k:02}", f"{digest}  {n}" if k % 7 else "", k // 9) for k, n in enumerate(names)]
+    columns = "release string, part int, name string, line string, task bigint"
+    spark.createDataFrame([*stored, ("none", 1, "x", " ", 2)], columns).repartition(5).write.parquet(
+        str(tmp_path / "t" / "document=checksums")
+    )
+    entries, errors = src.read_checksum_table(spark, str(tmp_path / "t"))
+    seen, want = set(), [("none", 0, "no artifacts")]
+    for k, n in enumerate(names):
+        if k % 7 and n in seen:
+            want.append(("r", k + 1, "duplicate name"))
+        if k % 7:
+            seen.add(n)
+    assert rows(errors) == sorted(want, key=repr)
+    assert rows(entries, "name") == sorted([(n,) for n in seen], key=repr)
