@@ -9,6 +9,7 @@ goes on when the gap closes.
 from __future__ import annotations
 
 import sys
+from itertools import islice
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
@@ -22,6 +23,10 @@ from runledger.functions import ordered
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: Events of a task that are sorted at a time.
+SORTED_ROWS = 256
+
+
 def number_steps(events: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """Add ``step``: the place of an event among those of its task, from 0.
 
@@ -48,16 +53,18 @@ class _FrameLines(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # The next step, and the number of the next line of either stream.
-        self.place = handle.getValueState("place", "step BIGINT, segment BIGINT, out_no BIGINT, err_no BIGINT")
+        # The next step, the number of the next line of either stream, and what else has an
+        # entry (``held``: 1 for stdout, 2 for stderr): asking the state is a message each time.
+        self.place = handle.getValueState("place", "step BIGINT, segment BIGINT, out_no BIGINT, err_no BIGINT, held BIGINT, waiting BOOLEAN")
         # What is there of the unfinished line, piece by piece: a long one is never copied.
         self.pieces = {s: handle.getListState(f"{s}_pieces", "data BINARY") for s in self.STREAMS}
         self.early = handle.getMapState("early", "step BIGINT", "stream STRING, data BINARY")
         self.row = Row(*[part.split()[0] for part in self.OUTPUT.split(", ")])
 
     def _load(self) -> None:
-        self.step, self.segment, *numbers = self.place.get() or (0, 0, 0, 0)
+        self.step, self.segment, *numbers, held, self.waiting = self.place.get() or (0, 0, 0, 0, 0, False)
         self.numbers = dict(zip(self.STREAMS, numbers, strict=True))
+        self.held = {s for k, s in enumerate(self.STREAMS) if held >> k & 1}
         self.added = {s: [] for s in self.STREAMS}
         self.found = []
 
@@ -65,13 +72,18 @@ class _FrameLines(StatefulProcessor):
         for stream, pieces in self.added.items():
             if pieces:
                 self.pieces[stream].appendList([(p,) for p in pieces])
-        self.place.update((self.step, self.segment, *self.numbers.values()))
+                self.held.add(stream)
+        held = sum(1 << k for k, s in enumerate(self.STREAMS) if s in self.held)
+        self.waiting = self.waiting and self.early.exists()
+        self.place.update((self.step, self.segment, *self.numbers.values(), held, self.waiting))
 
     def _rest(self, stream: str) -> bytes:
         """The unfinished line, which ends here."""
-        stored = [bytes(p) for (p,) in self.pieces[stream].get()] if self.pieces[stream].exists() else []
-        if stored:
+        stored = []
+        if stream in self.held:
+            stored = [bytes(p) for (p,) in self.pieces[stream].get()]
             self.pieces[stream].clear()
+            self.held.remove(stream)
         rest = b"".join(stored + self.added[stream])
         self.added[stream] = []
         return rest
@@ -119,16 +131,18 @@ class _FrameLines(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         self._load()
-        waiting = self.early.exists()
-        for row in rows:
-            if row.step == self.step:
-                self._take(row.stream, row.data)
-                if waiting:
-                    self._take_early()
-            elif row.step > self.step:
-                self.early.updateValue((row.step,), (row.stream, row.data))
-                waiting = True
-            yield from self._lines(key)
+        rows = iter(rows)
+        # Rows of a trigger come in any order: sorted by step, few of them have to wait.
+        while some := list(islice(rows, SORTED_ROWS)):
+            for row in sorted(some, key=lambda r: r.step):
+                if row.step == self.step:
+                    self._take(row.stream, row.data)
+                    if self.waiting:
+                        self._take_early()
+                elif row.step > self.step:
+                    self.early.updateValue((row.step,), (row.stream, row.data))
+                    self.waiting = True
+                yield from self._lines(key)
         self._store()
         if self.idle_ms is not None:
             for timer in self.handle.listTimers():

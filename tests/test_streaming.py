@@ -6,6 +6,7 @@ import random
 import subprocess
 import sys
 import time
+from collections import namedtuple
 
 import numpy as np
 import pytest
@@ -332,3 +333,67 @@ def test_lines_of_a_log_are_made_before_they_are_dealt(spark, tmp_path):
     run_log.write_run_log(events, path, files=3)
     assert len(list((tmp_path / "log").glob("*/*.txt"))) == 3
     assert spark.read.text(path).count() == 1000
+
+
+class Counted:
+    """State in memory that counts how often it is asked or told something."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.items, self.map = calls, None, [], {}
+
+    def __getattribute__(self, name):
+        if name in ("calls", "value", "items", "map"):
+            return object.__getattribute__(self, name)
+        self.calls.append(name)
+        return object.__getattribute__(self, name)
+
+    def get(self):
+        return iter(list(self.items)) if self.items else self.value
+
+    def update(self, value):
+        self.value = value  # noqa: the only state
+
+    def exists(self):
+        return bool(self.items or self.map or self.value)
+
+    def clear(self):
+        self.items.clear()
+
+    def appendList(self, values):  # noqa: N802
+        self.items.extend(values)
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.map
+
+    def getValue(self, key):  # noqa: N802
+        return self.map[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.map[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.map[key]
+
+
+def test_events_of_a_trigger_wait_for_each_other_without_state():
+    calls = []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *args: Counted(calls)
+
+    framer = fs._FrameLines(None)
+    framer.init(Handle())
+    Event = namedtuple("Event", "step stream data")
+    events = [Event(k, "stdout", b"x\n" if k % 3 else b"y") for k in range(30)] + [Event(30, "flush", None)]
+    random.Random(3).shuffle(events)
+    told = list(framer.handleInputRows((1, "a"), iter(events[::2]), None))
+    told += framer.handleInputRows((1, "a"), iter(events[1::2]), None)
+    want = b"".join(b"x\n" if k % 3 else b"y" for k in range(30)).decode().splitlines()
+    assert [t.line for t in told] == [f"[a] {line}" for line in want]
+    calls.clear()
+    framer = fs._FrameLines(None)
+    framer.init(Handle())
+    assert len(list(framer.handleInputRows((1, "a"), iter(events), None))) == len(want)
+    # The place is read and written; each early event took four messages before.
+    assert calls == ["get", "update"]
